@@ -3,7 +3,8 @@ from __future__ import annotations
 
 W = r"[\p{L}\p{N}_]"
 NW = r"[^\p{L}\p{N}_]"
-SP = r"[\s\x{00A0}]"
+SP = "[\\s\u00a0]"
+NB = "\u00a0"
 CODE = "6[BbВв][0-9]{2,6}"
 HEADINGS = ("инженерия және инженерлік іс|инженерия и инженерное дело|көлік қызметтері|"
             "транспортные услуги|воздушный транспорт и технологии")
@@ -34,9 +35,9 @@ def score_name(s):
 
 
 def soft_name(s):
-    # The boundary characters are blanks doubled first, so neighbours never share one.
+    # Blanks are doubled first, so neighbours never share one.
     generic = "университет|university|институт|академия|имени|им|республики|казахстан|колледж|college"
-    out = sub(norm_name(s), f"({NW})", r"\1\1")
+    out = sub(norm_name(s), " ", "  ")
     out = sub(out, f"(^|{NW})({generic})($|{NW})", r"\1\3")
     out = sub(out, f"(^|{NW})казах(?:стан)?ск{W}*($|{NW})", r"\1каз\2")
     out = norm(out)
@@ -180,12 +181,12 @@ SCORE_STOP = ("'университет','university','институт','ака
 def score_tokens(s):
     """Tokens of a score_name expression."""
     return (f"list_distinct(list_filter(string_split({s}, ' '), lambda w: w <> '' AND w NOT IN ({SCORE_STOP}) "
-            f"AND (length(w) >= 3 OR regexp_full_match(w, '[\\x00-\\x7f]+'))))")
+            f"AND (length(w) >= 3 OR regexp_full_match(w, '[ -~]+'))))")
 
 
 def money(s):
-    kw = rf"regexp_extract({s}, '(?:стоимость|цена|оплата|tuition|fee|платн{W}*)[^\d]{{0,40}}([\d\s\x{{00A0}}]{{3,9}})', 1, 'i')"
-    any_ = rf"regexp_extract({s}, '([\d\s\x{{00A0}}]{{4,9}}){SP}*(?:(?:тг|тенге)(?:$|{NW})|₸{W})', 1, 'i')"
+    kw = rf"regexp_extract({s}, '(?:стоимость|цена|оплата|tuition|fee|платн{W}*)[^\d]{{0,40}}([\d\s{NB}]{{3,9}})', 1, 'i')"
+    any_ = rf"regexp_extract({s}, '([\d\s{NB}]{{4,9}}){SP}*(?:(?:тг|тенге)(?:$|{NW})|₸{W})', 1, 'i')"
     v = f"TRY_CAST(regexp_replace(COALESCE(NULLIF({kw}, ''), NULLIF({any_}, '')), '{SP}', '', 'g') AS BIGINT)"
     return f"CASE WHEN {v} BETWEEN 50000 AND 50000000 THEN CAST({v} AS DOUBLE) END"
 

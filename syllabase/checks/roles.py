@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Repeat counts of regular expressions such as ``{2}`` are no placeholders.
+PLACE = r"\{([a-z]\w{2,})\}"
 BASE = ("region nation customer supplier part orders lineitem events documents embeddings pages "
         "benchmark labels conversations").split()
 
@@ -132,7 +134,7 @@ JOIN {{place_word}} AS p ON c_custkey % {len(PLACES)} = p.k""",
 
 
 def deps(sql: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
+    return list(dict.fromkeys(re.findall(PLACE, sql)))
 
 
 class Tables:
@@ -166,11 +168,11 @@ def with_roles(sql: str) -> str:
                 order.append(d)
 
     visit(sql)
-    plain = lambda s: re.sub(r"\{(\w+)\}", r"\1", s)
+    plain = lambda s: re.sub(PLACE, r"\1", s)
     views = [f"{n} AS ({plain(ROLES[n])})" for n in order]
     body = plain(sql).strip()
     if not views:
         return body
-    if body.upper().startswith("WITH "):
+    if re.match(r"WITH\s", body):
         return "WITH " + ",\n".join(views) + ",\n" + body[5:]
     return "WITH " + ",\n".join(views) + "\n" + body

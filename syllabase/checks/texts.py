@@ -7,7 +7,6 @@ from ..functions import values as V
 from . import duck as D
 from .registry import query
 
-NAME, RAW = F.col("name"), X.norm(F.col("name"))
 RAW_SQL = "(SELECT *, " + D.norm("name") + " AS raw FROM {title})"
 
 
@@ -19,40 +18,39 @@ def column(name, role, key, fn, sql):
         source = "title" if role is RAW_SQL else role.strip("{}")
         df = getattr(t, source)
         if role is RAW_SQL:
-            df = df.withColumn("raw", RAW)
+            df = df.withColumn("raw", X.norm(F.col("name")))
         return df.select(key, fn().alias("value"))
 
 
-raw = F.col("raw")
 sid, iid = "specialization_id", "institution_id"
-column("x1_norm", "{title}", sid, lambda: X.norm(NAME), D.norm("name"))
-column("x2_norm_name", "{uni}", iid, lambda: X.norm_name(NAME), D.norm_name("name"))
-column("x3_soft_name", "{incoming}", "incoming_id", lambda: X.soft_name(NAME), D.soft_name("name"))
-column("x4_fingerprint", "{title}", sid, lambda: X.fingerprint(NAME), D.fingerprint("name"))
-column("x5_detect_lang", "{title}", sid, lambda: X.detect_lang(NAME), D.lang("name"))
-column("x6_is_mash", RAW_SQL, sid, lambda: X.is_mash(raw, 45), D.mash("raw", 45))
-column("x6_is_mash_file", RAW_SQL, sid, lambda: X.is_mash(raw, 48, any_case=False), D.mash("raw", 48, False))
-column("x7_extract_russian", RAW_SQL, sid, lambda: T.extract_russian(raw), D.russian("raw"))
-column("x7_extract_russian_file", RAW_SQL, sid, lambda: T.extract_russian(raw, T.FILE_RULES), D.russian("raw", True))
-column("x8_strip_noise", RAW_SQL, sid, lambda: T.strip_noise(raw), D.strip_noise("raw"))
-column("x8_strip_noise_file", RAW_SQL, sid, lambda: T.strip_noise(raw, T.FILE_RULES), D.strip_noise("raw", True))
-column("x9_is_junk", RAW_SQL, sid, lambda: T.is_junk(raw), D.junk("raw"))
-column("x9_is_junk_file", RAW_SQL, sid, lambda: T.is_junk(raw, T.FILE_RULES), D.junk("raw", True))
-column("x10_is_fragment", RAW_SQL, sid, lambda: T.is_fragment(raw), D.fragment("raw"))
-column("x11_extract_code", "{title}", sid, lambda: X.extract_code(NAME), D.code("name"))
+column("x1_norm", "{title}", sid, lambda: X.norm(F.col("name")), D.norm("name"))
+column("x2_norm_name", "{uni}", iid, lambda: X.norm_name(F.col("name")), D.norm_name("name"))
+column("x3_soft_name", "{incoming}", "incoming_id", lambda: X.soft_name(F.col("name")), D.soft_name("name"))
+column("x4_fingerprint", "{title}", sid, lambda: X.fingerprint(F.col("name")), D.fingerprint("name"))
+column("x5_detect_lang", "{title}", sid, lambda: X.detect_lang(F.col("name")), D.lang("name"))
+column("x6_is_mash", RAW_SQL, sid, lambda: X.is_mash(F.col("raw"), 45), D.mash("raw", 45))
+column("x6_is_mash_file", RAW_SQL, sid, lambda: X.is_mash(F.col("raw"), 48, any_case=False), D.mash("raw", 48, False))
+column("x7_extract_russian", RAW_SQL, sid, lambda: T.extract_russian(F.col("raw")), D.russian("raw"))
+column("x7_extract_russian_file", RAW_SQL, sid, lambda: T.extract_russian(F.col("raw"), T.FILE_RULES), D.russian("raw", True))
+column("x8_strip_noise", RAW_SQL, sid, lambda: T.strip_noise(F.col("raw")), D.strip_noise("raw"))
+column("x8_strip_noise_file", RAW_SQL, sid, lambda: T.strip_noise(F.col("raw"), T.FILE_RULES), D.strip_noise("raw", True))
+column("x9_is_junk", RAW_SQL, sid, lambda: T.is_junk(F.col("raw")), D.junk("raw"))
+column("x9_is_junk_file", RAW_SQL, sid, lambda: T.is_junk(F.col("raw"), T.FILE_RULES), D.junk("raw", True))
+column("x10_is_fragment", RAW_SQL, sid, lambda: T.is_fragment(F.col("raw")), D.fragment("raw"))
+column("x11_extract_code", "{title}", sid, lambda: X.extract_code(F.col("name")), D.code("name"))
 column("x11_normalize_code", "{title}", sid, lambda: X.normalize_code(F.col("code")),
        r"NULLIF(substr(regexp_replace(regexp_replace(trim(code), '^6[Bb]', '6В'), '\s+', '', 'g'), 1, 32), '')")
 column("x12_website_host", "{uni}", iid, lambda: X.website_host(F.col("website")), D.host("website"))
 column("x12_page_host", "pages", "page_id", lambda: X.website_host(F.col("url")), D.host("url"))
 column("x13_city_key", "{uni}", iid, lambda: X.city_key(F.col("location"), F.col("address")), D.city("concat_ws(' ', location, address)"))
-column("x14_name_tokens", "{uni}", iid, lambda: F.array_join(F.array_sort(X.related_tokens(NAME)), " "), f"array_to_string(list_sort({D.tokens5('name')}), ' ')")
-column("x14_score_tokens", "{uni}", iid, lambda: F.array_join(F.array_sort(X.score_tokens(X.score_name(NAME))), " "),
+column("x14_name_tokens", "{uni}", iid, lambda: F.array_join(F.array_sort(X.related_tokens(F.col("name"))), " "), f"array_to_string(list_sort({D.tokens5('name')}), ' ')")
+column("x14_score_tokens", "{uni}", iid, lambda: F.array_join(F.array_sort(X.score_tokens(X.score_name(F.col("name")))), " "),
        f"array_to_string(list_sort({D.score_tokens(D.score_name('name'))}), ' ')")
-column("x18_group_key", "{title}", sid, lambda: T.file_group_key(X.extract_code(F.col("code")), NAME),
+column("x18_group_key", "{title}", sid, lambda: T.file_group_key(X.extract_code(F.col("code")), F.col("name")),
        f"CASE WHEN regexp_matches({D.code('code')}, '^6В\\d{{5,}}$') THEN concat('full:', {D.code('code')}) "
        f"WHEN regexp_matches({D.code('code')}, '^6В\\d{{2,4}}$') THEN concat('grp:', {D.code('code')}, ':', {D.fingerprint('name')}) "
        f"ELSE concat('n:', {D.fingerprint('name')}) END")
-column("x19_clean_program_name", "{spec}", sid, lambda: X.clean_program_name(F.concat(F.element_at(F.array(F.lit("ОП: "), F.lit("Программа - "), F.lit("")), (F.col(sid) % 3 + 1).cast("int")), NAME)),
+column("x19_clean_program_name", "{spec}", sid, lambda: X.clean_program_name(F.concat(F.element_at(F.array(F.lit("ОП: "), F.lit("Программа - "), F.lit("")), (F.col(sid) % 3 + 1).cast("int")), F.col("name"))),
        "substr(name, 1, 220)")
 column("x20_absolute_url", "{uni}", iid, lambda: X.absolute_url(F.coalesce(F.col("website"), F.nullif(F.col("address"), F.lit(""))), "https://cdn.example.org/storage/"),
        "CASE WHEN COALESCE(website, NULLIF(address, '')) IS NULL THEN NULL WHEN website IS NOT NULL THEN website ELSE concat('https://cdn.example.org/storage/', address) END")
@@ -72,7 +70,7 @@ FLAGS = [
     ("too_long", "length(raw) > 160"), ("too_few_letters", D.count("raw", D.LETTERS) + " < 8"),
 ]
 FLAGS_SQL = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{f}' END" for f, c in FLAGS) + ")"
-column("x16_quality_flags", RAW_SQL, sid, lambda: F.array_join(T.quality_flags(raw), ","), FLAGS_SQL)
+column("x16_quality_flags", RAW_SQL, sid, lambda: F.array_join(T.quality_flags(F.col("raw")), ","), FLAGS_SQL)
 
 
 @query("x17_title_score", "WITH" + D.analysis("{title}", "name", "qualification")
@@ -93,9 +91,9 @@ def _(t):
 # ---- numbers: price and term texts made from offer lines
 
 PRICE_TEXT = """CASE l_partkey % 6
-  WHEN 0 THEN concat('Стоимость обучения: ', CAST(CAST(l_extendedprice AS BIGINT) * 10 AS STRING), ' тг')
+  WHEN 0 THEN concat('Стоимость обучения: ', CAST(CAST(FLOOR(l_extendedprice) AS BIGINT) * 10 AS STRING), ' тг')
   WHEN 1 THEN concat(CAST(l_orderkey % 900 AS STRING), ' 000 ₸')
-  WHEN 2 THEN concat('tuition fee ', CAST(CAST(l_extendedprice AS BIGINT) AS STRING), ' KZT')
+  WHEN 2 THEN concat('tuition fee ', CAST(CAST(FLOOR(l_extendedprice) AS BIGINT) AS STRING), ' KZT')
   WHEN 3 THEN concat('цена ', CAST(l_suppkey AS STRING))
   WHEN 4 THEN concat('1 ', CAST(100 + l_orderkey % 800 AS STRING), ' 000 тенге, ', CAST(CAST(l_quantity AS INT) % 12 AS STRING), ' года')
   ELSE concat('Срок обучения ', CAST(CAST(l_quantity AS INT) % 12 AS STRING), ' лет') END"""
@@ -112,7 +110,7 @@ def _(t):
 
 
 @query("n1_parse_money_cell", rf"""
-SELECT l_orderkey, l_partkey, txt, CASE WHEN v >= 50000 THEN CAST(v AS DOUBLE) END AS value FROM (SELECT *, TRY_CAST(regexp_replace(regexp_extract(txt, '([\d\s\x{{00A0}}]{{3,}})', 1), '{D.SP}', '', 'g') AS BIGINT) AS v FROM {PRICED})""")
+SELECT l_orderkey, l_partkey, txt, CASE WHEN v >= 50000 THEN CAST(v AS DOUBLE) END AS value FROM (SELECT *, TRY_CAST(regexp_replace(regexp_extract(txt, '([\d\s{D.NB}]{{3,}})', 1), '{D.SP}', '', 'g') AS BIGINT) AS v FROM {PRICED})""")
 def _(t):
     return priced(t).withColumn("value", V.parse_money_cell(F.col("txt")))
 
@@ -203,7 +201,7 @@ def _(t):
 SELECT specialization_id, array_to_string(list_filter(list_transform(string_split(name, ','), lambda s: trim(s)), lambda s: s <> ''), ', ') AS joined,
  CAST(len(list_filter(list_transform(string_split(name, ','), lambda s: trim(s)), lambda s: s <> '')) AS INTEGER) AS n FROM {title}""")
 def _(t):
-    parts = V.split_list(NAME)
+    parts = V.split_list(F.col("name"))
     return t.title.select(sid, V.join_list(parts).alias("joined"), F.size(parts).alias("n"))
 
 

@@ -151,10 +151,14 @@ def parse_model_output(col: Column):
     names = F.coalesce(names, F.array().cast("array<string>"))
     names = F.filter(F.transform(names, lambda s: F.trim(s)), lambda s: (s != "") & (s != "0"))
     rest = F.map_filter(inner, lambda k, v: ~k.isin("specialties", "специальности"))
-    flat = F.when(inner.isNotNull(), _leaves(F.to_json(rest_text(rest)))).otherwise(_leaves(summary))
+    flat = F.when(inner.isNotNull(), _paragraphs(F.map_values(rest))).otherwise(_leaves(summary))
     return F.nullif(F.when(nested, flat).otherwise(summary), F.lit("")), names
 
 
-def rest_text(rest: Column) -> Column:
-    """Entries of a decoded object as an array, nested JSON kept as text."""
-    return F.map_values(rest)
+def _paragraphs(values: Column) -> Column:
+    """Texts of decoded values; a value that is JSON itself gives its own texts."""
+    def one(v):
+        inside = v.rlike(r"^\s*[\{\[]") & F.try_parse_json(v).isNotNull()
+        return F.when(inside, _leaves(v)).otherwise(F.trim(v))
+
+    return F.array_join(F.filter(F.transform(values, one), lambda s: s != ""), "\n\n")
