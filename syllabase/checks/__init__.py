@@ -1,2 +1,2 @@
-from . import reads, texts  # noqa: F401
+from . import reads, texts, programmes, sourcing  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
