@@ -105,17 +105,17 @@ def known_pin(name: Column, city: Column) -> Column:
     def pin(lat, lng, query):
         return F.struct(F.lit(float(lat)).alias("lat"), F.lit(float(lng)).alias("lng"), F.lit(query).alias("query"))
 
-    out = F.lit(None).cast("struct<lat:double,lng:double,query:string>")
-    for word, lat, lng in reversed(KNOWN_PINS):
+    branches = [
+        ((city == only) & F.contains(low, F.lit(word)), pin(lat, lng, word)) for only, word, lat, lng in CITY_PINS
+    ]
+    for word, lat, lng in KNOWN_PINS:
         hit = F.contains(low, F.lit(word))
         if lat < 45:
             hit = hit & ~astana
         if lat > 50:
             hit = hit & ~almaty
-        out = F.when(hit, pin(lat, lng, word)).otherwise(out)
-    for only, word, lat, lng in reversed(CITY_PINS):
-        out = F.when((city == only) & F.contains(low, F.lit(word)), pin(lat, lng, word)).otherwise(out)
-    return out
+        branches.append((hit, pin(lat, lng, word)))
+    return X.cases(branches)
 
 
 def coords_from_text(col: Column) -> Column:

@@ -201,13 +201,22 @@ def first_rule(col: Column, rules, how: str = "contains", default: Column | None
     ``how``: contains | rlike | startswith. The list is configuration, so it
     becomes one CASE expression inside the scan stage and needs no join.
     """
-    out = default if default is not None else F.lit(None).cast("string")
-    for pattern, value in reversed(list(rules)):
-        value = value if isinstance(value, Column) else F.lit(value)
-        hit = {
-            "contains": lambda: F.contains(col, F.lit(pattern)),
-            "startswith": lambda: F.startswith(col, F.lit(pattern)),
-            "rlike": lambda: col.rlike(pattern),
-        }[how]()
-        out = F.when(hit, value).otherwise(out)
-    return out
+    rules = [(p, v if isinstance(v, Column) else F.lit(v)) for p, v in rules]
+    hits = {
+        "contains": lambda p: F.contains(col, F.lit(p)),
+        "startswith": lambda p: F.startswith(col, F.lit(p)),
+        "rlike": lambda p: col.rlike(p),
+    }[how]
+    out = cases([(hits(p), v) for p, v in rules])
+    return out if default is None else out.otherwise(default)
+
+
+def cases(branches) -> Column:
+    """One flat CASE of (condition, value) pairs, first fit wins."""
+    (first, value), *rest = branches
+    return reduce(lambda c, b: c.when(*b), rest, F.when(first, value))
+
+
+def plain_host(col: Column) -> Column:
+    """Host of an address, lower case and without ``www.``; no host is left out."""
+    return F.regexp_replace(F.lower(F.try_parse_url(col, F.lit("HOST"))), r"^www\.", "")
