@@ -173,6 +173,7 @@ def with_roles(sql: str) -> str:
     body = plain(sql).strip()
     if not views:
         return body
-    if re.match(r"WITH\s", body):
-        return "WITH " + ",\n".join(views) + ",\n" + body[5:]
+    head = re.match(r"WITH(\s+RECURSIVE)?\s", body)
+    if head:
+        return head.group(0).rstrip() + " " + ",\n".join(views) + ",\n" + body[head.end():]
     return "WITH " + ",\n".join(views) + "\n" + body

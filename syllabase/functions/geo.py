@@ -1,6 +1,7 @@
 """Coordinates: boxes, coordinates in text, geocoder candidates and queries."""
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -98,24 +99,29 @@ def missing_any(*cols: Column) -> Column:
 
 
 def known_pin(name: Column, city: Column) -> Column:
-    """Struct (lat, lng, query) of the first pin whose word is in the name."""
+    """Struct with lat, lng, query of the first pin whose word is in the name."""
     low = F.lower(F.translate(X.norm(name), "«»\"", ""))
-    astana, almaty = city == "Astana", city == "Almaty"
+    pins = F.from_json(F.lit(_pin_rules()), "array<struct<only:string,never:string,query:string,lat:double,lng:double>>")
+
+    def first_fit(row):
+        fits = F.filter(
+            pins,
+            lambda p: F.contains(row["low"], p["query"])
+            & F.coalesce(p["only"] == row["city"], F.lit(True))
+            & F.coalesce(p["never"] != row["city"], F.lit(True)),
+        )
+        return F.get(fits, 0)
+
+    return X.bind(F.struct(low.alias("low"), city.alias("city")), first_fit)
 
-    def pin(lat, lng, query):
-        return F.struct(F.lit(float(lat)).alias("lat"), F.lit(float(lng)).alias("lng"), F.lit(query).alias("query"))
 
-    branches = [
-        ((city == only) & F.contains(low, F.lit(word)), pin(lat, lng, word)) for only, word, lat, lng in CITY_PINS
-    ]
+def _pin_rules() -> str:
+    """The pins in the order they apply; a pin far from a city never serves that city."""
+    rules = [{"only": only, "query": word, "lat": lat, "lng": lng} for only, word, lat, lng in CITY_PINS]
     for word, lat, lng in KNOWN_PINS:
-        hit = F.contains(low, F.lit(word))
-        if lat < 45:
-            hit = hit & ~astana
-        if lat > 50:
-            hit = hit & ~almaty
-        branches.append((hit, pin(lat, lng, word)))
-    return X.cases(branches)
+        never = "Astana" if lat < 45 else "Almaty" if lat > 50 else None
+        rules.append({"never": never, "query": word, "lat": lat, "lng": lng})
+    return json.dumps(rules, ensure_ascii=False)
 
 
 def coords_from_text(col: Column) -> Column:

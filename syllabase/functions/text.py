@@ -217,6 +217,11 @@ def cases(branches) -> Column:
     return reduce(lambda c, b: c.when(*b), rest, F.when(first, value))
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, however often ``fn`` mentions it."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def plain_host(col: Column) -> Column:
     """Host of an address, lower case and without ``www.``; no host is left out."""
     return F.regexp_replace(F.lower(F.try_parse_url(col, F.lit("HOST"))), r"^www\.", "")
