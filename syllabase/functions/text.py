@@ -225,3 +225,7 @@ def bind(value: Column, fn) -> Column:
 def plain_host(col: Column) -> Column:
     """Host of an address, lower case and without ``www.``; no host is left out."""
     return F.regexp_replace(F.lower(F.try_parse_url(col, F.lit("HOST"))), r"^www\.", "")
+
+
+def norm_or_null(col: Column) -> Column:
+    return F.nullif(norm(col), F.lit(""))
