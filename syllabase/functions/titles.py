@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as X
+from .plan import settle
 
 # Phrases and patterns that mark a title as noise or junk.
 ENGLISH_TEST = "ағылшын тілі деңгейін"
@@ -182,10 +183,7 @@ def analyze_titles(df, rules: TitleRules, name: str = "name", qual: str = "quali
         "score", title_score(F.col("lang"), F.col("title_code"), F.col("clean"), F.col("raw"), F.col("raw_mash"), rules)
     )
     out = out.withColumn("hint", title_years(F.col("raw"), rules.years_any_case))
-    # A filter on these columns must not be pushed below them: it would repeat the
-    # whole chain of expressions inside the predicate. A generator stops that.
-    columns = [c for c in out.columns if c not in ("raw_mash", "working", "first_try")]
-    return out.select(F.inline(F.array(F.struct(*columns))))
+    return settle(out.drop("raw_mash", "working", "first_try"))
 
 
 def link_group_key(code: Column, clean: Column) -> Column:

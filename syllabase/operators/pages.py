@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as X
 from ..functions import values as V
+from ..functions.plan import settle
 from .ordered import carry_last
 from .quality import first_per_group
 
@@ -48,13 +49,14 @@ def page_links(pages: DataFrame, hints: str = LINK_HINTS, seeds: dict = HOST_SEE
     rows = pages.select("page_id", "url", F.posexplode(H.anchors(H.visible(F.col("html")))).alias("place", "a"))
     rows = rows.filter(~F.col("a.href").rlike(r"^(#|mailto:|tel:|javascript:)"))
     rows = rows.select("page_id", "url", "place", F.col("a.text").alias("text"), H.resolve_url(base, F.col("a.href")).alias("link"))
-    rows = rows.filter(F.col("link").startswith("http") & H.same_site(X.plain_host(base), X.plain_host(F.col("link"))))
+    rows = settle(rows.withColumn("host", X.plain_host(base)).withColumn("to", X.plain_host(F.col("link"))))
+    rows = rows.filter(F.col("link").startswith("http") & H.same_site(F.col("host"), F.col("to")))
     words = F.concat_ws(" ", "text", "link")
     flag = lambda p, n: F.when(words.rlike("(?iU)" + p), n).otherwise(0)
     score = F.when(F.col("link").rlike(FILE_TYPES), flag(hints, 2)).otherwise(
         flag(hints, 3) + flag(DEGREE_HINTS, 2) + flag(PRICE_HINTS, 2)
     )
-    links = rows.select("page_id", "place", "link", score.alias("score")).filter("score > 0")
+    links = settle(rows.select("page_id", "place", "link", score.alias("score"))).filter("score > 0")
     paths = F.flatten(F.array_compact(F.array(*[
         F.when(F.contains(X.plain_host(base), F.lit(h)), F.array(*[F.lit(p) for p in ps])) for h, ps in seeds.items()
     ])))
@@ -88,7 +90,7 @@ def table_programs(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("code", _page_code(F.col("txt"))).withColumn(
         "name", F.coalesce(F.nullif(longest, F.lit("")), F.concat(F.lit("Программа "), "code"))
     )
-    rows = rows.filter(F.length("name").between(4, 200) & ~F.col("name").rlike("(?iU)^(главная|меню|вход|login|cookie)"))
+    rows = settle(rows).filter(F.length("name").between(4, 200) & ~F.col("name").rlike("(?iU)^(главная|меню|вход|login|cookie)"))
     return rows.select(
         "page_id", "tab", "row", X.clean_program_name(F.col("name")).alias("name"), "code",
         V.parse_money(F.col("txt")).alias("cost"), V.parse_years(F.col("txt")).alias("duration"), F.lit("table").alias("source_hint"),
@@ -104,7 +106,7 @@ def text_programs(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", F.explode(F.array_distinct(F.concat(said, loose))).alias("txt"))
     name = F.regexp_replace(F.regexp_replace("txt", PAGE_CODE, ""), V.MONEY_ANY, "")
     name = X.clean_program_name(F.regexp_replace(name, "(?iU)стоимость.*$", ""))
-    rows = rows.withColumn("name", name).filter(
+    rows = settle(rows.withColumn("name", name)).filter(
         (F.length("name") >= 4) & ~F.col("name").rlike("(?iU)^(меню|главная|cookie|подробнее|читать|скачать)")
     )
     return rows.select(
@@ -115,8 +117,9 @@ def text_programs(pages: DataFrame) -> DataFrame:
 
 def inherit_page_cost(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """Rows without a price take the page's price on tuition pages."""
-    text = H.plain(H.visible(F.col("html")))
-    prices = pages.select("page_id", F.when(text.rlike("(?iU)" + TUITION_PAGE), V.parse_money(text)).alias("page_cost")).dropna()
+    texts = settle(pages.select("page_id", H.plain(H.visible(F.col("html"))).alias("txt")))
+    tuition = settle(texts.filter(F.col("txt").rlike("(?iU)" + TUITION_PAGE)).select("page_id", V.parse_money(F.col("txt")).alias("page_cost")))
+    prices = tuition.filter("page_cost IS NOT NULL")
     inherits = F.col("cost").isNull() & F.col("page_cost").isNotNull()
     return (
         rows.join(prices, "page_id", "left").withColumn("cost_inherited", inherits)
@@ -127,7 +130,7 @@ def inherit_page_cost(rows: DataFrame, pages: DataFrame) -> DataFrame:
 def page_contacts(pages: DataFrame, city: str = "Алматы", own_site: str = "vipusknik") -> DataFrame:
     """Mail, phone, site, address line and the first three long paragraphs of a page."""
     src = H.visible(F.col("html"))
-    rows = pages.select("page_id", H.anchors(src).alias("links"), H.lines(src).alias("lines"), H.inner(src, "p").alias("ps"))
+    rows = settle(pages.select("page_id", H.anchors(src).alias("links"), H.lines(src).alias("lines"), H.inner(src, "p").alias("ps")))
     href = lambda start: F.transform(F.filter("links", lambda a: a["href"].startswith(start)), lambda a: a["href"])
     last = lambda arr: F.try_element_at(arr, F.lit(-1))
     sites = F.filter(href("http"), lambda h: ~X.has(F.lower(h), own_site, *JUNK_SITES) & X.has(F.lower(h), *OWN_SITE))
@@ -151,7 +154,7 @@ def directory_entries(pages: DataFrame, pattern: str) -> DataFrame:
     rows = pages.select("page_id", F.posexplode(H.anchors(H.visible(F.col("html")))).alias("place", "a"))
     slug = F.regexp_extract("a.href", pattern, 1)
     rows = rows.select("page_id", "place", slug.alias("slug"), F.col("a.text").alias("name"))
-    rows = rows.filter((F.col("slug") != "") & (F.length("name") >= 3))
+    rows = settle(rows).filter((F.col("slug") != "") & (F.length("name") >= 3))
     return rows.groupBy("page_id", "slug").agg(F.min_by("name", "place").alias("name"))
 
 
