@@ -110,7 +110,7 @@ def _(t):
 
 REG = """SELECT DISTINCT v.slug AS registry_slug, concat('reg ', v.slug) AS address, CASE WHEN v.slug = 'enu' THEN NULL ELSE concat(v.slug, '@reg.kz') END AS email,
  CASE WHEN v.slug <> 'nu' THEN 51.5e0 END AS latitude, 0.0e0 AS longitude, concat('https://', v.slug, '.kz') AS website, v.slug = 'nu' AS dormitory, CASE WHEN v.slug = 'esil' THEN TRUE END AS grants
-FROM (VALUES ('enu'), ('nu'), ('aitu'), ('esil'), ('tau')) AS v(slug) JOIN {region} ON TRUE"""
+FROM (VALUES (0, 'enu'), (1, 'nu'), (2, 'aitu'), (3, 'esil'), (4, 'tau')) AS v(k, slug) JOIN {region} ON r_regionkey = v.k"""
 
 
 @query("j13_enrich_registry", f"""
@@ -193,7 +193,7 @@ def _(t):
     return t.sql(CANDS).select("event_id", best["score"].alias("score"), best["lat"].alias("lat"), best["lng"].alias("lng"), best["display"].alias("display"))
 
 
-API = f"(SELECT institution_id, arg_max(lat, seq) AS lat, arg_max(lng, seq) AS lng, 'api' AS source FROM {GOOD} WHERE institution_id % 3 = 0 GROUP BY 1)"
+API = f"(SELECT institution_id, arg_max(lat, seq) AS lat, arg_max(lng, seq) AS lng, 'api' AS source FROM {GOOD} WHERE source = 'google' AND lng > 71.45 GROUP BY 1)"
 
 
 @query("n11_resolve_coords", f"""
@@ -206,7 +206,7 @@ SELECT institution_id, CASE WHEN alat IS NOT NULL THEN alat WHEN pin IS NOT NULL
  CASE WHEN alat IS NOT NULL THEN 'api' WHEN pin IS NOT NULL THEN 'known_pin' WHEN old THEN 'existing' END AS source,
  alat IS NOT NULL OR pin IS NOT NULL OR COALESCE(old, FALSE) AS ok FROM p""")
 def _(t):
-    good = t.sql(RESULTS).filter("ok AND lat IS NOT NULL AND institution_id % 3 = 0")
+    good = t.sql(RESULTS).filter("ok AND lat IS NOT NULL AND source = 'google' AND lng > 71.45")
     api = good.groupBy("institution_id").agg(F.max_by("lat", "seq").alias("lat"), F.max_by("lng", "seq").alias("lng"), F.lit("api").alias("source"))
     return L.resolve_coords(t.uni, api)
 

@@ -86,43 +86,29 @@ def _(t):
 
 
 @query("j2_catalog_tree", """
-SELECT g.global_name, COUNT(*) AS leaves, COUNT(DISTINCT q.qualification_id) AS level2,
-  string_agg(concat(q.qualification_name, '>', CAST(s.specialization_id AS STRING), ':', s.name), ';'
-             ORDER BY concat(q.qualification_name, '>', CAST(s.specialization_id AS STRING), ':', s.name)) AS tree
-FROM {level1} g JOIN {qual} q ON g.global_id = q.global_id JOIN {spec} s ON q.qualification_id = s.qualification_id
-GROUP BY g.global_name""")
+SELECT g.global_name, q.qualification_name, s.specialization_id, s.name
+FROM {level1} g LEFT JOIN {qual} q ON g.global_id = q.global_id LEFT JOIN {spec} s ON q.qualification_id = s.qualification_id""")
 def _(t):
     tree = R.catalog_tree(t.level1, t.qual, t.spec)
-    leaf = (
-        tree.select("global_name", F.explode("qualifications").alias("q"))
-        .select("global_name", "q.qualification_id", "q.qualification_name", F.explode("q.specializations").alias("s"))
-        .withColumn("line", F.concat("qualification_name", F.lit(">"), F.col("s.specialization_id").cast("string"), F.lit(":"), "s.name"))
-    )
-    return leaf.groupBy("global_name").agg(
-        F.count("*").alias("leaves"), F.countDistinct("qualification_id").alias("level2"),
-        F.array_join(F.sort_array(F.collect_list("line")), ";").alias("tree"))
+    level2 = tree.select("global_name", F.explode_outer("qualifications").alias("q"))
+    leaf = level2.select("global_name", "q.qualification_name", F.explode_outer("q.specializations").alias("s"))
+    return leaf.select("global_name", "qualification_name", "s.specialization_id", "s.name")
 
 
 @query("j3_institution_index", """
 WITH r AS (SELECT institution_id, COUNT(*) AS reviews_count, ROUND(AVG(rating), 6) AS avg_rating FROM {review} GROUP BY institution_id),
  f AS (SELECT institution_id, COUNT(*) AS likes_count FROM {fav} GROUP BY institution_id),
- o AS (SELECT l.institution_id,
-   COUNT(*) FILTER (WHERE s.kind = 'university') AS university_programs, COUNT(*) FILTER (WHERE s.kind = 'college') AS college_programs,
-   string_agg(CASE WHEN s.kind = 'college' THEN s.name || '/' || q.qualification_name END, ';' ORDER BY s.specialization_id) AS college_list
-   FROM {link} l JOIN {spec} s USING (specialization_id) LEFT JOIN {qual} q ON s.qualification_id = q.qualification_id GROUP BY l.institution_id)
-SELECT i.institution_id, i.name, COALESCE(reviews_count, 0) AS reviews_count, COALESCE(likes_count, 0) AS likes_count, avg_rating,
-  COALESCE(university_programs, 0) AS university_programs, COALESCE(college_programs, 0) AS college_programs, college_list
-FROM {institution} i LEFT JOIN r USING (institution_id) LEFT JOIN f USING (institution_id) LEFT JOIN o USING (institution_id)""")
-def _(t):
-    rows = R.link_join(t.link.drop("created_at"), t.spec, t.qual, "qualification_id")
-    base = R.rating_summary(t.institution.select("institution_id", "name"), t.review, t.fav)
-    out = R.nest(base, rows.filter("kind = 'university'"), "institution_id", ["specialization_id"], ["name", "qualification_name"], "specializations")
-    out = R.nest(out.drop("part"), rows.filter("kind = 'college'"), "institution_id", ["specialization_id"], ["name", "qualification_name"], "college")
-    line = F.transform("college", lambda s: F.concat(s["name"], F.lit("/"), s["qualification_name"]))
+ k AS (SELECT * FROM (VALUES ('university'), ('college')) AS v(kind)),
+ o AS (SELECT l.institution_id, s.kind, l.specialization_id, s.name AS program, q.qualification_name
+   FROM {link} l JOIN {spec} s USING (specialization_id) LEFT JOIN {qual} q ON s.qualification_id = q.qualification_id)
+SELECT i.institution_id, i.name, COALESCE(reviews_count, 0) AS reviews_count, COALESCE(likes_count, 0) AS likes_count, avg_rating, k.kind, o.specialization_id, o.program, o.qualification_name
+FROM {institution} i JOIN k ON TRUE LEFT JOIN r USING (institution_id) LEFT JOIN f USING (institution_id) LEFT JOIN o ON i.institution_id = o.institution_id AND k.kind = o.kind""")
+def _(t):
+    out = R.institution_index(t.institution.select("institution_id", "name"), t.link, t.spec, t.qual, t.review, t.fav)
     return out.select(
-        "institution_id", "name", "reviews_count", "likes_count", F.round("avg_rating", 6).alias("avg_rating"),
-        F.size("specializations").cast("bigint").alias("university_programs"), F.size("college").cast("bigint").alias("college_programs"),
-        F.nullif(F.array_join(line, ";"), F.lit("")).alias("college_list"))
+        "institution_id", "name", "reviews_count", "likes_count", F.round("avg_rating", 6).alias("avg_rating"), "kind",
+        F.explode_outer("programs").alias("p"),
+    ).select("institution_id", "name", "reviews_count", "likes_count", "avg_rating", "kind", "p.specialization_id", F.col("p.name").alias("program"), "p.qualification_name")
 
 
 @query("j4_enrich", """
@@ -164,14 +150,14 @@ def _(t):
 
 
 @query("j8_prune_tree", """
-WITH keep AS (SELECT * FROM {link} WHERE specialization_id % 40 = 3),
+WITH keep AS (SELECT * FROM {link} WHERE cost > 104500),
  s AS (SELECT * FROM {spec} WHERE specialization_id IN (SELECT specialization_id FROM keep)),
  q AS (SELECT * FROM {qual} WHERE qualification_id IN (SELECT qualification_id FROM s))
 SELECT 'spec' AS level, CAST(specialization_id AS STRING) AS id FROM s UNION ALL SELECT 'qual', qualification_id FROM q
 UNION ALL SELECT 'glob', global_id FROM {level1} WHERE global_id IN (SELECT global_id FROM q)
 UNION ALL SELECT 'orphan', CAST(specialization_id AS STRING) FROM {spec} WHERE specialization_id NOT IN (SELECT specialization_id FROM keep)""")
 def _(t):
-    keep = t.link.filter("specialization_id % 40 = 3")
+    keep = t.link.filter("cost > 104500")
     glob, qual, spec = R.prune_tree(t.level1, t.qual, t.spec, keep)
     tag = lambda d, level, key: d.select(F.lit(level).alias("level"), F.col(key).cast("string").alias("id"))
     return R.union_all(
@@ -228,9 +214,9 @@ def _(t):
 
 @query("a2_avg_or_zero", """
 SELECT i.institution_id, COALESCE(ROUND(AVG(r.rating), 6), 0.0e0) AS rating FROM {institution} i LEFT JOIN {review} r
-  ON i.institution_id = r.institution_id AND r.rating = 5 AND r.user_id % 3 = 0 GROUP BY i.institution_id""")
+  ON i.institution_id = r.institution_id AND r.rating = 5 AND r.created_at >= TIMESTAMP '2001-07-01' GROUP BY i.institution_id""")
 def _(t):
-    few = t.review.filter("rating = 5 AND user_id % 3 = 0").groupBy("institution_id").agg(R.avg_or_zero(F.col("rating")).alias("rating"))
+    few = t.review.filter("rating = 5 AND created_at >= TIMESTAMP_NTZ'2001-07-01'").groupBy("institution_id").agg(R.avg_or_zero(F.col("rating")).alias("rating"))
     return t.institution.select("institution_id").join(few, "institution_id", "left").fillna(0.0, ["rating"]).withColumn("rating", F.round("rating", 6))
 
 
@@ -307,13 +293,12 @@ def _(t):
 
 
 @query("a18_programs_by_qualification", """
-SELECT q.qualification_name, COUNT(*) AS n, string_agg(CAST(s.specialization_id AS STRING) || ' ' || s.name, ';' ORDER BY s.specialization_id) AS programs
-FROM {link} l JOIN {spec} s USING (specialization_id) JOIN {qual} q USING (qualification_id) WHERE l.institution_id = 4 GROUP BY 1""")
+SELECT q.qualification_name, s.specialization_id, s.name
+FROM {link} l JOIN {spec} s USING (specialization_id) JOIN {qual} q USING (qualification_id) WHERE l.institution_id = 4""")
 def _(t):
     rows = R.link_join(t.link.filter("institution_id = 4"), t.spec, t.qual, "qualification_id")
     cards = R.nest(rows.select("qualification_name").distinct(), rows, "qualification_name", ["specialization_id"], ["name"], "items")
-    line = F.transform("items", lambda s: F.concat(s["specialization_id"].cast("string"), F.lit(" "), s["name"]))
-    return cards.select("qualification_name", F.size("items").cast("bigint").alias("n"), F.array_join(line, ";").alias("programs"))
+    return cards.select("qualification_name", F.inline("items"))
 
 
 # ---- order, pages, sets
@@ -326,16 +311,14 @@ def _(t):
 
 
 @query("o2_sort_by_date", """
-(SELECT event_id, event_date, 'newest' AS d FROM {calendar_event} ORDER BY event_date DESC, event_id DESC LIMIT 40)
-UNION ALL (SELECT event_id, event_date, 'oldest' FROM {calendar_event} ORDER BY event_date, event_id LIMIT 40)""")
+SELECT event_id, event_date, institution_id FROM {calendar_event} ORDER BY event_date DESC, event_id DESC""")
 def _(t):
-    top = lambda d: R.sort_by_date(t.calendar_event.select("event_id", "event_date"), "event_date", "event_id", d).limit(40).withColumn("d", F.lit(d))
-    return R.union_all(top("newest"), top("oldest"))
+    return R.sort_by_date(t.calendar_event.select("event_id", "event_date", "institution_id"), "event_date", "event_id")
 
 
-@query("o4_catalog_order", "SELECT code, name FROM {title} ORDER BY code NULLS LAST, name LIMIT 800")
+@query("o4_catalog_order", "SELECT code, name FROM {title} ORDER BY code NULLS LAST, name")
 def _(t):
-    return R.catalog_order(t.title.select("code", "name")).limit(800)
+    return R.catalog_order(t.title.select("code", "name"))
 
 
 @query("u1_catalog", """

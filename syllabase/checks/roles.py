@@ -100,11 +100,11 @@ SELECT p_partkey AS specialization_id,
 FROM {{part}} JOIN {{title_word}} ON p_partkey % {len(TITLES)} = k""",
     # Programme rows of the nested files, one per offer line.
     "program": """
-SELECT l_suppkey AS institution_id, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey % 1000000 AS pos, t.name, t.code, t.global_specialty, t.qualification,
-       MAX(CASE WHEN CAST(l_quantity AS INT) % 4 = 0 THEN NULL WHEN CAST(l_quantity AS INT) % 11 = 0 THEN 0.0e0 ELSE l_extendedprice END) AS cost,
-       MAX(CASE WHEN CAST(l_quantity AS INT) % 9 = 0 THEN NULL ELSE CAST(l_quantity AS INT) % 9 END) AS duration
-FROM {lineitem} JOIN {title} AS t ON l_partkey = t.specialization_id
-GROUP BY l_suppkey, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey % 1000000, t.name, t.code, t.global_specialty, t.qualification""",
+SELECT g.institution_id, g.pos, t.name, t.code, t.global_specialty, t.qualification, g.cost, g.duration FROM
+ (SELECT l_suppkey AS institution_id, l_partkey, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey % 1000000 AS pos,
+   MAX(CASE WHEN CAST(l_quantity AS INT) % 4 = 0 THEN NULL WHEN CAST(l_quantity AS INT) % 11 = 0 THEN 0.0e0 ELSE l_extendedprice END) AS cost,
+   MAX(CASE WHEN CAST(l_quantity AS INT) % 9 = 0 THEN NULL ELSE CAST(l_quantity AS INT) % 9 END) AS duration
+  FROM {lineitem} GROUP BY l_suppkey, l_partkey, l_orderkey, l_linenumber) AS g JOIN {title} AS t ON g.l_partkey = t.specialization_id""",
     # Institutions with multilingual names; two rows in three share a base name with another row.
     "uni": f"""
 SELECT s_suppkey AS institution_id,

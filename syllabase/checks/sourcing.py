@@ -25,25 +25,24 @@ def _(t):
     split = nested(t).withColumnRenamed("institution_id", "id")
     half = F.col("id") % 2 == 0
     mixed = split.withColumn("programs", F.when(half, F.col("specialties"))).withColumn("specialties", F.when(~half, F.col("specialties")))
-    return C.unify_programs(mixed).select("institution_id", F.size("programs").cast("bigint").alias("n"))
+    return C.unify_programs(mixed).groupBy("institution_id").agg(F.sum(F.size("programs")).alias("n"))
 
 
 @query("s3_unnest_programs", """
-SELECT i.institution_id, CAST(CASE WHEN p.pos IS NULL THEN NULL ELSE row_number() OVER (PARTITION BY i.institution_id ORDER BY p.pos) - 1 END AS INTEGER) AS pos, p.name, p.code
-FROM {uni} i LEFT JOIN {program} p USING (institution_id)""")
+SELECT i.institution_id, p.pos AS ord, p.name, p.code FROM {uni} i LEFT JOIN {program} p USING (institution_id)""")
 def _(t):
-    rows = C.unnest_programs(C.unify_programs(nested(t)).withColumn("programs", F.transform("programs", lambda s: s.dropFields("pos"))))
-    return rows.select("institution_id", "pos", "name", "code")
+    renamed = F.transform("programs", lambda s: s.withField("ord", s["pos"]).dropFields("pos"))
+    rows = C.unnest_programs(C.unify_programs(nested(t)).withColumn("programs", renamed))
+    return rows.select("institution_id", "ord", "name", "code")
 
 
 @query("s4_nest_links", """
-SELECT i.institution_id, i.website, COUNT(l.specialization_id) AS n,
- COALESCE(string_agg(concat_ws('/', CAST(l.specialization_id AS STRING), s.name, CAST(l.duration AS STRING), q.qualification_name), ';' ORDER BY l.specialization_id), '') AS specialties
-FROM {institution} i LEFT JOIN {link} l USING (institution_id) LEFT JOIN {spec} s USING (specialization_id) LEFT JOIN {qual} q USING (qualification_id) GROUP BY 1, 2""")
+SELECT i.institution_id, i.website, l.specialization_id, s.name, l.cost, l.duration, q.qualification_name
+FROM {institution} i LEFT JOIN {link} l USING (institution_id) LEFT JOIN {spec} s USING (specialization_id) LEFT JOIN {qual} q USING (qualification_id)""")
 def _(t):
     out = C.nest_links(t.institution.select("institution_id", "website"), t.link, t.spec, t.qual)
-    line = F.transform("specialties", lambda s: F.concat_ws("/", s["specialization_id"].cast("string"), s["name"], s["duration"].cast("string"), s["qualification_name"]))
-    return out.select("institution_id", "website", F.size("specialties").cast("bigint").alias("n"), F.array_join(line, ";").alias("specialties"))
+    rows = out.select("institution_id", "website", F.explode_outer("specialties").alias("s"))
+    return rows.select("institution_id", "website", "s.specialization_id", "s.name", "s.cost", "s.duration", "s.qualification_name")
 
 
 REGISTRY = """SELECT concat('u', CAST(institution_id AS STRING)) AS slug, name, CASE WHEN institution_id % 3 = 0 THEN concat('note ', name) WHEN institution_id % 3 = 1 THEN '' END AS notes,

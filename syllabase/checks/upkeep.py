@@ -13,7 +13,7 @@ ROLES.update({
     "tree2": """SELECT t.specialization_id AS qualification_id, g.global_id,
  CASE t.specialization_id % 4 WHEN 0 THEN concat('6В', substr(t.code, 3)) WHEN 2 THEN concat('6В', substr(t.code, 3), ' старое имя') ELSE concat('группа ', CAST(t.specialization_id AS STRING)) END AS qualification_name,
  CASE WHEN t.specialization_id % 3 = 0 THEN concat('6В', substr(t.code, 3)) END AS description
- FROM {title} AS t JOIN {tree1} AS g ON t.global_specialty = g.global_name WHERE t.code IS NOT NULL AND t.specialization_id % 11 < 4""",
+ FROM {title} AS t JOIN {tree1} AS g ON t.global_specialty = g.global_name JOIN {part} ON p_partkey = t.specialization_id WHERE t.code IS NOT NULL AND p_size < 18""",
     "tree3": """SELECT 1000000 + qualification_id AS specialization_id, qualification_id, CASE WHEN qualification_id % 2 = 0 THEN 'Финансы и учёт (4 года)' ELSE 'Social work' END AS name FROM {tree2}""",
     "offer": "SELECT specialization_id AS ord, name, global_specialty, code FROM {title}",
 })
@@ -68,7 +68,7 @@ def _(t):
 NEW_LINKS = """SELECT l_orderkey * 10 + l_linenumber AS ord, l_suppkey AS institution_id, l_partkey AS specialization_id,
  CASE WHEN CAST(l_quantity AS INT) % 3 = 0 THEN NULL WHEN CAST(l_quantity AS INT) % 3 = 1 THEN concat(CAST(l_orderkey AS STRING), ' 000 тг') ELSE 'нет' END AS cost,
  CASE WHEN CAST(l_quantity AS INT) % 2 = 0 THEN concat(CAST(CAST(l_quantity AS INT) AS STRING), ' лет') END AS duration FROM {lineitem} WHERE l_returnflag = 'R'"""
-OLD_LINKS = "SELECT institution_id, specialization_id, cost, duration, created_at FROM {link} WHERE specialization_id % 3 <> 0"
+OLD_LINKS = "SELECT institution_id, specialization_id, cost, duration, created_at FROM {link} WHERE created_at < TIMESTAMP '1999-06-01'"
 
 
 def upsert_sql(old, new, extra=""):
@@ -97,9 +97,12 @@ def _(t):
     return M.change_stats(M.upsert_links(t.sql(OLD_LINKS), t.sql(NEW_UNIQUE)))
 
 
-@query("m6_import_replace", "WITH" + upsert_sql(f"SELECT * FROM ({OLD_LINKS}) WHERE institution_id NOT IN (SELECT institution_id FROM n0)", NEW_UNIQUE + " AND l_suppkey % 4 = 0"))
+RICH = " AND l_suppkey IN (SELECT s_suppkey FROM {supplier} WHERE s_acctbal > 5000)"
+
+
+@query("m6_import_replace", "WITH" + upsert_sql(f"SELECT * FROM ({OLD_LINKS}) WHERE institution_id NOT IN (SELECT institution_id FROM n0)", NEW_UNIQUE + RICH))
 def _(t):
-    return M.import_links(t.sql(OLD_LINKS), t.sql(NEW_UNIQUE + " AND l_suppkey % 4 = 0"), mode="replace")
+    return M.import_links(t.sql(OLD_LINKS), t.sql(NEW_UNIQUE + RICH), mode="replace")
 
 
 UPDATE = "SELECT incoming_id AS ord, incoming_id % 90 AS institution_id, location, CASE WHEN incoming_id % 3 = 0 THEN '' ELSE website END AS website FROM {incoming}"
@@ -155,7 +158,7 @@ def _(t):
 
 # ---- M4, M5, M8, M9
 
-DATED = "SELECT institution_id, specialization_id, cost, duration, CASE WHEN specialization_id % 7 = 0 THEN NULL ELSE created_at END AS created_at FROM {link} WHERE specialization_id % 5 <> 1"
+DATED = "SELECT institution_id, specialization_id, cost, duration, CASE WHEN specialization_id % 7 = 0 THEN NULL ELSE created_at END AS created_at FROM {link}"
 ABOUT = "SELECT specialization_id, qualification_id, CASE WHEN specialization_id % 3 = 0 THEN name WHEN specialization_id % 3 = 1 THEN '' END AS about1 FROM {spec}"
 
 
@@ -173,7 +176,7 @@ def _(t):
 
 
 PLAN = """SELECT l_orderkey * 1000 + CAST(l_quantity AS INT) AS ord, l_suppkey AS wrong_id, l_suppkey + 1 AS right_id, l_partkey AS specialization_id, l_extendedprice AS cost, CAST(NULL AS INT) AS duration
- FROM {lineitem} WHERE l_suppkey % 10 = 3 AND l_linenumber = 1"""
+ FROM {lineitem} WHERE l_returnflag = 'A' AND l_linestatus = 'O' AND l_discount > 0.07"""
 
 
 @query("m5_repair_links", f"WITH pl AS ({PLAN}), gone AS (SELECT l.institution_id, l.specialization_id FROM {{link}} l WHERE l.created_at >= TIMESTAMP '1998-01-01' AND EXISTS (SELECT 1 FROM pl WHERE pl.wrong_id = l.institution_id AND pl.specialization_id = l.specialization_id)), "

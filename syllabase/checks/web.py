@@ -170,7 +170,7 @@ def _(t):
 
 # ---- W6, T5
 
-ANSWERS = """SELECT user_id AS result_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, CASE WHEN event_id % 2 = 0 THEN concat('Вопрос ', CAST(event_id AS STRING)) END AS question, event_type AS answer FROM {events} WHERE user_id % 3 <> 0 OR event_id < 3000"""
+ANSWERS = """SELECT user_id AS result_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, CASE WHEN event_id % 2 = 0 THEN concat('Вопрос ', CAST(event_id AS STRING)) END AS question, event_type AS answer FROM {events}"""
 
 
 @query("w6_compact_answers", f"""

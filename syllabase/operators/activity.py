@@ -1,6 +1,8 @@
 """Rows per day, week or month up to a given moment, empty buckets included."""
 from __future__ import annotations
 
+from datetime import date, datetime, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,17 @@ def bucket_starts(spark, unit: str, as_of: str) -> DataFrame:
     ).withColumn("bucket", F.to_date("bucket"))
 
 
+def first_bucket(unit: str, as_of: str) -> date:
+    """Start of the oldest bucket, a literal the file scan can use."""
+    day = datetime.fromisoformat(as_of).date()
+    if unit == "days":
+        return day - timedelta(days=6)
+    if unit == "weeks":
+        return day - timedelta(days=day.weekday() + 21)
+    months = day.year * 12 + day.month - 1 - 11
+    return date(months // 12, months % 12 + 1, 1)
+
+
 def activity(df: DataFrame, ts: str, unit: str, as_of: str) -> DataFrame:
     """(position, bucket, label, total), oldest first.
 
@@ -24,7 +37,7 @@ def activity(df: DataFrame, ts: str, unit: str, as_of: str) -> DataFrame:
     """
     _, trunc, _ = BUCKETS[unit]
     starts = bucket_starts(df.sparkSession, unit, as_of)
-    first = starts.agg(F.min("bucket")).scalar()
+    first = F.lit(first_bucket(unit, as_of)).cast("timestamp_ntz")
     counts = (
         df.filter(F.col(ts) >= first)
         .groupBy(F.to_date(F.date_trunc(trunc, F.col(ts))).alias("bucket"))

@@ -143,6 +143,22 @@ def catalog_tree(glob: DataFrame, qual: DataFrame, spec: DataFrame, limit: int =
     )
 
 
+def institution_index(inst, link, spec, qual, review, like, limit: int = NEST_LIMIT) -> DataFrame:
+    """Every institution with its ratings and, per kind of tree, its programmes as an array.
+
+    One row per institution, kind and part; a kind without programmes has an empty array.
+    """
+    rows = link_join(link.select("institution_id", "specialization_id"), spec, qual, "qualification_id")
+    kinds = F.explode(F.array(F.lit("university"), F.lit("college"))).alias("kind")
+    base = rating_summary(inst, review, like).select("*", kinds)
+    key = F.struct("institution_id", "kind")
+    out = nest(
+        base.withColumn("_key", key), rows.withColumn("_key", key), "_key", ["specialization_id"],
+        ["name", "qualification_name"], "programs", limit,
+    )
+    return out.drop("_key")
+
+
 # ---- aggregates ----------------------------------------------------------
 
 def rating_summary(inst: DataFrame, review: DataFrame, like: DataFrame) -> DataFrame:
