@@ -243,7 +243,7 @@ def merge_programs(base: DataFrame, extra: DataFrame) -> DataFrame:
     several = F.col("official") & (F.col("n") > 1)
     return merged.select(
         "institution_id", "head.name", "code", "head.global_specialty", "head.qualification", "cost", "duration",
-        F.when(several, joined).otherwise(F.array("head.source")).alias("sources"),
+        F.when(several, joined).otherwise(F.array("head.source")).alias("sources"), F.col("ord").alias("pos"),
     )
 
 
