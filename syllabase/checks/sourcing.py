@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import reads as R
+from ..session import shared_folder
 from ..sources import catalog as C
 from .registry import query
 
@@ -11,13 +12,24 @@ def nested(t, into="specialties"):
     return R.nest(t.uni.select("institution_id"), rows, "institution_id", ["pos"], ["name", "code", "cost"], into)
 
 
-@query("s1_read_catalog_shape", "SELECT institution_id, name, type FROM {uni} WHERE institution_id % 5 <> 0")
+@query("s1_read_catalog", """
+SELECT i.institution_id, i.name, i.type, p.name AS program, p.code, CAST(p.cost AS DOUBLE) AS cost FROM {uni} i LEFT JOIN {program} p USING (institution_id) WHERE i.website IS NOT NULL""")
 def _(t):
-    """Error rows and nameless rows leave; the file reader itself is tested on files."""
-    error = F.when(F.col("institution_id") % 5 == 0, F.lit("timeout"))
-    df = t.uni.withColumn("error", error)
-    from ..functions import text as X
-    return df.filter(X.is_blank(F.col("error")) & ~X.is_blank(F.trim("name"))).select("institution_id", "name", "type")
+    """Institutions written as JSON lines and read back; rows with an error leave."""
+    rows = nested(t).join(t.uni.select("institution_id", "name", "type", "website"), "institution_id")
+    rows = rows.withColumn("error", F.when(F.col("website").isNull(), F.lit("no_website")))
+    folder = shared_folder(t.spark)
+    C.write_export(rows, folder)
+    back = C.unify_programs(C.read_catalog(t.spark, folder, lines=True)).select("institution_id", F.col("name").alias("owner"), "type", "programs")
+    flat = C.unnest_programs(back, keep=("institution_id", "owner", "type"))
+    return flat.select("institution_id", F.col("owner").alias("name"), "type", F.col("name").alias("program"), "code", F.col("cost").cast("double").alias("cost"))
+
+
+@query("s8_write_snapshot", "SELECT institution_id, specialization_id, cost, duration, created_at FROM {link}")
+def _(t):
+    folder = shared_folder(t.spark)
+    C.write_snapshot(t.link, folder)
+    return t.spark.read.parquet(folder)
 
 
 @query("s2_unify_programs", "SELECT i.institution_id, COUNT(p.pos) AS n FROM {uni} i LEFT JOIN {program} p USING (institution_id) GROUP BY 1")

@@ -210,3 +210,18 @@ SELECT application_id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h
 FROM (SELECT application_id, md5(concat_ws('|', CAST(event_id AS STRING), CAST(user_id AS STRING), CAST(application_id AS STRING))) AS h FROM {application})""")
 def _(t):
     return t.application.select("application_id", V.stable_ticket(F.col("event_id"), F.col("user_id"), F.col("application_id")).alias("ticket_code"))
+
+
+ABOUT = {"Право": ("Юристы: {name}", "Суды и право")}
+KEYWORDS = [("финанс|financ", ("{name}: банки", "Учёт")), ("инженер|engineer", ("{name}: заводы", "Техника")), ("ring|bolt", ("{name}: детали", "Металл"))]
+OTHER = ("Подготовка по специальности «{name}»", "Практика")
+
+
+@query("j12_describe_titles", """
+SELECT specialization_id, CASE WHEN name = 'Право' THEN 'Юристы: Право' WHEN regexp_matches(lower(name), 'финанс|financ') THEN name || ': банки' WHEN regexp_matches(lower(name), 'инженер|engineer') THEN name || ': заводы'
+ WHEN regexp_matches(lower(name), 'ring|bolt') THEN name || ': детали' ELSE 'Подготовка по специальности «' || name || '»' END AS about1,
+ CASE WHEN name = 'Право' THEN 'Суды и право' WHEN regexp_matches(lower(name), 'финанс|financ') THEN 'Учёт' WHEN regexp_matches(lower(name), 'инженер|engineer') THEN 'Техника'
+ WHEN regexp_matches(lower(name), 'ring|bolt') THEN 'Металл' ELSE 'Практика' END AS about2 FROM {title}""")
+def _(t):
+    about1, about2 = T.describe(F.col("name"), ABOUT, KEYWORDS, OTHER)
+    return t.title.select(sid, about1.alias("about1"), about2.alias("about2"))

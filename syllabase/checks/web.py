@@ -123,7 +123,7 @@ def _(t):
 @query("h4_page_contacts", "WITH" + ANCHORS + f""",
  li AS (SELECT page_id, {lines('src')} AS ls, list_filter(list_transform({inner('src', 'p')}, lambda c: {plain('c')}), lambda s: length(s) > 80) AS ps FROM v),
  m AS (SELECT page_id, arg_max(href, place) FILTER (WHERE starts_with(href, 'mailto:')) AS mail, arg_max(href, place) FILTER (WHERE starts_with(href, 'tel:')) AS tel,
-   arg_min(href, place) FILTER (WHERE starts_with(href, 'http') AND NOT regexp_matches(lower(href), 'vipusknik|facebook|instagram|youtube|tiktok|telegram|vk\\.com|zero\\.kz|google\\.|goo\\.gl|bit\\.ly|t\\.me|wa\\.me|whatsapp|twitter|x\\.com|linkedin|play\\.google') AND regexp_matches(lower(href), '\\.edu|\\.kz|university|academy|college')) AS website FROM a GROUP BY 1)
+   arg_min(href, place) FILTER (WHERE starts_with(href, 'http') AND NOT regexp_matches(lower(href), 'listing\\.example|facebook|instagram|youtube|tiktok|telegram|vk\\.com|zero\\.kz|google\\.|goo\\.gl|bit\\.ly|t\\.me|wa\\.me|whatsapp|twitter|x\\.com|linkedin|play\\.google') AND regexp_matches(lower(href), '\\.edu|\\.kz|university|academy|college')) AS website FROM a GROUP BY 1)
 SELECT li.page_id, regexp_replace(mail, '^mailto:|\\?.*$', '', 'g') AS email, COALESCE(substr(tel, 5), NULLIF(regexp_extract(array_to_string(ls, chr(10)), '\\+?7[\\s\\-\\(]?\\d{{3}}[\\s\\-\\)]?\\d{{3}}[\\s\\-]?\\d{{2}}[\\s\\-]?\\d{{2}}'), '')) AS phone, website,
  list_filter(ls, lambda s: regexp_matches(s, 'Алматы|пр\\.|ул\\.|шоссе|даңғылы|мкр', 'i') AND length(s) BETWEEN 11 AND 159 AND NOT contains(lower(s), 'cookie'))[1] AS address, ps[1] AS description1, ps[2] AS description2, ps[3] AS description3
 FROM li LEFT JOIN m USING (page_id)""")
@@ -173,17 +173,20 @@ def _(t):
 ANSWERS = """SELECT user_id AS result_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, CASE WHEN event_id % 2 = 0 THEN concat('Вопрос ', CAST(event_id AS STRING)) END AS question, event_type AS answer FROM {events}"""
 
 
-@query("w6_compact_answers", f"""
-WITH a AS (SELECT *, COUNT(*) OVER (PARTITION BY result_id) AS n FROM ({ANSWERS})),
- l AS (SELECT result_id, pos, n > 25 AS lg, CASE WHEN n > 25 THEN pos // 20 ELSE 0 END AS stage, CASE WHEN n > 25 THEN '- ' || answer ELSE CAST(pos + 1 AS STRING) || '. ' || CASE WHEN question IS NOT NULL THEN question || ' — ' ELSE '' END || answer END AS line FROM a)
+def compact_sql(source):
+    return f"""
+WITH a AS (SELECT *, COUNT(*) OVER (PARTITION BY result_id) AS n FROM ({source})),
+ l AS (SELECT result_id, pos, n > 25 AS lg, CASE WHEN n > 25 THEN pos // 20 ELSE 0 END AS stage, CASE WHEN n > 25 THEN '- ' || trim(answer) ELSE CAST(pos + 1 AS STRING) || '. ' || CASE WHEN question IS NOT NULL THEN question || ' — ' ELSE '' END || trim(answer) END AS line FROM a)
 SELECT result_id, CAST(stage AS INTEGER) AS stage, CASE WHEN lg THEN (CASE stage WHEN 0 THEN 'Личностные качества' WHEN 1 THEN 'Предпочтения в работе' WHEN 2 THEN 'Интересы' WHEN 3 THEN 'Профильные предпочтения' ELSE 'Этап ' || CAST(stage + 1 AS STRING) END) || ':' || chr(10) ELSE '' END
-  || string_agg(line, chr(10) ORDER BY pos) AS text FROM l GROUP BY result_id, stage, lg""")
+  || string_agg(line, chr(10) ORDER BY pos) AS text FROM l GROUP BY result_id, stage, lg"""
+
+
+@query("w6_compact_answers", compact_sql(ANSWERS))
 def _(t):
     return W.compact_answers(t.sql(ANSWERS))
 
 
-@query("w6_compact_conversations", """
-SELECT result_id, 0 AS stage, string_agg(CAST(pos + 1 AS STRING) || '. ' || role || ' — ' || trim(answer), chr(10) ORDER BY pos) AS text FROM {answer} GROUP BY 1""")
+@query("w6_compact_conversations", compact_sql("SELECT result_id, pos, role AS question, answer FROM {answer}"))
 def _(t):
     return W.compact_answers(t.answer.withColumnRenamed("role", "question"))
 

@@ -225,3 +225,21 @@ def quality_flags(col: Column) -> Column:
         ("too_few_letters", X.letters(n, f"A-Za-zА-Яа-яЁё{X.KAZAKH_BOTH}") < 8),
     ]
     return F.array_compact(F.array(*[F.when(bad, F.lit(flag)) for flag, bad in checks]))
+
+
+def describe(name: Column, exact: dict, keywords, default: tuple) -> list[Column]:
+    """Description texts of a title: its own, else of the first keyword pattern, else the default.
+
+    Every entry is a tuple of texts; ``{name}`` in a text stands for the title.
+    """
+    low = F.lower(X.text(name))
+
+    def fill(text):
+        return F.replace(F.lit(text), F.lit("{name}"), X.text(name))
+
+    def column(i):
+        branches = [(name == title, fill(texts[i])) for title, texts in exact.items()]
+        branches += [(low.rlike("(?U)" + pattern), fill(texts[i])) for pattern, texts in keywords]
+        return X.cases(branches).otherwise(fill(default[i]))
+
+    return [column(i) for i in range(len(default))]

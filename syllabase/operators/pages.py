@@ -127,13 +127,13 @@ def inherit_page_cost(rows: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def page_contacts(pages: DataFrame, city: str = "Алматы", own_site: str = "vipusknik") -> DataFrame:
+def page_contacts(pages: DataFrame, city: str = "Алматы", listing_site: str = "listing.example") -> DataFrame:
     """Mail, phone, site, address line and the first three long paragraphs of a page."""
     src = H.visible(F.col("html"))
     rows = settle(pages.select("page_id", H.anchors(src).alias("links"), H.lines(src).alias("lines"), H.inner(src, "p").alias("ps")))
     href = lambda start: F.transform(F.filter("links", lambda a: a["href"].startswith(start)), lambda a: a["href"])
     last = lambda arr: F.try_element_at(arr, F.lit(-1))
-    sites = F.filter(href("http"), lambda h: ~X.has(F.lower(h), own_site, *JUNK_SITES) & X.has(F.lower(h), *OWN_SITE))
+    sites = F.filter(href("http"), lambda h: ~X.has(F.lower(h), listing_site, *JUNK_SITES) & X.has(F.lower(h), *OWN_SITE))
     whole = F.array_join("lines", "\n")
     found = lambda p: F.nullif(F.regexp_extract(whole, p, 0), F.lit(""))
     mail = F.regexp_replace(last(href("mailto:")), r"^mailto:|\?.*$", "")

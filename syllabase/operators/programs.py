@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import titles as T
 from ..functions import values as V
+from ..functions.plan import settle
 from .quality import first_per_group
 
 # Words that mark menu entries and error pages among programme names.
@@ -37,10 +38,11 @@ def _first(order, *fields, when=None):
 
 def analyzed_links(link: DataFrame, titles: DataFrame) -> DataFrame:
     """Links joined with the analysis of their programme title (one per programme)."""
-    analysis = T.analyze_titles(titles, T.LINK_RULES).select(
-        "specialization_id", "raw", "title_code", "clean", "lang", "score", "drop", "hint"
+    analysis = T.analyze_titles(titles, T.LINK_RULES)
+    key = T.link_group_key(F.col("title_code"), F.col("clean")).alias("group_key")
+    return link.join(
+        settle(analysis.select("specialization_id", key, "raw", "clean", "lang", "score", "drop", "hint")), "specialization_id"
     )
-    return link.join(analysis, "specialization_id")
 
 
 def clean_links(link: DataFrame, titles: DataFrame) -> DataFrame:
@@ -51,9 +53,7 @@ def clean_links(link: DataFrame, titles: DataFrame) -> DataFrame:
     programme id. A Russian title always scores at least 40, so the first Russian
     row gives both the name and the link.
     """
-    rows = analyzed_links(link, titles).filter(~F.col("drop")).withColumn(
-        "group_key", T.link_group_key(F.col("title_code"), F.col("clean"))
-    )
+    rows = analyzed_links(link, titles).filter(~F.col("drop"))
     order = [(-F.col("score")).alias("o"), F.col("specialization_id").alias("id")]
     fields = ["clean", "raw", "hint"]
     years = F.col("duration").try_cast("int")
@@ -117,7 +117,10 @@ def prepared(programs: DataFrame) -> DataFrame:
     """Usable programme rows with clean title, code, score, price and years."""
     keys = ["name", "qualification", "code"]
     titles = T.analyze_titles(programs.select(*keys).distinct(), T.FILE_RULES, code="code").filter(~F.col("drop"))
-    titles = titles.select(*[F.col(k).alias("_" + k) for k in keys], "title_code", "clean", "lang", "score", "hint")
+    key = T.file_group_key(F.col("title_code"), F.col("clean")).alias("group_key")
+    titles = settle(titles.select(
+        *[F.col(k).alias("_" + k) for k in keys], "title_code", "clean", key, "lang", "score", "hint"
+    ))
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col("_" + k))
@@ -125,7 +128,6 @@ def prepared(programs: DataFrame) -> DataFrame:
     years = F.when(X.is_blank(given), F.col("hint")).otherwise(given.try_cast("int"))
     return (
         programs.join(titles, same)
-        .withColumn("group_key", T.file_group_key(F.col("title_code"), F.col("clean")))
         .withColumn("price", V.normalize_cost(F.col("cost")))
         .withColumn("years", F.when(years.between(1, 8), years))
         .withColumn("branch", F.coalesce(F.nullif("global_specialty", F.lit("")), F.lit(X.DEFAULT_GROUP)))

@@ -1,10 +1,6 @@
 """Change-driven jobs. Each function takes a batch or a streaming frame unless it says otherwise."""
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +8,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import text as X
 from ..operators.ordered import carry_last
+from ..session import shared_folder
 
 # Notification texts.
 NEW_EVENT = "Новое мероприятие '%s'"
@@ -91,16 +88,6 @@ def activity_stream(stream: DataFrame, ts: str, width: str = "1 day", delay: str
     return counts.select(F.col("w.start").alias("bucket"), "total")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder for stream output, under the cluster's checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="syllabase-stream-")
-    return os.path.join(root, f"stream-{uuid.uuid4().hex}")
-
-
 def run_available(stream: DataFrame) -> DataFrame:
     """Drive a stream over all that is there now and read its parquet output."""
     spark = stream.sparkSession
