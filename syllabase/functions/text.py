@@ -54,6 +54,11 @@ def is_blank(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit("")).isin("", "0", "0.0", "false")
 
 
+def is_zero(col: Column) -> Column:
+    """NULL, zero, or no number at all; cheaper than ``is_blank`` for prices and terms."""
+    return F.coalesce(col.try_cast("double"), F.lit(0.0)) == 0
+
+
 def norm(col: Column) -> Column:
     return F.trim(F.regexp_replace(text(col), r"(?U)\s+", " "))
 

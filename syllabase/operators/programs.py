@@ -124,7 +124,7 @@ def prepared(programs: DataFrame) -> DataFrame:
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col("_" + k))
-    given = F.col("duration").cast("string")
+    given = F.col("duration")
     years = F.when(X.is_blank(given), F.col("hint")).otherwise(given.try_cast("int"))
     return (
         programs.join(titles, same)
@@ -155,7 +155,7 @@ def dedupe_programs(programs: DataFrame) -> DataFrame:
 def keep_better(programs: DataFrame) -> DataFrame:
     """Better duplicate per code and name: price, term and code count one point each."""
     name = X.clean_program_name(F.col("name"))
-    have = {c: ~X.is_blank(F.col(c)) for c in ("cost", "duration", "code")}
+    have = {"cost": ~X.is_zero(F.col("cost")), "duration": ~X.is_zero(F.col("duration")), "code": ~X.is_blank(F.col("code"))}
     points = sum((h.cast("int") for h in have.values()), F.lit(0))
     rest = [c for c in programs.columns if c not in ("institution_id", "pos")]
     best = (
@@ -272,7 +272,7 @@ def apply_overrides(programs: DataFrame, by_id: DataFrame, name_rules: DataFrame
         F.when(ruled, "official_name_rule").when(filled, "official_default_fill").when(forced, "official_default_force")
     )
     cost = F.when(ruled, F.col("_rule.cost")).when(filled | forced, offer).otherwise(F.col("cost"))
-    no_years = X.is_blank(F.col("duration")) & (F.col("default_duration") > 0)
+    no_years = X.is_zero(F.col("duration")) & (F.col("default_duration") > 0)
     years = F.when(ruled, F.coalesce(rule_years, F.col("duration"))).when(no_years, F.col("default_duration")).otherwise(F.col("duration"))
     rows = rows.withColumn("cost_source", source).withColumn("_cost", cost).withColumn("_years", years)
     keep = [c for c in programs.columns if c not in ("cost", "duration")]

@@ -37,7 +37,7 @@ def audit(inst: DataFrame, programs: DataFrame) -> DataFrame:
     rows = flagged(programs)
     base = rows.groupBy("institution_id").agg(
         F.count("*").alias("specs_count"),
-        F.count_if(~X.is_blank(F.col("cost"))).alias("with_cost"),
+        F.count_if(~X.is_zero(F.col("cost"))).alias("with_cost"),
         F.count_if(F.size("flags") > 0).alias("issue_rows"),
         F.sum(F.size("flags")).alias("flag_total"),
     )

@@ -17,6 +17,9 @@ def local_session(cpus: int | str = "*", name: str = "syllabase") -> SparkSessio
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Parquet files grow several times when read; without this a large side looks
+        # small enough to broadcast and its join runs in the few tasks of the other side.
+        .config("spark.sql.sources.fileCompressionFactor", "4.0")
         .config("spark.driver.memory", os.environ.get("SYLLABASE_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
