@@ -21,7 +21,8 @@ from .common import settled, typed
 WINDOW = 10
 #: Words of benchmark text in one automaton: some 60 nodes of 60 bytes a word, a few hundred MB at most.
 AUTOMATON_WORDS = 40_000
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word in the original text, where A-Z are still there.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: A-Z to a-z, other ASCII but digits and a-z to blank; bytes of other characters stay.
 NORMAL = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256)

@@ -30,7 +30,7 @@ FREQUENT = 150
 SET_BACK = 1 << 17
 #: Entries of an index list or of a partner list that meet in one block.
 BLOCK = 512
-BITS = 1024
+BITS = 512
 
 
 def shingle_sets(column: pa.Array, size: int = WORDS_IN_SHINGLE) -> Iterator[np.ndarray]:
@@ -116,7 +116,7 @@ def least_overlap(a, b, share: int):
 
 
 def _block_pairs(share: int):
-    """Pairs of an index block that may link and don't hang together yet, decided by sizes, positions and bitmaps."""
+    """Pairs of an index block that may link and don't hang together yet, by sizes, positions and bitmaps: a forest of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in in_order(batches, ["shingle", "cell"]):
             t = t.combine_chunks()
@@ -128,6 +128,7 @@ def _block_pairs(share: int):
             for a, b in zip(starts, ends):
                 if b - a < 2 or (root[a:b] == root[a]).all():
                     continue
+                own_pairs: list[np.ndarray] = []
                 for lo in range(a, b, BLOCK):
                     rows = np.arange(lo, min(lo + BLOCK, b))
                     for lo2 in range(lo, b, BLOCK):
@@ -141,55 +142,153 @@ def _block_pairs(share: int):
                         keep = (apart.astype(np.int64) <= n[i] + n[j] - 2 * least_overlap(n[i], n[j], share)) & (i < j)
                         i, j = i[keep], j[keep]
                         if len(i):
-                            found.append(np.stack([np.minimum(own[i], own[j]), np.maximum(own[i], own[j])], 1))
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                            own_pairs.append(_forest(own[i], own[j]))
+                if own_pairs:
+                    every = np.concatenate(own_pairs)
+                    found.append(_forest(every[:, 0], every[:, 1]))
+            pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
     return run
 
 
+class Groups:
+    """Union of sets that hang together within a task."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As many of the pairs as hold their sets together."""
+    groups = Groups()
+    keep = [groups.join(x, y) for x, y in zip(a.tolist(), b.tolist())]
+    return np.stack([a[keep], b[keep]], 1)
+
+
+def _overlaps(sets: list[np.ndarray], root: np.ndarray):
+    """overlap(i, j). The first set of each root is worked out against i; another one's answer follows from that and the shingles
+    in which it differs from the first."""
+    base: dict[int, int] = {}
+    for k, r in enumerate(root.tolist()):
+        base.setdefault(r, k)
+    differs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    known: dict[tuple[int, int], int] = {}
+
+    def held(values: np.ndarray, own: np.ndarray) -> int:
+        at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+        return int((own[at] == values).sum())
+
+    def overlap(i: int, j: int) -> int:
+        b = base[int(root[j])]
+        if (i, b) not in known:
+            known[i, b] = held(sets[b], sets[i])
+        if j == b:
+            return known[i, b]
+        if j not in differs:
+            differs[j] = (np.setdiff1d(sets[j], sets[b], assume_unique=True), np.setdiff1d(sets[b], sets[j], assume_unique=True))
+        more, less = differs[j]
+        return known[i, b] + held(more, sets[i]) - held(less, sets[i])
+
+    return overlap
+
+
+def _cell_links(share: int, size: int):
+    """Links between the sets of a cell that don't hang together yet, as many as hold them together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in in_order(batches, ["grp", "one", "two"]):
+            grp, one, two, mine, own, root = (t.column(c).to_numpy() for c in ("grp", "one", "two", "mine", "set_id", "root"))
+            new = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+            us, vs = [], []
+            for lo, hi in zip(new, np.append(new[1:], len(grp))):
+                sets = list(shingle_sets(t.column("text").slice(lo, hi - lo).combine_chunks(), size))
+                ids, roots, side = own[lo:hi], root[lo:hi], mine[lo:hi]
+                bits = np.stack([bitmap(x) for x in sets]).view(np.uint64)
+                n = np.array([len(x) for x in sets])
+                groups, overlap = Groups(), _overlaps(sets, roots)
+                for i in range(len(ids)):
+                    other = np.flatnonzero((roots != roots[i]) & ((side != side[i]) | (one[lo] == two[lo])))
+                    other = other[other > i]
+                    need = least_overlap(n[i], n[other], share)
+                    apart = np.bitwise_count(bits[other] ^ bits[i]).sum(1).astype(np.int64)
+                    for j in other[(np.minimum(n[i], n[other]) >= need) & (apart <= n[i] + n[other] - 2 * need)].tolist():
+                        if groups.top(int(roots[i])) == groups.top(int(roots[j])):
+                            continue
+                        both = overlap(i, j)
+                        if 100 * both >= share * (n[i] + n[j] - both):
+                            groups.join(int(roots[i]), int(roots[j]))
+                            us.append(ids[i])
+                            vs.append(ids[j])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+    return run
+
+
+def _grouped_links(candidates: DataFrame, roots: DataFrame, texts: DataFrame, share: int, size: int) -> DataFrame:
+    """All links that the candidates' groups still lack. A group's sets are dealt over blocks, those of a large root over blocks of
+    its own; blocks meet in cells, but for two blocks of one root."""
+    groups = components(candidates).select(F.col("node").alias("set_id"), F.col("root").alias("grp"))
+    members = settled(groups.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
+    by_root = members.groupBy("grp", "root").agg(F.count("*").alias("n"))
+    small = by_root.filter(F.col("n") < BLOCK // 2).groupBy("grp").agg(F.sum("n").alias("mixed"))
+    plan = settled(by_root.join(small, "grp", "left"))
+    large = F.col("n") >= BLOCK // 2
+    cuts = F.ceil(F.when(large, F.col("n")).otherwise(F.col("mixed")) / (BLOCK // 2)).cast("int")
+    owner = F.when(large, F.col("root"))  # null: a block of several roots
+    rows = members.join(plan.withColumn("cuts", cuts).withColumn("owner", owner), ["grp", "root"])
+    rows = settled(rows.withColumn("block", F.xxhash64("owner", F.pmod(F.xxhash64("set_id"), F.col("cuts")))).select(
+        "grp", "set_id", "root", "owner", "block"))
+    blocks = settled(rows.select("grp", "owner", "block").distinct())
+    other = blocks.select("grp", F.col("owner").alias("owner2"), F.col("block").alias("block2"))
+    cells = blocks.join(other, "grp").filter((F.col("owner").isNull() | F.col("owner2").isNull() | (F.col("owner") != F.col("owner2"))))
+    cells = cells.select("grp", F.col("block").alias("mine"), F.least("block", "block2").alias("one"), F.greatest("block", "block2").alias("two"))
+    dealt = rows.select("grp", "set_id", "root", F.col("block").alias("mine")).join(cells, ["grp", "mine"]).join(texts, "set_id")
+    dealt = dealt.select("grp", "one", "two", "mine", "set_id", "root", "text").repartition("grp", "one", "two")
+    return dealt.sortWithinPartitions("grp", "one", "two", "root", "set_id").mapInArrow(_cell_links(share, size), "u bigint, v bigint")
+
+
 def _links(share: int, size: int):
-    """Links between a cell's left set and its right ones. A right set's overlap follows from its forerunner's where they are alike."""
+    """Links between a cell's left set and its right ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in in_order(batches, ["a", "part"]):
-            a, part, own, root, left = (t.column(c).to_numpy() for c in ("a", "part", "set_id", "root", "is_left"))
+            a, part, own = (t.column(c).to_numpy() for c in ("a", "part", "set_id"))
             sets = list(shingle_sets(t.column("text"), size))
             starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (part[1:] != part[:-1])]))
-            ends = np.append(starts[1:], len(a))
             us, vs = [], []
-            for lo, hi in zip(starts, ends):
-                members = {int(own[k]): k for k in range(lo, hi) if set_id(sets[k]) == own[k]}
-                head = members.get(int(a[lo]))
+            for lo, hi in zip(starts, np.append(starts[1:], len(a))):
+                head = next((sets[k] for k in range(lo, hi) if own[k] == a[lo]), None)
                 if head is None:
                     continue
-                base, known = None, 0
-                for k in sorted((k for k in members.values() if not left[k]), key=lambda k: (root[k], own[k])):
-                    if base is not None and root[base] == root[k]:
-                        more = np.setdiff1d(sets[k], sets[base], assume_unique=True)
-                        less = np.setdiff1d(sets[base], sets[k], assume_unique=True)
-                        both = known + np.isin(more, sets[head]).sum() - np.isin(less, sets[head]).sum()
-                    else:
-                        both = len(np.intersect1d(sets[k], sets[head], assume_unique=True))
-                        base, known = k, both
-                    if 100 * both >= share * (len(sets[k]) + len(sets[head]) - both):
-                        us.append(own[k])
-                        vs.append(a[lo])
+                for k in range(lo, hi):
+                    if own[k] != a[lo]:
+                        at = np.minimum(np.searchsorted(head, sets[k]), len(head) - 1)
+                        both = int((head[at] == sets[k]).sum())
+                        if 100 * both >= share * (len(sets[k]) + len(head) - both):
+                            us.append(own[k])
+                            vs.append(a[lo])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, roots: DataFrame | None, share: int, size: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, share: int, size: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that link. Partners of a set that has very many are dealt over several cells."""
     counts = settled(pairs.groupBy("a").agg(F.count("*").alias("m")))
     parts = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
-    right = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"), F.col("b").alias("set_id"),
-                                           F.lit(False).alias("is_left"))
-    heads = counts.select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("a").alias("set_id"), F.lit(True).alias("is_left"))
-    members = right.unionByName(heads)
-    if roots is not None:
-        members = members.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    else:
-        members = members.withColumn("root", F.when(F.col("is_left"), F.col("set_id")).otherwise(F.col("a")))
-    cells = members.join(texts, "set_id").select("a", "part", "set_id", "root", "is_left", "text")
+    right = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"), F.col("b").alias("set_id"))
+    heads = counts.select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("a").alias("set_id"))
+    cells = right.unionByName(heads).join(texts, "set_id").select("a", "part", "set_id", "text")
     cells = cells.repartition("a", "part").sortWithinPartitions("a", "part")
     return cells.mapInArrow(_links(share, size), "u bigint, v bigint")
 
@@ -221,17 +320,17 @@ def grouped(docs: DataFrame, share: int = SHARE, size: int = WORDS_IN_SHINGLE) -
     narrow = sets.select("set_id", "n", "bits")
     star = (best.join(narrow, "set_id").join(narrow.select(F.col("set_id").alias("pivot"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "pivot")
             .filter(_may_link(share)).select(F.col("pivot").alias("a"), F.col("set_id").alias("b")))
-    first = settled(_verified(star, pool, None, share, size))
+    first = settled(_verified(star, pool, share, size))
     roots = settled(components(first).select(F.col("node").alias("set_id"), "root"))
 
-    # Lists in which not all sets hang together are compared block by block.
+    # Lists in which not all sets hang together are compared block by block; the sets that may link there meet in cells.
     named = index.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     mixed = named.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
     blocks = _cells(settled(named.join(mixed, "shingle")), share)
     blocks = blocks.join(narrow.select("set_id", "bits"), "set_id")
     blocks = blocks.repartition("shingle", "cell").sortWithinPartitions("shingle", "cell", "n")
-    pairs = settled(blocks.select("shingle", "cell", "set_id", "root", "n", "at", "bits").mapInArrow(_block_pairs(share), "a bigint, b bigint").distinct())
-    second = _verified(pairs, pool, roots, share, size)
+    pairs = settled(blocks.select("shingle", "cell", "set_id", "root", "n", "at", "bits").mapInArrow(_block_pairs(share), "u bigint, v bigint").distinct())
+    second = _grouped_links(pairs, roots, pool, share, size)
     edges = roots.filter("set_id <> root").select(F.col("set_id").alias("u"), F.col("root").alias("v")).union(second)
     groups = components(edges)
     whole = sets.join(groups, sets["set_id"] == groups["node"], "left").select("set_id", F.coalesce("root", "set_id").alias("root"))
