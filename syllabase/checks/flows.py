@@ -8,7 +8,7 @@ from .registry import query
 
 @query("m7_rebuild_catalog", f"""
 WITH own AS (SELECT institution_id AS incoming_id, MIN(institution_id) OVER (PARTITION BY name, type) AS institution_id FROM {{uni}}),
- p0 AS (SELECT o.institution_id, p.institution_id AS inc, p.pos, substr(trim(regexp_replace(COALESCE(p.name, ''), '{D.SP}+', ' ', 'g')), 1, 240) AS name, COALESCE(p.global_specialty, 'Образовательные программы') AS g,
+ p0 AS (SELECT o.institution_id, p.institution_id AS inc, p.pos, trim(regexp_replace(COALESCE(p.name, ''), '{D.SP}+', ' ', 'g')) AS name, COALESCE(p.global_specialty, 'Образовательные программы') AS g,
    CASE WHEN p.code IS NOT NULL THEN concat('6В', substr(p.code, 3)) END AS code, CASE WHEN p.cost > 0 THEN p.cost END AS cost, CASE WHEN p.duration BETWEEN 1 AND 10 THEN p.duration END AS duration
    FROM {{program}} p JOIN own o ON p.institution_id = o.incoming_id)
 SELECT institution_id, g AS global_name, CASE WHEN code IS NULL THEN g ELSE concat(code, ' · ', g) END AS qualification_name, name, last(cost ORDER BY inc, pos) FILTER (WHERE cost IS NOT NULL) AS cost, last(duration ORDER BY inc, pos) FILTER (WHERE duration IS NOT NULL) AS duration

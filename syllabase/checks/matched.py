@@ -193,7 +193,7 @@ def _(t):
     return t.sql(CANDS).select("event_id", best["score"].alias("score"), best["lat"].alias("lat"), best["lng"].alias("lng"), best["display"].alias("display"))
 
 
-API = f"(SELECT institution_id, arg_max(lat, seq) AS lat, arg_max(lng, seq) AS lng, 'api' AS source FROM {GOOD} WHERE source = 'google' AND lng > 71.45 GROUP BY 1)"
+API = f"(SELECT institution_id, arg_max(lat, seq) AS lat, arg_max(lng, seq) AS lng, 'api' AS source FROM {GOOD} WHERE source = 'google' GROUP BY 1)"
 
 
 @query("n11_resolve_coords", f"""
@@ -206,7 +206,7 @@ SELECT institution_id, CASE WHEN alat IS NOT NULL THEN alat WHEN pin IS NOT NULL
  CASE WHEN alat IS NOT NULL THEN 'api' WHEN pin IS NOT NULL THEN 'known_pin' WHEN old THEN 'existing' END AS source,
  alat IS NOT NULL OR pin IS NOT NULL OR COALESCE(old, FALSE) AS ok FROM p""")
 def _(t):
-    good = t.sql(RESULTS).filter("ok AND lat IS NOT NULL AND source = 'google' AND lng > 71.45")
+    good = t.sql(RESULTS).filter("ok AND lat IS NOT NULL AND source = 'google'")
     api = good.groupBy("institution_id").agg(F.max_by("lat", "seq").alias("lat"), F.max_by("lng", "seq").alias("lng"), F.lit("api").alias("source"))
     return L.resolve_coords(t.uni, api)
 
@@ -259,12 +259,12 @@ def _(t):
 
 
 @query("j18_names_related", f"""
-WITH p AS (SELECT i.incoming_id, u.institution_id, i.name AS a, u.name AS b FROM {{incoming}} i JOIN {{uni}} u ON i.incoming_id % 100 = u.institution_id)
+WITH p AS (SELECT i.incoming_id, u.institution_id, i.name AS a, u.name AS b FROM {{incoming}} i JOIN {{uni}} u ON i.incoming_id % (SELECT COUNT(*) FROM {{uni}}) = u.institution_id)
 SELECT incoming_id, institution_id, ({D.soft_name('a')} <> '' AND {D.soft_name('a')} = {D.soft_name('b')}) OR lower(a) = lower(b)
   OR (list_has_any({D.tokens5('a')}, {D.tokens5('b')}) AND {D.college('a')} = {D.college('b')}) AS related,
  lower(a) = lower(b) OR list_has_any({D.tokens5('a', D.STRICT_STOP)}, {D.tokens5('b', D.STRICT_STOP)}) AS related_strict FROM p""")
 def _(t):
     p = t.incoming.select("incoming_id", F.col("name").alias("a")).join(
-        t.uni.select("institution_id", F.col("name").alias("b")), F.col("incoming_id") % 100 == F.col("institution_id"))
+        t.uni.select("institution_id", F.col("name").alias("b")), F.col("incoming_id") % t.uni.count() == F.col("institution_id"))
     a, b = F.col("a"), F.col("b")
     return p.select("incoming_id", "institution_id", X.names_related(a, b).alias("related"), X.names_related(a, b, strict=True).alias("related_strict"))

@@ -42,7 +42,7 @@ SPECS = "(SELECT specialization_id, name, concat(CAST(specialization_id % 4 AS S
 @query("w1_apply_renames", CLEAN + f""",
  sp AS {SPECS}, named AS (SELECT name, qualification_id, MIN(specialization_id) AS target FROM sp GROUP BY 1, 2),
  placed AS (SELECT k.*, COALESCE(k.renamed AND n.target IS NOT NULL AND n.target <> k.specialization_id, FALSE) AS moved, n.target
-   FROM kept k JOIN sp USING (specialization_id) LEFT JOIN named n ON n.name = substr(k.final_name, 1, 240) AND n.qualification_id = sp.qualification_id),
+   FROM kept k JOIN sp USING (specialization_id) LEFT JOIN named n ON n.name = k.final_name AND n.qualification_id = sp.qualification_id),
  pl AS (SELECT *, CASE WHEN moved THEN target ELSE specialization_id END AS place FROM placed)
 SELECT institution_id, place AS specialization_id,
   first(cost ORDER BY moved DESC, specialization_id) FILTER (WHERE cost IS NOT NULL) AS cost,
@@ -82,7 +82,7 @@ def _(t):
     return P.run_totals(P.dedupe_programs(t.program))
 
 
-CLEAN_NAME = "substr(regexp_replace(" + D.norm("name") + r", '^(ОП|образовательная программа|программа)\s*[:\-]?\s*', '', 'i'), 1, 220)"
+CLEAN_NAME = "regexp_replace(" + D.norm("name") + r", '^(ОП|образовательная программа|программа)\s*[:\-]?\s*', '', 'i')"
 
 
 @query("w3_keep_better", f"""
@@ -96,9 +96,9 @@ def _(t):
 
 @query("p9_gate_official", """
 WITH r AS (SELECT institution_id, pos, trim(name) AS name, code, CASE WHEN cost > 0 THEN cost END AS cost FROM {program}),
- g AS (SELECT *, row_number() OVER (PARTITION BY institution_id ORDER BY pos) AS rk FROM r
+ g AS (SELECT * FROM r
   WHERE length(name) BETWEEN 5 AND 160 AND NOT regexp_matches(lower(name), 'cookie|меню|главная|войти|login|privacy|политика|подробнее|скачать') AND (code IS NOT NULL OR cost IS NOT NULL))
-SELECT institution_id, pos, name, code, cost FROM g WHERE rk <= 120""")
+SELECT institution_id, pos, name, code, cost FROM g""")
 def _(t):
     return P.gate_official(t.program).select("institution_id", "pos", "name", "code", "cost")
 
@@ -108,13 +108,13 @@ def _(t):
     return P.gate_min_programs(t.program, 600)
 
 
-@query("w7_cap_programs", """
+@query("w7_list_sizes", """
 WITH r AS (SELECT institution_id, pos, name, CASE WHEN institution_id % 2 = 0 THEN code END AS code FROM {program}),
- s AS (SELECT *, COUNT(*) OVER (PARTITION BY institution_id) AS n, COUNT(code) OVER (PARTITION BY institution_id) AS c, row_number() OVER (PARTITION BY institution_id ORDER BY pos) AS rk FROM r)
-SELECT institution_id, pos, name, code FROM s WHERE n <= 400 OR (c >= 5 AND code IS NOT NULL) OR (c < 5 AND rk <= 250)""")
+ s AS (SELECT *, code IS NOT NULL AS has_code, COUNT(*) OVER (PARTITION BY institution_id) AS listed, COUNT(code) OVER (PARTITION BY institution_id) AS coded FROM r)
+SELECT institution_id, pos, name, code, has_code, listed, coded FROM s""")
 def _(t):
     rows = t.program.select("institution_id", "pos", "name", F.when(F.col("institution_id") % 2 == 0, F.col("code")).alias("code"))
-    return P.cap_programs(rows)
+    return P.list_sizes(rows)
 
 
 # ---- J14: two sources; the second one holds every third row under changed spelling

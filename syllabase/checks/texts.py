@@ -39,7 +39,7 @@ column("x9_is_junk_file", RAW_SQL, sid, lambda: T.is_junk(F.col("raw"), T.FILE_R
 column("x10_is_fragment", RAW_SQL, sid, lambda: T.is_fragment(F.col("raw")), D.fragment("raw"))
 column("x11_extract_code", "{title}", sid, lambda: X.extract_code(F.col("name")), D.code("name"))
 column("x11_normalize_code", "{title}", sid, lambda: X.normalize_code(F.col("code")),
-       r"NULLIF(substr(regexp_replace(regexp_replace(trim(code), '^6[Bb]', '6В'), '\s+', '', 'g'), 1, 32), '')")
+       r"NULLIF(regexp_replace(regexp_replace(trim(code), '^6[Bb]', '6В'), '\s+', '', 'g'), '')")
 column("x12_website_host", "{uni}", iid, lambda: X.website_host(F.col("website")), D.host("website"))
 column("x12_page_host", "pages", "page_id", lambda: X.website_host(F.col("url")), D.host("url"))
 column("x13_city_key", "{uni}", iid, lambda: X.city_key(F.col("location"), F.col("address")), D.city("concat_ws(' ', location, address)"))
@@ -51,7 +51,7 @@ column("x18_group_key", "{title}", sid, lambda: T.file_group_key(X.extract_code(
        f"WHEN regexp_matches({D.code('code')}, '^6В\\d{{2,4}}$') THEN concat('grp:', {D.code('code')}, ':', {D.fingerprint('name')}) "
        f"ELSE concat('n:', {D.fingerprint('name')}) END")
 column("x19_clean_program_name", "{spec}", sid, lambda: X.clean_program_name(F.concat(F.element_at(F.array(F.lit("ОП: "), F.lit("Программа - "), F.lit("")), (F.col(sid) % 3 + 1).cast("int")), F.col("name"))),
-       "substr(name, 1, 220)")
+       "name")
 column("x20_absolute_url", "{uni}", iid, lambda: X.absolute_url(F.coalesce(F.col("website"), F.nullif(F.col("address"), F.lit(""))), "https://cdn.example.org/storage/"),
        "CASE WHEN COALESCE(website, NULLIF(address, '')) IS NULL THEN NULL WHEN website IS NOT NULL THEN website ELSE concat('https://cdn.example.org/storage/', address) END")
 column("x21_clip", "documents", "doc_id", lambda: F.concat(X.clip(F.col("text"), 240), F.lit("|"), X.clip(F.col("text"), 100, "...")),

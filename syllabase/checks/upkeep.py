@@ -21,7 +21,7 @@ ROLES.update({
 PLACED = f"""
 WITH p0 AS (SELECT ord, trim(regexp_replace(COALESCE(name, ''), '{D.SP}+', ' ', 'g')) AS nm, COALESCE(global_specialty, 'Образовательные программы') AS g,
    CASE WHEN code IS NOT NULL THEN concat('6В', substr(code, 3)) END AS code FROM {{offer}}),
- p AS (SELECT ord, substr(nm, 1, 240) AS nm, g, code, CASE WHEN code IS NULL THEN g ELSE concat(code, ' · ', g) END AS qn FROM p0 WHERE length(nm) >= 2),
+ p AS (SELECT ord, nm, g, code, CASE WHEN code IS NULL THEN g ELSE concat(code, ' · ', g) END AS qn FROM p0 WHERE length(nm) >= 2),
  k2 AS (SELECT g.global_name, q.* FROM {{tree2}} q JOIN {{tree1}} g USING (global_id)),
  r AS (SELECT p.*, (SELECT MIN(qualification_id) FROM k2 WHERE k2.global_name = p.g AND p.code IS NOT NULL AND (qualification_name = qn OR qualification_name = p.code OR description = p.code OR starts_with(qualification_name, p.code || ' '))) AS byc,
    (SELECT MIN(qualification_id) FROM k2 WHERE k2.global_name = p.g AND qualification_name = qn) AS byn FROM p),
@@ -67,7 +67,7 @@ def _(t):
 
 NEW_LINKS = """SELECT l_orderkey * 10 + l_linenumber AS ord, l_suppkey AS institution_id, l_partkey AS specialization_id,
  CASE WHEN CAST(l_quantity AS INT) % 3 = 0 THEN NULL WHEN CAST(l_quantity AS INT) % 3 = 1 THEN concat(CAST(l_orderkey AS STRING), ' 000 тг') ELSE 'нет' END AS cost,
- CASE WHEN CAST(l_quantity AS INT) % 2 = 0 THEN concat(CAST(CAST(l_quantity AS INT) AS STRING), ' лет') END AS duration FROM {lineitem} WHERE l_returnflag = 'R'"""
+ CASE WHEN CAST(l_quantity AS INT) % 2 = 0 THEN concat(CAST(CAST(l_quantity AS INT) AS STRING), ' лет') END AS duration FROM {lineitem}"""
 OLD_LINKS = "SELECT institution_id, specialization_id, cost, duration, created_at FROM {link} WHERE created_at < TIMESTAMP '1999-06-01'"
 
 
@@ -97,12 +97,9 @@ def _(t):
     return M.change_stats(M.upsert_links(t.sql(OLD_LINKS), t.sql(NEW_UNIQUE)))
 
 
-RICH = " AND l_suppkey IN (SELECT s_suppkey FROM {supplier} WHERE s_acctbal > 5000)"
-
-
-@query("m6_import_replace", "WITH" + upsert_sql(f"SELECT * FROM ({OLD_LINKS}) WHERE institution_id NOT IN (SELECT institution_id FROM n0)", NEW_UNIQUE + RICH))
+@query("m6_import_replace", "WITH" + upsert_sql(f"SELECT * FROM ({OLD_LINKS}) WHERE institution_id NOT IN (SELECT institution_id FROM n0)", NEW_UNIQUE))
 def _(t):
-    return M.import_links(t.sql(OLD_LINKS), t.sql(NEW_UNIQUE + RICH), mode="replace")
+    return M.import_links(t.sql(OLD_LINKS), t.sql(NEW_UNIQUE), mode="replace")
 
 
 UPDATE = "SELECT incoming_id AS ord, incoming_id % 90 AS institution_id, location, CASE WHEN incoming_id % 3 = 0 THEN '' ELSE website END AS website FROM {incoming}"
@@ -176,7 +173,7 @@ def _(t):
 
 
 PLAN = """SELECT l_orderkey * 1000 + CAST(l_quantity AS INT) AS ord, l_suppkey AS wrong_id, l_suppkey + 1 AS right_id, l_partkey AS specialization_id, l_extendedprice AS cost, CAST(NULL AS INT) AS duration
- FROM {lineitem} WHERE l_returnflag = 'A' AND l_linestatus = 'O' AND l_discount > 0.07"""
+ FROM {lineitem}"""
 
 
 @query("m5_repair_links", f"WITH pl AS ({PLAN}), gone AS (SELECT l.institution_id, l.specialization_id FROM {{link}} l WHERE l.created_at >= TIMESTAMP '1998-01-01' AND EXISTS (SELECT 1 FROM pl WHERE pl.wrong_id = l.institution_id AND pl.specialization_id = l.specialization_id)), "

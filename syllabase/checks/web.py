@@ -77,7 +77,7 @@ def _(t):
     return P.top_links(P.page_links(t.rich_page, seeds=SEEDS), 3).select("page_id", "link", "score", "rank")
 
 
-CLEANED = lambda s: f"substr(regexp_replace({D.norm(s)}, '^(ОП|образовательная программа|программа)\\s*[:\\-]?\\s*', '', 'i'), 1, 220)"
+CLEANED = lambda s: f"regexp_replace({D.norm(s)}, '^(ОП|образовательная программа|программа)\\s*[:\\-]?\\s*', '', 'i')"
 PCODE = lambda s: f"regexp_replace(NULLIF(regexp_extract({s}, '{P.PAGE_CODE}'), ''), '^6[Bb]', '6В')"
 TABLES = f"""
  v AS (SELECT page_id, {SEEN} AS src FROM {{rich_page}}),
@@ -173,22 +173,26 @@ def _(t):
 ANSWERS = """SELECT user_id AS result_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, CASE WHEN event_id % 2 = 0 THEN concat('Вопрос ', CAST(event_id AS STRING)) END AS question, event_type AS answer FROM {events}"""
 
 
-def compact_sql(source):
+def compact_sql(source, staged):
+    mark = "'- '" if staged else "CAST(pos + 1 AS STRING) || '. '"
+    title = """(CASE stage WHEN 0 THEN 'Личностные качества' WHEN 1 THEN 'Предпочтения в работе' WHEN 2 THEN 'Интересы' WHEN 3 THEN 'Профильные предпочтения'
+  ELSE 'Этап ' || CAST(stage + 1 AS STRING) END) || ':' || chr(10) || """ if staged else ""
     return f"""
-WITH a AS (SELECT *, COUNT(*) OVER (PARTITION BY result_id) AS n FROM ({source})),
- l AS (SELECT result_id, pos, n > 25 AS lg, CASE WHEN n > 25 THEN pos // 20 ELSE 0 END AS stage, CASE WHEN n > 25 THEN '- ' || trim(answer) ELSE CAST(pos + 1 AS STRING) || '. ' || CASE WHEN question IS NOT NULL THEN question || ' — ' ELSE '' END || trim(answer) END AS line FROM a)
-SELECT result_id, CAST(stage AS INTEGER) AS stage, CASE WHEN lg THEN (CASE stage WHEN 0 THEN 'Личностные качества' WHEN 1 THEN 'Предпочтения в работе' WHEN 2 THEN 'Интересы' WHEN 3 THEN 'Профильные предпочтения' ELSE 'Этап ' || CAST(stage + 1 AS STRING) END) || ':' || chr(10) ELSE '' END
-  || string_agg(line, chr(10) ORDER BY pos) AS text FROM l GROUP BY result_id, stage, lg"""
+WITH l AS (SELECT result_id, pos, pos // 20 AS stage, {mark} || CASE WHEN question IS NOT NULL THEN question || ' — ' ELSE '' END || trim(answer) AS line FROM ({source}))
+SELECT result_id, CAST(stage AS INTEGER) AS stage, {title}string_agg(line, chr(10) ORDER BY pos) AS text FROM l GROUP BY result_id, stage"""
 
 
-@query("w6_compact_answers", compact_sql(ANSWERS))
+@query("w6_compact_answers", compact_sql(ANSWERS, True))
 def _(t):
-    return W.compact_answers(t.sql(ANSWERS))
+    return W.compact_answers(t.sql(ANSWERS), staged=True)
 
 
-@query("w6_compact_conversations", compact_sql("SELECT result_id, pos, role AS question, answer FROM {answer}"))
+CONVERSATIONS = "SELECT result_id, pos, role AS question, answer FROM {answer}"
+
+
+@query("w6_compact_conversations", compact_sql(CONVERSATIONS, False))
 def _(t):
-    return W.compact_answers(t.answer.withColumnRenamed("role", "question"))
+    return W.compact_answers(t.sql(CONVERSATIONS))
 
 
 @query("t5_assemble_chunks", "SELECT conv_id AS id, turn // 3 AS part, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY 1, 2")

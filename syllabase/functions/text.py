@@ -118,9 +118,9 @@ def extract_code(col: Column) -> Column:
 
 
 def normalize_code(col: Column) -> Column:
-    """Code of a nested file: no blanks, Cyrillic second letter, at most 32 characters."""
+    """Code of a nested file: no blanks, Cyrillic second letter."""
     s = F.regexp_replace(F.regexp_replace(F.trim(text(col)), "^6[Bb]", "6В"), r"(?U)\s+", "")
-    return F.when(s != "", F.substring(s, 1, 32))
+    return F.when(s != "", s)
 
 
 def website_host(col: Column) -> Column:
@@ -178,8 +178,7 @@ def names_related(a: Column, b: Column, strict: bool = False) -> Column:
 
 
 def clean_program_name(col: Column) -> Column:
-    s = F.regexp_replace(norm(col), r"(?iU)^(ОП|образовательная программа|программа)\s*[:\-]?\s*", "")
-    return F.substring(s, 1, 220)
+    return F.regexp_replace(norm(col), r"(?iU)^(ОП|образовательная программа|программа)\s*[:\-]?\s*", "")
 
 
 def absolute_url(path: Column, base: str) -> Column:

@@ -32,7 +32,8 @@ NOISE = (
 )
 LEADING_SHORT_WORD = r"^[а-яё]{1,3}\s+(?=[А-ЯЁ])"
 DATE = r"\d{2}\.\d{2}\.\d{4}"
-RUSSIAN_RUN = r"[А-Яа-яЁё]+(?:\s+[А-Яа-яЁё0-9\-\(\)«»\",./]+)+"
+# Words and blanks after the first word, ending in a word; one class instead of a repeated group, which would recurse.
+RUSSIAN_RUN = r"[А-Яа-яЁё]+\s[А-Яа-яЁё0-9\-\(\)«»\",./\s]*[А-Яа-яЁё0-9\-\(\)«»\",./]"
 RUSSIAN_WORD = r"[А-Яа-яЁё]{6,}"
 UI_WORDS = "cookie|javascript|privacy|войти|login|меню|главная"
 

@@ -119,7 +119,8 @@ def validate_payload(schema_json: Column, payload_json: Column) -> Column:
     return F.filter(F.transform(form, broken), lambda e: e.isNotNull())
 
 
-JSON_STRING = r'"((?:[^"\\]|\\.)*)"'
+# Up to the first quote with an even number of backslashes before it. No group repeats: such a loop would recurse.
+JSON_STRING = r'"(?>((?s:.*?)(?<!\\)(?:\\\\)*+)")'
 
 
 def _json_text(col: Column) -> Column:

@@ -9,32 +9,26 @@ from ..functions import text as X
 # Names of the test stages and their length.
 STAGES = ("Личностные качества", "Предпочтения в работе", "Интересы", "Профильные предпочтения")
 STAGE_LENGTH = 20
-SHORT_TEST = 25
 
 
-def compact_answers(answers: DataFrame) -> DataFrame:
-    """(result_id, stage, text): short tests with their questions, long ones as staged answers.
+def compact_answers(answers: DataFrame, staged: bool = False) -> DataFrame:
+    """(result_id, stage, text): a line per answer with its question, a row per stage of 20 answers.
 
-    answers: result_id, pos (0, 1, 2 … unique), question, answer. A long test
-    gives one row per stage of 20 answers, so no row grows with the test.
+    answers: result_id, pos (0, 1, 2 … unique), question, answer. ``staged`` gives the stages their names and
+    takes the numbers away, for all tests of a call alike. No row grows with the test.
     """
-    sizes = answers.groupBy("result_id").agg(F.count("*").alias("_n"))
-    rows = answers.join(sizes, "result_id")
-    long = F.col("_n") > SHORT_TEST
     q, a = F.trim(X.text(F.col("question"))), F.trim(X.text(F.col("answer")))
-    number = F.concat((F.col("pos") + 1).cast("string"), F.lit(". "))
-    line = F.when(long, F.concat(F.lit("- "), a)).otherwise(
-        F.concat(number, F.when(q != "", F.concat(q, F.lit(" — "))).otherwise(""), a)
-    )
-    stage = F.when(long, F.floor(F.col("pos") / STAGE_LENGTH)).otherwise(0).cast("int")
-    grouped = rows.groupBy("result_id", stage.alias("stage"), long.alias("_long")).agg(
+    mark = F.lit("- ") if staged else F.concat((F.col("pos") + 1).cast("string"), F.lit(". "))
+    line = F.concat(mark, F.when(q != "", F.concat(q, F.lit(" — "))).otherwise(""), a)
+    stage = F.floor(F.col("pos") / STAGE_LENGTH).cast("int")
+    grouped = answers.groupBy("result_id", stage.alias("stage")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda s: s["l"]), "\n").alias("text")
     )
+    if not staged:
+        return grouped
     names = F.array(*[F.lit(s) for s in STAGES])
     title = F.coalesce(F.get(names, F.col("stage")), F.concat(F.lit("Этап "), (F.col("stage") + 1).cast("string")))
-    return grouped.select(
-        "result_id", "stage", F.when(F.col("_long"), F.concat(title, F.lit(":\n"), "text")).otherwise(F.col("text")).alias("text")
-    )
+    return grouped.select("result_id", "stage", F.concat(title, F.lit(":\n"), "text").alias("text"))
 
 
 def assemble_chunks(chunks: DataFrame, width: int = 1000) -> DataFrame:

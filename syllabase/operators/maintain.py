@@ -34,10 +34,10 @@ def placed_programs(programs: DataFrame) -> DataFrame:
     name = F.trim(F.regexp_replace(X.text(F.col("name")), r"(?U)\s+", " "))
     group = F.trim(F.regexp_replace(X.text(F.col("global_specialty")), r"(?U)\s+", " "))
     return (
-        programs.withColumn("program_name", F.substring(name, 1, 240)).filter(F.length(name) >= 2)
+        programs.withColumn("program_name", name).filter(F.length(name) >= 2)
         .withColumn("global_name", F.coalesce(F.nullif(group, F.lit("")), F.lit(X.DEFAULT_GROUP)))
         .withColumn("code", X.normalize_code(F.col("code")))
-        .withColumn("qual_name", F.substring(F.concat_ws(" · ", "code", "global_name"), 1, 240))
+        .withColumn("qual_name", F.concat_ws(" · ", "code", "global_name"))
     )
 
 
@@ -157,12 +157,15 @@ def duplicate_roots(inst: DataFrame, groups=SAME_GROUP, pair=PAIR) -> DataFrame:
 
 
 def remap(fact: DataFrame, roots: DataFrame, unique: list[str] | None = None) -> DataFrame:
-    """Point a fact table at the kept rows; rows that would break a unique key vanish."""
-    out = (
-        fact.join(roots.withColumnRenamed("node", "institution_id"), "institution_id", "left")
-        .withColumn("institution_id", F.coalesce("root", "institution_id")).drop("root")
-    )
-    return out.dropDuplicates(unique) if unique else out
+    """Point a fact table at the kept rows. Of rows that would break a unique key one stays: the kept side's own, else the one
+    of the lowest old id, ties by the other columns."""
+    out = fact.withColumn("_old", F.col("institution_id")).join(roots.withColumnRenamed("node", "institution_id"), "institution_id", "left")
+    out = out.withColumn("institution_id", F.coalesce("root", "institution_id")).drop("root")
+    if not unique:
+        return out.drop("_old")
+    rest = [c for c in fact.columns if c not in unique]
+    best = F.min(F.struct((F.col("_old") != F.col("institution_id")).alias("_moved"), "_old", *rest)).alias("_best")
+    return out.groupBy(*unique).agg(best).select(*[F.col(f"_best.{c}").alias(c) if c in rest else c for c in fact.columns])
 
 
 def merge_links(link: DataFrame, roots: DataFrame) -> DataFrame:

@@ -92,8 +92,7 @@ def apply_renames(kept: DataFrame, spec: DataFrame) -> tuple[DataFrame, DataFram
     programme the one with the highest id decides.
     """
     named = spec.groupBy("name", "qualification_id").agg(F.min("specialization_id").alias("target"))
-    cut = F.substring("final_name", 1, 240)
-    wanted = kept.join(spec.select("specialization_id", "qualification_id"), "specialization_id").withColumn("name", cut)
+    wanted = kept.join(spec.select("specialization_id", "qualification_id"), "specialization_id").withColumn("name", F.col("final_name"))
     wanted = wanted.join(named, ["name", "qualification_id"], "left")
     moves = F.col("renamed") & F.col("target").isNotNull() & (F.col("target") != F.col("specialization_id"))
     placed = wanted.withColumn("moved", F.coalesce(moves, F.lit(False))).withColumn(
@@ -170,15 +169,14 @@ def keep_better(programs: DataFrame) -> DataFrame:
     )
 
 
-def gate_official(programs: DataFrame, most: int = 120) -> DataFrame:
-    """Named, coded or priced rows only; the first ``most`` of each institution."""
+def gate_official(programs: DataFrame) -> DataFrame:
+    """Named rows that have a code or a price, all of them."""
     name = F.trim(X.text(F.col("name")))
-    rows = (
+    return (
         programs.withColumn("name", name).withColumn("cost", V.normalize_cost(F.col("cost")))
         .filter(F.length("name").between(5, 160) & ~X.has(F.lower("name"), *MENU_WORDS))
         .filter(~X.is_blank(F.col("code")) | F.col("cost").isNotNull())
     )
-    return first_per_group(rows, ["institution_id"], [F.col("pos")], most).drop("rank")
 
 
 def gate_min_programs(programs: DataFrame, least: int) -> DataFrame:
@@ -188,17 +186,11 @@ def gate_min_programs(programs: DataFrame, least: int) -> DataFrame:
     )
 
 
-def cap_programs(programs: DataFrame, limit: int = 400, coded: int = 5, first: int = 250) -> DataFrame:
-    """Long lists keep their coded rows if there are enough of them, else the first rows."""
-    has_code = ~X.is_blank(F.col("code"))
-    sizes = programs.groupBy("institution_id").agg(
-        F.count("*").alias("_n"), F.count_if(has_code).alias("_coded")
-    )
-    rows = programs.join(sizes, "institution_id")
-    long = F.col("_n") > limit
-    whole = rows.filter(~long | ((F.col("_coded") >= coded) & has_code))
-    head = first_per_group(rows.filter(long & (F.col("_coded") < coded)), ["institution_id"], [F.col("pos")], first)
-    return whole.unionByName(head.drop("rank")).drop("_n", "_coded")
+def list_sizes(programs: DataFrame) -> DataFrame:
+    """Every row with ``has_code`` and, for its institution, the number of rows (``listed``) and of coded rows (``coded``)."""
+    rows = programs.withColumn("has_code", ~X.is_blank(F.col("code")))
+    sizes = rows.groupBy("institution_id").agg(F.count("*").alias("listed"), F.count_if("has_code").alias("coded"))
+    return rows.join(sizes, "institution_id")
 
 
 def merge_programs(base: DataFrame, extra: DataFrame) -> DataFrame:

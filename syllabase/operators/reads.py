@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .ordered import numbered
 
 NEST_LIMIT = 10_000
 
@@ -113,19 +114,13 @@ def type_by_membership(df: DataFrame, members: DataFrame, key: str, col: str, va
 
 def nest(parents: DataFrame, rows: DataFrame, key: str, order: list[str], fields: list[str],
          into: str, limit: int = NEST_LIMIT) -> DataFrame:
-    """Parents with their rows as arrays, a long list split over several parts.
+    """Parents with their rows as arrays of ``limit`` rows: part 0 holds the first of them by ``order``, part 1 the next.
 
-    Every part holds about ``limit`` rows at most, so one parent with a third of
-    all rows does not end in one task. A part is a hash slice of the ordering
-    columns; parents without rows get one empty array. Concatenate the parts of
-    a key for the whole list.
+    The parts of a key, one after the other, are its list in order. Parents without rows get one empty array.
     """
-    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / limit).cast("int").alias("_parts"))
-    part = F.when(F.col("_parts") > 1, F.pmod(F.xxhash64(*order), F.col("_parts"))).otherwise(0).cast("int")
     items = F.struct(*dict.fromkeys(order + fields))
     nested = (
-        rows.join(sizes, key)
-        .withColumn("part", part)
+        numbered(rows, key, order, "_at").withColumn("part", F.floor(F.col("_at") / limit).cast("int"))
         .groupBy(key, "part")
         .agg(F.sort_array(F.collect_list(items)).alias(into))
     )
@@ -135,11 +130,12 @@ def nest(parents: DataFrame, rows: DataFrame, key: str, order: list[str], fields
 
 
 def catalog_tree(glob: DataFrame, qual: DataFrame, spec: DataFrame, limit: int = NEST_LIMIT) -> DataFrame:
-    """Level 1 with an array of level 2, each with an array of programmes."""
-    level2 = nest(qual, spec, "qualification_id", ["specialization_id"], ["name"], "specializations", limit)
+    """Level 1 with an array of level 2, each with an array of programmes; ``limit`` programmes in a row at most."""
+    side = max(1, int(limit ** 0.5))
+    level2 = nest(qual, spec, "qualification_id", ["specialization_id"], ["name"], "specializations", side)
     return nest(
         glob, level2, "global_id", ["qualification_id", "part"], ["qualification_name", "specializations"],
-        "qualifications", limit,
+        "qualifications", side,
     )
 
 

@@ -91,8 +91,8 @@ def test_keep_better_and_caps(spark):
     ])
     assert [r["pos"] for r in G.keep_better(rows).collect()] == [2]
     long = programs(spark, [(k, i, f"Имя {i}", "6В1" if k == 1 and i < 6 else None, None, None, None, None) for k in (1, 2, 3) for i in range(6 if k == 3 else 12)])
-    got = G.cap_programs(long, limit=10, coded=5, first=7).groupBy("institution_id").count().collect()
-    assert {r["institution_id"]: r["count"] for r in got} == {1: 6, 2: 7, 3: 6}
+    got = G.list_sizes(long).groupBy("institution_id", "listed", "coded").count().collect()
+    assert {tuple(r) for r in got} == {(1, 12, 6, 12), (2, 12, 0, 12), (3, 6, 0, 6)}
 
 
 def test_overrides_last_rule_wins_and_defaults_spare_ruled_rows(spark):
@@ -203,18 +203,21 @@ def test_long_lists_are_nested_in_parts_and_stay_whole(spark):
     rows = spark.range(1000).select(F.when(F.col("id") < 900, 0).otherwise(1).cast("long").alias("p"), F.col("id").alias("i"))
     out = R.nest(parents, rows, "p", ["i"], [], "items", limit=100)
     sizes = {}
-    for r in out.collect():
+    for r in out.orderBy("p", "part").collect():
         sizes.setdefault(r["p"], []).append([x["i"] for x in r["items"]])
-    assert len(sizes[0]) > 4 and sorted(sum(sizes[0], [])) == list(range(900))
+    assert len(sizes[0]) == 9 and sum(sizes[0], []) == list(range(900))
     assert sizes[1] == [list(range(900, 1000))] and sizes[2] == [[]]
+    many = R.nest(parents, spark.range(30_000).select(F.lit(0).cast("long").alias("p"), F.col("id").alias("i")).repartition(7), "p", ["i"], [], "items")
+    assert sum([[x["i"] for x in r["items"]] for r in many.filter("p = 0").orderBy("part").collect()], []) == list(range(30_000))
 
 
 def test_answers_short_and_long(spark):
     rows = [(1, 0, "В?", " да "), (1, 1, None, "нет")] + [(2, i, "q", str(i)) for i in range(26)]
-    got = {(r["result_id"], r["stage"]): r["text"] for r in W.compact_answers(spark.createDataFrame(rows, "result_id long, pos long, question string, answer string")).collect()}
-    assert got[1, 0] == "1. В? — да\n2. нет"
-    assert got[2, 1] == "Предпочтения в работе:\n" + "\n".join(f"- {i}" for i in range(20, 26))
-    assert got[2, 0].startswith("Личностные качества:\n- 0\n")
+    answers = spark.createDataFrame(rows, "result_id long, pos long, question string, answer string")
+    plain, staged = ({(r["result_id"], r["stage"]): r["text"] for r in W.compact_answers(answers, s).collect()} for s in (False, True))
+    assert plain[1, 0] == "1. В? — да\n2. нет" and plain[2, 1].startswith("21. q — 20\n22. q — 21")
+    assert staged[2, 1] == "Предпочтения в работе:\n" + "\n".join(f"- q — {i}" for i in range(20, 26))
+    assert staged[1, 0] == "Личностные качества:\n- В? — да\n- нет"
 
 
 def test_page_price_and_tables(spark):

@@ -22,7 +22,7 @@ def test_no_pairwise_joins(spark, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("name", ["w4_top_links", "p9_gate_official", "o5_sample_issues"])
+@pytest.mark.parametrize("name", ["w4_top_links", "o5_sample_issues"])
 def test_top_k_is_limited_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in plan(QUERIES[name](spark, SMALL))
 
