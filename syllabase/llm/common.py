@@ -27,6 +27,12 @@ def typed(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in wanted.items()])
 
 
+def guarded(df: DataFrame, *needed: str) -> tuple[DataFrame, list]:
+    """(``df`` whose other columns have neutral names, the columns under their own names again): nothing clashes in between."""
+    inside = {c: c if c in needed else f"in_{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in inside.items()]), [F.col(n).alias(c) for c, n in inside.items()]
+
+
 def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """Rows of about ``n`` keys, chosen by the key's hash; all rows if there are no more."""
     rows = df.count()

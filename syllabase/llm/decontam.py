@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settled, typed
+from .common import guarded, settled, typed
 
 WINDOW = 10
 #: Words of benchmark text in one automaton: some 60 nodes of 60 bytes a word, a few hundred MB at most.
@@ -168,7 +168,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", si
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, with their own columns."""
-    return benchmark_hits(docs, benchmark).filter("_n_hit = 0").select(*[f"`{c}`" for c in docs.columns])
+    inner, back = guarded(docs, "text")
+    return benchmark_hits(inner, benchmark).filter("_n_hit = 0").select(*back)
 
 
 def hit_table(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
 """Removal of repeated multi-line passages by content-defined chunks of lines (dealt operator 5).
 
-A text is cut into lines. A rolling hash over the last two line hashes marks about every second line as the end of
-a chunk, so the same passage falls into the same chunks wherever it stands, save for its rims. A line of PASSAGE words or more
-is a chunk of its own. A chunk of several lines, or of PASSAGE words, that occurs more than once in the corpus
-is removed but for its first occurrence, after its bytes have been compared with the first one's. Around a repeated
-chunk the comparison goes on line by line, so the rims of a passage go with it.
+A text is cut into lines. Where a rolling hash over two line hashes is lower than on either side, a chunk ends, so the same passage
+falls into the same chunks wherever it stands, save for its rims. A line of PASSAGE words or more is a chunk of its own. A
+chunk of several lines, or of PASSAGE words, that occurs more than once in the corpus is removed but for its
+first occurrence, after its bytes have been compared with the first one's. So are the two lines at a boundary; from
+there the comparison goes on line by line, and the rims of a passage go with it.
 """
 from __future__ import annotations
 
@@ -17,33 +17,49 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, typed
+from .common import guarded, settled, typed
 
 #: Words from which a single line counts as a passage.
 PASSAGE = 50
 #: Lines at which a chunk ends even without a boundary.
 LONGEST = 16
+#: Lines beside a repeated boundary that are compared as well: in a passage, two texts share their boundaries after a few lines.
+RIM = 8
 WORD = re.compile(r"\S+")
 
 
+def _is_passage(line: str) -> bool:
+    return len(line) >= 2 * PASSAGE - 1 and len(WORD.findall(line)) >= PASSAGE
+
+
 def chunks(text: str | None) -> list[tuple[int, int]]:
-    """(first line, after last) of the chunks of a text; they cover all its lines."""
+    """(first line, after last) of the chunks of a text; they cover all its lines.
+
+    A chunk ends where the rolling hash of two lines is lower than its neighbours: that depends on four lines alone.
+    """
     if not text:
         return []
     lines = text.split("\n")
-    out: list[tuple[int, int]] = []
-    first, last_hash = 0, 0
+    rolled, before, long = [], 0, set()
     for k, line in enumerate(lines):
-        if len(line) >= 2 * PASSAGE - 1 and line.count(" ") + line.count("\t") >= PASSAGE - 1:
+        if _is_passage(line):
+            long.add(k)
+            before = 0
+            rolled.append(1 << 64)
+            continue
+        now = xxhash.xxh3_64_intdigest(line.encode())
+        rolled.append(((before * 0x9E3779B97F4A7C15 ^ now) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF)
+        before = now
+    rolled.append(1 << 64)
+    out: list[tuple[int, int]] = []
+    first = 0
+    for k in range(len(lines)):
+        if k in long:
             if k > first:
                 out.append((first, k))
             out.append((k, k + 1))
-            first, last_hash = k + 1, 0
-            continue
-        now = xxhash.xxh3_64_intdigest(line.encode())
-        rolled = (last_hash * 3 + now) & 0xFFFFFFFFFFFFFFFF
-        last_hash = now
-        if k + 1 - first >= LONGEST or (k > first and (rolled >> 17) % 2 == 0):
+            first = k + 1
+        elif k > first and (k + 1 - first >= LONGEST or rolled[k] < rolled[k - 1] and rolled[k] <= rolled[k + 1]):
             out.append((first, k + 1))
             first = k + 1
     if first < len(lines):
@@ -56,27 +72,34 @@ def _eligible(lines: list[str], a: int, b: int) -> bool:
     return (b - a >= 2 and any(own)) or sum(len(WORD.findall(x)) for x in own) >= PASSAGE
 
 
+def _spans(lines: list[str], cut: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Chunks that may be removed, and the two lines at each boundary between chunks: a passage is found by one boundary alone."""
+    own = [(a, b) for a, b in cut if _eligible(lines, a, b)]
+    return own + [(b - 1, b + 1) for _, b in cut[:-1] if (b - 1, b + 1) not in own and lines[b - 1].strip() and lines[b].strip()]
+
+
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest of every chunk that may be removed."""
+    """Digest of every span that may be removed."""
     for batch in batches:
-        docs, keys, starts, high, low = [], [], [], [], []
+        docs, keys, starts, ends, high, low = [], [], [], [], [], []
         for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             text = text.as_py()
             if not text or "\n" not in text and len(text) < 2 * PASSAGE - 1:
                 continue
             lines = text.split("\n")
-            for a, b in chunks(text):
-                if _eligible(lines, a, b):
-                    digest = hashlib.blake2b("\n".join(lines[a:b]).encode(), digest_size=16).digest()
-                    docs.append(doc)
-                    keys.append(key)
-                    starts.append(a)
-                    high.append(int.from_bytes(digest[:8], "little", signed=True))
-                    low.append(int.from_bytes(digest[8:], "little", signed=True))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, keys, starts, high, low)],
-                                         names=["doc_id", "text_key", "line", "high", "low"])
-
-
+            for a, b in _spans(lines, chunks(text)):
+                digest = hashlib.blake2b("\n".join(lines[a:b]).encode(), digest_size=16).digest()
+                docs.append(doc)
+                keys.append(key)
+                starts.append(a)
+                ends.append(b)
+                high.append(int.from_bytes(digest[:8], "little", signed=True))
+                low.append(int.from_bytes(digest[8:], "little", signed=True))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, keys, starts, ends, high, low)],
+                                         names=["doc_id", "text_key", "line", "after", "high", "low"])
+
+
+FIRST = {"is_first": True}
 OCCURRENCES = (
     "doc_id bigint, text_key bigint, line bigint, after bigint, high bigint, low bigint, is_first boolean, body binary, "
     "above binary, below binary"
@@ -84,19 +107,24 @@ OCCURRENCES = (
 
 
 def _with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the repeated chunks of a text, with the lines of the neighbouring chunks that aren't repeated themselves."""
+    """Bytes of the repeated spans of a text. A boundary between chunks that both go tells nothing new; else it brings RIM lines
+    on the side that stays, and a first one on both."""
     for batch in batches:
         out: list[tuple] = []
         for doc, key, text, marks in zip(*(c.to_pylist() for c in batch.columns)):
             lines, cut = text.split("\n"), chunks(text)
-            at, wanted = {a: k for k, (a, _) in enumerate(cut)}, {m["line"]: m for m in marks}
-            for line, m in wanted.items():
-                k = at[line]
-                a, b = cut[k]
-                above = cut[k - 1] if k and cut[k - 1][0] not in wanted else None
-                below = cut[k + 1] if k + 1 < len(cut) and cut[k + 1][0] not in wanted else None
-                side = [("\n".join(lines[x[0]:x[1]]).encode() if x else None) for x in (above, below)]
-                out.append((doc, key, a, b, m["high"], m["low"], m["is_first"], "\n".join(lines[a:b]).encode(), *side))
+            wanted = {(m["line"], m["after"]): m for m in marks}
+            begin, end = {x[0]: x for x in cut}, {x[1]: x for x in cut}
+            for (a, b), m in wanted.items():
+                above = below = None
+                if begin.get(a) != (a, b):  # a boundary
+                    up, down = end[a + 1], begin[a + 1]
+                    above, below = (m["is_first"] or wanted.get(x, FIRST)["is_first"] for x in (up, down))  # is it needed there?
+                    if not above and not below:
+                        continue
+                    above = "\n".join(lines[max(0, a - RIM):a]).encode() if above and a else None
+                    below = "\n".join(lines[b:b + RIM]).encode() if below and b < len(lines) else None
+                out.append((doc, key, a, b, m["high"], m["low"], m["is_first"], "\n".join(lines[a:b]).encode(), above, below))
         kinds = [pa.int64()] * 6 + [pa.bool_()] + [pa.binary()] * 3
         names = [x.split()[0] for x in OCCURRENCES.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 10, kinds)], names=names)
@@ -131,11 +159,11 @@ def removals(docs: DataFrame) -> DataFrame:
     text count as one document.
     """
     rows = typed(docs, doc_id="long", text="string").filter("text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    marks = settled(rows.mapInArrow(_marks, "doc_id bigint, text_key bigint, line bigint, high bigint, low bigint"))
+    marks = settled(rows.mapInArrow(_marks, "doc_id bigint, text_key bigint, line bigint, after bigint, high bigint, low bigint"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "line")
     repeated = settled(marks.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     own = marks.join(repeated, ["high", "low"]).withColumn("is_first", place.eqNullSafe(F.col("first")))
-    by_doc = own.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("line", "high", "low", "is_first")).alias("marks"))
+    by_doc = own.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("line", "after", "high", "low", "is_first")).alias("marks"))
     other = by_doc.withColumnsRenamed({"doc_id": "d", "text_key": "k"})
     found = settled(
         rows.join(other, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
@@ -164,11 +192,13 @@ def _without(text: str | None, gone: list[dict] | None) -> tuple[str | None, int
 def line_deduplicated(docs: DataFrame, gone: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``text`` freed of repeated passages, ``_n_lines`` and ``_n_removed``.
 
-    Null texts stay null and empty ones empty. A text of repeated passages alone becomes empty; its row stays.
+    Null texts stay null and empty ones empty; columns of ``docs`` named as the two counts go. A text of repeated passages alone becomes empty; its row stays.
     """
     gone = (removals(docs) if gone is None else gone).withColumnsRenamed({"doc_id": "_d", "text_key": "_k"})
-    columns = docs.columns
-    rows = docs.withColumn("_t", F.xxhash64(F.col("text").cast("string")))
+    docs = docs.drop("_n_lines", "_n_removed")
+    inner, back = guarded(docs, "doc_id", "text")
+    columns = inner.columns
+    rows = inner.withColumn("_t", F.xxhash64(F.col("text").cast("string")))
     doc = F.col("doc_id").cast("long") if "doc_id" in columns else F.lit(None).cast("long")
     rows = rows.join(gone, doc.eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_k")), "left").drop("_t", "_d", "_k")
 
@@ -182,8 +212,8 @@ def line_deduplicated(docs: DataFrame, gone: DataFrame | None = None) -> DataFra
                 [*(made.get(c, batch.column(at[c])) for c in columns), pa.array([x[1] for x in done], pa.int64()),
                  pa.array([x[2] for x in done], pa.int64())], names=[*columns, "_n_lines", "_n_removed"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(rebuild, f"{kinds}, _n_lines bigint, _n_removed bigint")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields)
+    return rows.mapInArrow(rebuild, f"{kinds}, _n_lines bigint, _n_removed bigint").select(*back, "_n_lines", "_n_removed")
 
 
 def dedup_table(docs: DataFrame) -> DataFrame:

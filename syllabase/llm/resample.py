@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, settled, typed
+from .common import bounded_sample, guarded, settled, typed
 from .textbytes import PUNCTUATED, column_bytes, runs, slices, tokens
 
 BUCKETS = 1 << 16
@@ -173,7 +173,8 @@ def resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The texts that were drawn, with their own columns. Texts move nowhere: keys are settled, the texts scored again."""
     model = train(docs, labels)
     limit = _threshold(settled(keyed(docs, model)))
-    return keyed(docs, model, keep=True).filter(F.col("_key") >= limit).select(*[f"`{c}`" for c in docs.columns])
+    inner, back = guarded(docs, "doc_id", "text")
+    return keyed(inner, model, keep=True).filter(F.col("_key") >= limit).select(*back)
 
 
 def quality_table(docs: DataFrame, labels: DataFrame) -> DataFrame:

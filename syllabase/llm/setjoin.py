@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import in_order, settled, typed
+from .common import guarded, in_order, settled, typed
 from .textbytes import SPACED, column_bytes, runs, slices, tokens
 
 WORDS_IN_SHINGLE = 3
@@ -359,9 +359,10 @@ def representatives(docs: DataFrame, share: int = SHARE, size: int = WORDS_IN_SH
     chosen = by_set.join(sets, "set_id").groupBy("root").agg(F.min("first")["row_key"].alias("_key")).select("_key", F.lit(False).alias("_blank"))
     blank = rows.filter("set_id is null").select(F.col("row_key").alias("_key"), F.lit(True).alias("_blank")).distinct()
     keep = settled(chosen.union(blank).groupBy("_key").agg(F.max("_blank").alias("_blank")))
-    own = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(keep, "_key")
+    inner, back = guarded(docs, "doc_id", "text")
+    own = inner.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(keep, "_key")
     nth = F.row_number().over(Window.partitionBy("_key").orderBy("_blank"))
-    return own.withColumn("_nth", nth).filter("_nth = 1 or _blank").select(*[f"`{c}`" for c in docs.columns])
+    return own.withColumn("_nth", nth).filter("_nth = 1 or _blank").select(*back)
 
 
 def _may_link(share: int):

@@ -94,7 +94,7 @@ class Scorer:
     """Evidence and segments of texts under one model."""
 
     def __init__(self, model: dict):
-        self.key, self.weight, self.rate, self.size = model["key"], model["weight"], model["rate"], model["size"]
+        self.key, self.weight, self.rate, self.size, self.drift = (model[k] for k in ("key", "weight", "rate", "size", "drift"))
 
     def texts(self, column: pa.Array) -> Iterator[tuple[float, int, list, tuple]]:
         """(evidence, tokens, [(score, first, last)] of significant passages, (starts, ends)) of each text."""
@@ -104,13 +104,13 @@ class Scorer:
             if len(self.key):
                 k = np.minimum(np.searchsorted(self.key, hashes), len(self.key) - 1)
                 known = np.flatnonzero(self.key[k] == hashes)
-                score = self.weight[k[known]] - DRIFT
+                score = self.weight[k[known]] - self.drift
             else:
                 known, score = np.zeros(0, np.int64), np.zeros(0)
             cut = np.searchsorted(known, bounds)
             for d in range(last - first):
                 a, b, n = cut[d], cut[d + 1], int(bounds[d + 1] - bounds[d])
-                found = segments(known[a:b] - bounds[d], score[a:b]) if b > a else []
+                found = segments(known[a:b] - bounds[d], score[a:b], self.drift) if b > a else []
                 level = math.log(max(self.size * max(n, 1), 1e-9))
                 above = [(s, i, j) for s, i, j in found if self.rate * s > level]
                 evidence = sum(self.rate * s - level for s, _, _ in above)
@@ -144,13 +144,18 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict:
     counts = rows.mapInArrow(_counts, "token bigint, yes bigint, no bigint").groupBy("token").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     total = counts.agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).first()
     n_yes, n_no = int(total["yes"] or 0), int(total["no"] or 0)
-    empty = {"key": np.zeros(0, np.uint64), "weight": np.zeros(0), "rate": 1.0, "size": 1.0, "slope": 0.0, "base": -4.0}
+    empty = {"key": np.zeros(0, np.uint64), "weight": np.zeros(0), "rate": 1.0, "size": 1.0, "drift": DRIFT, "slope": 0.0, "base": -4.0}
     if not n_yes or not n_no:
         return empty
-    part = n_yes / (n_yes + n_no)
+    texts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    d_yes, d_no = texts[True], texts[False]
+    part = d_yes / (d_yes + d_no)
     seen = F.col("yes") + F.col("no")
-    side = lambda c, e: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (seen * e))).otherwise(0.0)
-    telling = counts.withColumn("telling", 2 * (side("yes", part) + side("no", 1 - part))).filter(F.col("telling") >= TELLING)
+    side = lambda c, e: F.when(c > 0, c * F.log(c / e)).otherwise(0.0)
+    ratio = sum(
+        (side(F.col(c), seen * p) + side(F.lit(d) - F.col(c), (F.lit(d_yes + d_no) - seen) * p) for c, d, p in (("yes", d_yes, part), ("no", d_no, 1 - part))),
+        F.lit(0.0))
+    telling = counts.withColumn("telling", 2 * ratio).filter(F.col("telling") >= TELLING)
     top = telling.orderBy(F.desc("telling"), "token").limit(TOKENS).collect()  # TOKENS rows at most
     if not top:
         return empty
@@ -159,8 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict:
     key, yes, no = key.view(np.uint64)[order], yes[order].astype(float), no[order].astype(float)
     # prior counts in proportion to both classes together, PRIOR for each token in all
     a_yes, a_no = PRIOR * 2 * part, PRIOR * 2 * (1 - part)
-    weight = np.log((yes + a_yes) / (n_yes + a_yes)) - np.log((no + a_no) / (n_no + a_no))
-    model = {"key": key, "weight": weight, "rate": _rate(weight - DRIFT, no / n_no, DRIFT), "size": 1.0}
+    weight = np.log((yes + a_yes) / (d_yes + a_yes)) - np.log((no + a_no) / (d_no + a_no))
+    drift = max(DRIFT, 2 * float((weight * no).sum() / n_no))  # clean text must lose on average
+    model = {"key": key, "weight": weight, "rate": _rate(weight - drift, no / n_no, drift), "size": 1.0, "drift": drift}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def chance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
