@@ -31,6 +31,8 @@ SET_BACK = 1 << 17
 #: Entries of an index list or of a partner list that meet in one block.
 BLOCK = 512
 BITS = 512
+#: Buckets of the largest sets' bitmaps in the index.
+MOST_BITS = 4096
 
 
 def shingle_sets(column: pa.Array, size: int = WORDS_IN_SHINGLE) -> Iterator[np.ndarray]:
@@ -57,12 +59,50 @@ def prefix_size(n: int, share: int) -> int:
     return n - -(-share * n // 100) + 1
 
 
-def bitmap(values: np.ndarray) -> np.ndarray:
-    """Parity of the shingles in each of BITS buckets: two sets differ in at least as many shingles as their bitmaps in bits."""
-    odd = np.bincount((values >> np.uint64(20)) & np.uint64(BITS - 1), minlength=BITS) & 1
+def bitmap(values: np.ndarray, most: int = BITS) -> np.ndarray:
+    """Parity of the shingles in each bucket: two sets differ in at least as many shingles as their bitmaps in bits.
+
+    A large set has more buckets, ``most`` at most; its bitmap folds to that of fewer buckets, half upon half.
+    """
+    size = BITS
+    while size < most and size < len(values):
+        size *= 2
+    odd = np.bincount((values >> np.uint64(20)) & np.uint64(size - 1), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+class Bitmaps:
+    """Bitmaps of several sizes, each folded to all smaller ones."""
+
+    def __init__(self, column: pa.Array):
+        flat, off = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy()
+        off = off - off[0]
+        self.level = np.log2(np.diff(off) * 64 // BITS).astype(np.int64)
+        self.place = [np.full(len(self.level), -1) for _ in range(self.level.max(initial=0) + 1)]
+        self.folded: list[np.ndarray] = []
+        for level in range(len(self.place) - 1, -1, -1):
+            own = np.flatnonzero(self.level == level)
+            width = BITS // 64 << level
+            rows = flat[off[own][:, None] + np.arange(width)] if len(own) else np.zeros((0, width), np.uint64)
+            above = np.flatnonzero(self.level > level)
+            if len(above):
+                big = self.folded[-1][self.place[level + 1][above]]
+                rows = np.concatenate([rows, big[:, :width] ^ big[:, width:]])
+            self.place[level][np.concatenate([own, above])] = np.arange(len(rows))
+            self.folded.append(rows)
+        self.folded.reverse()
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.int64)
+        low = np.minimum(self.level[i], self.level[j])
+        for level in range(len(self.place)):
+            k = np.flatnonzero(low == level)
+            if len(k):
+                rows, at = self.folded[level], self.place[level]
+                out[k] = np.bitwise_count(rows[at[i[k]]] ^ rows[at[j[k]]]).sum(1)
+        return out
+
+
 def ordered(values: np.ndarray, late: np.ndarray) -> np.ndarray:
     """A set in the common order: by hash, the frequent shingles behind the others."""
     if not len(late):
@@ -102,7 +142,7 @@ def _signed(share: int, size: int, shared):
                 new = own not in seen
                 seen.add(own)
                 prefixes.append(ordered(values, shared.value)[:prefix_size(len(values), share)].view(np.int64) if new else None)
-                bitmaps.append(bitmap(values) if new else None)
+                bitmaps.append(bitmap(values, MOST_BITS) if new else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
                  pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.list_(pa.int64()))],
@@ -121,7 +161,8 @@ def _block_pairs(share: int):
         for t in in_order(batches, ["shingle", "cell"]):
             t = t.combine_chunks()
             key, cell, own, root, n, at = (t.column(c).to_numpy() for c in ("shingle", "cell", "set_id", "root", "n", "at"))
-            bits = t.column("bits").combine_chunks().flatten().to_numpy().reshape(-1, BITS // 64).view(np.uint64)
+            column = t.column("bits").combine_chunks()
+            bits = Bitmaps(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
             starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
             ends = np.append(starts[1:], len(key))
             found: list[np.ndarray] = []
@@ -138,8 +179,7 @@ def _block_pairs(share: int):
                         ok = (left >= need) & (root[rows][:, None] != root[cols][None, :])
                         i, j = np.nonzero(ok)
                         i, j = rows[i], cols[j]
-                        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1)
-                        keep = (apart.astype(np.int64) <= n[i] + n[j] - 2 * least_overlap(n[i], n[j], share)) & (i < j)
+                        keep = (bits.apart(i, j) <= n[i] + n[j] - 2 * least_overlap(n[i], n[j], share)) & (i < j)
                         i, j = i[keep], j[keep]
                         if len(i):
                             own_pairs.append(_forest(own[i], own[j]))
@@ -368,7 +408,8 @@ def representatives(docs: DataFrame, share: int = SHARE, size: int = WORDS_IN_SH
 def _may_link(share: int):
     need = F.ceil(F.lit(share) * (F.col("n") + F.col("n2")) / (100 + share))
     apart = F.aggregate(F.zip_with("bits", "bits2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return (F.least("n", "n2") >= need) & (apart <= F.col("n") + F.col("n2") - 2 * need)
+    near = (F.size("bits") != F.size("bits2")) | (apart <= F.col("n") + F.col("n2") - 2 * need)
+    return (F.least("n", "n2") >= need) & near
 
 
 def _texts(rows: DataFrame, sets: DataFrame, size: int) -> DataFrame:
