@@ -15,11 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark setting: shuffle files go when the query that made them ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that all executors share, and read again: lost executors don't replay it."""
-    folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    """``df`` written to the folder that all executors share, and read again: lost executors don't replay it.
+
+    The shuffle files behind the table go as soon as it is written, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    folder, before = shared_folder(spark), spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def typed(df: DataFrame, **wanted: str) -> DataFrame:

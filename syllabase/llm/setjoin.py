@@ -347,8 +347,9 @@ def grouped(docs: DataFrame, share: int = SHARE, size: int = WORDS_IN_SHINGLE) -
     signed = settled(rows.withColumn("row_key", F.xxhash64("doc_id", "text")).mapInArrow(
         _signed(share, size, shared), "doc_id bigint, row_key bigint, set_id bigint, n bigint, prefix array<bigint>, bits array<bigint>"))
     sets = settled(signed.filter("set_id is not null").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits")))
-    index = signed.filter("prefix is not null").select("set_id", "n", F.posexplode("prefix").alias("at", "shingle"))
+        F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"),
+        F.first("prefix", ignorenulls=True).alias("prefix")))
+    index = sets.select("set_id", "n", F.posexplode("prefix").alias("at", "shingle"))
     lists = settled(index.groupBy("shingle").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("top"), F.count("*").alias("m"))
                     .filter("pivot <> top").select("shingle", "pivot", "m"))
     index = settled(index.join(lists, "shingle"))
@@ -413,16 +414,24 @@ def _may_link(share: int):
 
 
 def _texts(rows: DataFrame, sets: DataFrame, size: int) -> DataFrame:
-    """(set_id, text): one text of each set. A doc_id that stands for several texts gives the one with the set's id."""
-    wanted = sets.select("set_id", F.col("doc_id").alias("d"))
-    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select("set_id", "text")
+    """(set_id, text): the text of each set's row. Of texts that share a row key by chance only the one with the set's id stays.
+
+    Rows that repeat give one text each task; a set that comes twice into a cell changes no link.
+    """
+    keyed = rows.select(F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    found = keyed.join(sets.select("set_id", "row_key"), "row_key").select("set_id", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            own = batch.column(0).to_pylist()
-            yield batch.filter(pa.array([len(v) > 0 and set_id(v) == k for k, v in zip(own, shingle_sets(batch.column(1), size))], pa.bool_()))
-
-    return found.mapInArrow(check, "set_id bigint, text string").dropDuplicates(["set_id"])
+            right = []
+            for k, values in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size)):
+                right.append(k not in seen and len(values) > 0 and set_id(values) == k)
+                if right[-1]:
+                    seen.add(k)
+            yield batch.filter(pa.array(right, pa.bool_()))
+
+    return found.mapInArrow(check, "set_id bigint, text string")
 
 
 def _cells(index: DataFrame, share: int) -> DataFrame:
