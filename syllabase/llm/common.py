@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the folder that all executors share, and read again: lost executors don't replay it.
 
@@ -31,7 +35,17 @@ def settled(df: DataFrame) -> DataFrame:
         df.write.parquet(folder)
     finally:
         spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    _folders[out] = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``settled`` returned. Only for those that nothing reads any more: what came of them is settled too."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop(df))
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def typed(df: DataFrame, **wanted: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import guarded, settled, typed
+from .common import discard, guarded, settled, typed
 
 #: Words from which a single line counts as a passage.
 PASSAGE = 50
@@ -162,18 +162,22 @@ def removals(docs: DataFrame) -> DataFrame:
     marks = settled(rows.mapInArrow(_marks, "doc_id bigint, text_key bigint, line bigint, after bigint, high bigint, low bigint"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "line")
     repeated = settled(marks.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    own = marks.join(repeated, ["high", "low"]).withColumn("is_first", place.eqNullSafe(F.col("first")))
+    own = settled(marks.join(repeated, ["high", "low"]).withColumn("is_first", place.eqNullSafe(F.col("first"))).drop("first"))
+    discard(marks, repeated)
     by_doc = own.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("line", "after", "high", "low", "is_first")).alias("marks"))
     other = by_doc.withColumnsRenamed({"doc_id": "d", "text_key": "k"})
     found = settled(
         rows.join(other, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
         .select("doc_id", "text_key", "text", "marks").mapInArrow(_with_bytes, OCCURRENCES))
+    discard(own)
     firsts = found.filter("is_first").select("high", "low", F.col("body").alias("first_body"), F.col("above").alias("first_above"),
                                              F.col("below").alias("first_below")).dropDuplicates(["high", "low"])
     same = found.filter("not is_first").join(firsts, ["high", "low"]).filter("body = first_body")
     gone = same.select("doc_id", "text_key", "line", "after", "above", "below", "first_above", "first_below").mapInArrow(
         _ranges, "doc_id bigint, text_key bigint, start bigint, end bigint")
-    return gone.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
+    gone = settled(gone.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("gone")))
+    discard(found)
+    return gone
 
 
 def _without(text: str | None, gone: list[dict] | None) -> tuple[str | None, int, int]:
