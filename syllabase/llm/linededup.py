@@ -204,7 +204,8 @@ def line_deduplicated(docs: DataFrame, gone: DataFrame | None = None) -> DataFra
     columns = inner.columns
     rows = inner.withColumn("_t", F.xxhash64(F.col("text").cast("string")))
     doc = F.col("doc_id").cast("long") if "doc_id" in columns else F.lit(None).cast("long")
-    rows = rows.join(gone, doc.eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_k")), "left").drop("_t", "_d", "_k")
+    # By shuffle at every size, so that the plan of a small corpus is that of a large one.
+    rows = rows.join(gone.hint("merge"), doc.eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_k")), "left").drop("_t", "_d", "_k")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
