@@ -104,15 +104,16 @@ def _fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     """Machines from at most about ``per_language`` texts of each language, chosen by the hash of their doc_id."""
     rows = docs.filter("lang is not null and text is not null and text <> ''")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    langs = sorted(r["lang"] for r in counts.collect())
-    chosen = rows.join(counts, "lang").filter(
-        F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < F.lit(per_language * 1_000_000) / F.col("n"))
-    made = chosen.select("lang", "text").mapInArrow(_features, "lang string, at array<int>, share array<float>")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a number per language
+    langs = sorted(counts)
     pairs = [("family", a, b) for a, b in combinations(sorted({family(x) for x in langs}), 2)]
     pairs += [("language", a, b) for a, b in combinations(langs, 2) if family(a) == family(b)]
     if not pairs:
         return {"langs": langs, "machines": []}
+    # The bounds are literals: a join by language would deal all texts of a language to one task.
+    bound = F.create_map(*[F.lit(v) for x in langs for v in (x, per_language * 1_000_000 / counts[x])])
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < bound[F.col("lang")])
+    made = chosen.select("lang", "text").mapInArrow(_features, "lang string, at array<int>, share array<float>")
     roles = [(level, a, b, x, 1.0 if (family(x) if level == "family" else x) == a else -1.0)
              for level, a, b in pairs for x in langs if (family(x) if level == "family" else x) in (a, b)]
     roles = docs.sparkSession.createDataFrame(roles, "level string, one string, other string, lang string, side double")
