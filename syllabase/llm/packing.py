@@ -8,6 +8,7 @@ counts allow. Pieces find their places by their rank within their length, which
 from __future__ import annotations
 
 import base64
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -28,20 +29,24 @@ PIECES = ("doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigi
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """Text to ids of the byte-level vocabulary in ``path``: ranks (.tiktoken, fast) or a tokenizers file (.json)."""
+    """Text to ids of the byte-level vocabulary in ``path``: ranks (.tiktoken, fast) or a tokenizers file (.json).
+
+    The tokenizers file beside the ranks names the added tokens; their literals in a text are one id each, as there.
+    """
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True
         return lambda text: np.array(made.encode(text, add_special_tokens=False).ids, np.uint32)
     import tiktoken
     from public_tokenizers import PATTERN
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    made = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.array(made.encode_ordinary(text), np.uint32)
+    with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+        added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+    made = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: np.array(made.encode(text, allowed_special="all"), np.uint32)
 
 
 def pieces(docs: DataFrame, path: str, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:

@@ -317,6 +317,23 @@ def test_packing_round_trip(docs, odd, none):
     assert packing.packed(odd, tokenizer_path("byte_bpe_50k.tiktoken")).filter("piece = 0").count() == len(ODD)
 
 
+def test_literals_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    fast, slow = packing.encoder(tokenizer_path("byte_bpe_50k.tiktoken")), packing.encoder(tokenizer_path("byte_bpe_50k.json"))
+    end, rng = "<|endoftext|>", random.Random(3)
+    texts = ["a b <|endoftext|> c", end, end * 3, f"x{end}y  {end}  z\n{end}\n", "<|endoftext|", "<|<|endoftext|>|>", "<|ENDOFTEXT|>"]
+    texts += ["".join(rng.choice([end, " ", "  ", "a", "é", "\n", "<|", "endoftext", "|>", "1", "'s"]) for _ in range(20)) for _ in range(200)]
+    want = {k: plain.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts)}
+    assert want[0] == [64, 275, 220, 50256, 269]
+    for k, t in enumerate(texts):
+        assert fast(t).tolist() == want[k] and slow(t).tolist() == want[k]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = packing.packed(docs, tokenizer_path("byte_bpe_50k.tiktoken"), with_ids=True).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {k: [*ids, packing.END_ID] for k, ids in want.items()}
+
+
 def test_fullest_bin_equals_brute_force():
     from itertools import product
 
