@@ -1,16 +1,20 @@
 """Removal of repeated multi-line passages by content-defined chunks of lines (dealt operator 5).
 
-A text is cut into lines. Where a rolling hash over two line hashes is lower than on either side, a chunk ends, so the same passage
-falls into the same chunks wherever it stands, save for its rims. A line of PASSAGE words or more is a chunk of its own. A
-chunk of several lines, or of PASSAGE words, that occurs more than once in the corpus is removed but for its
-first occurrence, after its bytes have been compared with the first one's. So are the two lines at a boundary; from
-there the comparison goes on line by line, and the rims of a passage go with it.
+A passage is a run of lines of PASSAGE words or more. For every line the shortest passages that start and that end there are
+marked: together they cover each longer one, wherever it stands. A passage that occurs more than once in the corpus is
+removed but for its first occurrence, after its bytes have been compared with the first one's.
+
+Repeated lines of fewer words are found by content-defined chunks. Where a rolling hash over two line hashes is lower than on
+either side, a chunk ends, so the same lines fall into the same chunks wherever they stand, save for the rims. A line of PASSAGE
+words or more is a chunk of its own. Chunks of several lines go as passages do. So do the two lines at a boundary; from there
+the comparison goes on line by line until lines differ or it has reached a passage, and the rims go with it.
 """
 from __future__ import annotations
 
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -23,8 +27,6 @@ from .common import discard, guarded, settled, typed
 PASSAGE = 50
 #: Lines at which a chunk ends even without a boundary.
 LONGEST = 16
-#: Lines beside a repeated boundary that are compared as well: in a passage, two texts share their boundaries after a few lines.
-RIM = 8
 WORD = re.compile(r"\S+")
 
 
@@ -67,15 +69,47 @@ def chunks(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def _eligible(lines: list[str], a: int, b: int) -> bool:
-    own = lines[a:b]
-    return (b - a >= 2 and any(own)) or sum(len(WORD.findall(x)) for x in own) >= PASSAGE
+def _words(lines: list[str]) -> list[int]:
+    """Words before each line, and in all."""
+    return [0, *accumulate(len(x.split()) for x in lines)]
 
 
-def _spans(lines: list[str], cut: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Chunks that may be removed, and the two lines at each boundary between chunks: a passage is found by one boundary alone."""
-    own = [(a, b) for a, b in cut if _eligible(lines, a, b)]
-    return own + [(b - 1, b + 1) for _, b in cut[:-1] if (b - 1, b + 1) not in own and lines[b - 1].strip() and lines[b].strip()]
+def passages(before: list[int]) -> set[tuple[int, int]]:
+    """(first line, after last) of the shortest passage that starts at each line, and of that which ends there."""
+    n, out, end, start = len(before) - 1, set(), 0, 0
+    for k in range(n):
+        while end < n and before[end] - before[k] < PASSAGE:
+            end += 1
+        if before[end] - before[k] < PASSAGE:
+            break
+        out.add((k, end))
+    for k in range(1, n + 1):
+        if before[k] < PASSAGE:
+            continue
+        while start + 1 < k and before[k] - before[start + 1] >= PASSAGE:
+            start += 1
+        out.add((start, k))
+    return out
+
+
+def _spans(lines: list[str], cut: list[tuple[int, int]], before: list[int]) -> set[tuple[int, int]]:
+    """What may be removed: passages, chunks of several lines, and the two lines at each boundary between chunks, from which
+    the lines beside are compared. Chunks and pairs that reach PASSAGE words are covered by passages."""
+    short = {(a, b) for a, b in cut if b - a >= 2 and any(lines[a:b])}
+    short |= {(b - 1, b + 1) for _, b in cut[:-1] if lines[b - 1].strip() and lines[b].strip()}
+    return passages(before) | {(a, b) for a, b in short if before[b] - before[a] < PASSAGE}
+
+
+def _cover(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """As few of the spans as cover the same lines."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and b <= out[-1][1]:
+            continue
+        while out and (a <= out[-1][0] or len(out) > 1 and a <= out[-2][1]):
+            out.pop()
+        out.append((a, b))
+    return out
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +121,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not text or "\n" not in text and len(text) < 2 * PASSAGE - 1:
                 continue
             lines = text.split("\n")
-            for a, b in _spans(lines, chunks(text)):
+            for a, b in _spans(lines, chunks(text), _words(lines)):
                 digest = hashlib.blake2b("\n".join(lines[a:b]).encode(), digest_size=16).digest()
                 docs.append(doc)
                 keys.append(key)
@@ -106,24 +140,41 @@ OCCURRENCES = (
 )
 
 
+def _rims(lines: list[str], before: list[int], a: int, b: int) -> tuple[int, int]:
+    """(first line, after last) around two lines, up to where a passage is reached on either side: passages are found by themselves."""
+    lo, hi = a, b
+    while lo > 0 and before[b] - before[lo] < PASSAGE:
+        lo -= 1
+    while hi < len(lines) and before[hi] - before[a] < PASSAGE:
+        hi += 1
+    return lo, hi
+
+
 def _with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the repeated spans of a text. A boundary between chunks that both go tells nothing new; else it brings RIM lines
-    on the side that stays, and a first one on both."""
+    """Bytes of the repeated spans of a text; of passages that aren't first ones, as many as cover the lines. A boundary between
+    chunks that both go tells nothing new; else it brings the lines on the side that stays, and a first one on both."""
     for batch in batches:
         out: list[tuple] = []
         for doc, key, text, marks in zip(*(c.to_pylist() for c in batch.columns)):
             lines, cut = text.split("\n"), chunks(text)
+            before = _words(lines)
             wanted = {(m["line"], m["after"]): m for m in marks}
             begin, end = {x[0]: x for x in cut}, {x[1]: x for x in cut}
+            long = {x for x in wanted if before[x[1]] - before[x[0]] >= PASSAGE}
+            needed = set(_cover([x for x in long if not wanted[x]["is_first"]]))
             for (a, b), m in wanted.items():
                 above = below = None
-                if begin.get(a) != (a, b):  # a boundary
+                if (a, b) in long:
+                    if not m["is_first"] and (a, b) not in needed:
+                        continue
+                elif begin.get(a) != (a, b):  # a boundary
                     up, down = end[a + 1], begin[a + 1]
                     above, below = (m["is_first"] or wanted.get(x, FIRST)["is_first"] for x in (up, down))  # is it needed there?
                     if not above and not below:
                         continue
-                    above = "\n".join(lines[max(0, a - RIM):a]).encode() if above and a else None
-                    below = "\n".join(lines[b:b + RIM]).encode() if below and b < len(lines) else None
+                    lo, hi = _rims(lines, before, a, b)
+                    above = "\n".join(lines[lo:a]).encode() if above and a else None
+                    below = "\n".join(lines[b:hi]).encode() if below and b < len(lines) else None
                 out.append((doc, key, a, b, m["high"], m["low"], m["is_first"], "\n".join(lines[a:b]).encode(), above, below))
         kinds = [pa.int64()] * 6 + [pa.bool_()] + [pa.binary()] * 3
         names = [x.split()[0] for x in OCCURRENCES.split(", ")]
@@ -156,14 +207,19 @@ def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, gone): line ranges of each document that stand earlier in the corpus, bytes compared.
 
     The first occurrence is the one of the smallest doc_id (null last), then text key and line. Rows with the same doc_id and
-    text count as one document.
+    text count as one document. Of lines that repeat within a text, what overlaps the first occurrence is part of it.
     """
     rows = typed(docs, doc_id="long", text="string").filter("text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     marks = settled(rows.mapInArrow(_marks, "doc_id bigint, text_key bigint, line bigint, after bigint, high bigint, low bigint"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "line")
-    repeated = settled(marks.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    own = settled(marks.join(repeated, ["high", "low"]).withColumn("is_first", place.eqNullSafe(F.col("first"))).drop("first"))
+    repeated = settled(marks.groupBy("high", "low").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    hits = settled(marks.join(repeated.hint("merge"), ["high", "low"]))
     discard(marks, repeated)
+    first = hits.groupBy("high", "low").agg(F.min(place).alias("first"))
+    within = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key"))
+    own = hits.join(first.hint("merge"), ["high", "low"]).withColumn("is_first", place.eqNullSafe(F.col("first")))
+    own = settled(own.filter(F.col("is_first") | ~within | (F.col("line") >= F.col("first.line") + F.col("after") - F.col("line"))).drop("first"))
+    discard(hits)
     by_doc = own.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("line", "after", "high", "low", "is_first")).alias("marks"))
     other = by_doc.withColumnsRenamed({"doc_id": "d", "text_key": "k"})
     found = settled(

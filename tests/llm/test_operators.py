@@ -231,6 +231,55 @@ def test_passages_go_but_for_the_first(spark):
         assert got[k].split("\n") == want
 
 
+def brute_lines(rows):
+    """Lines in a run of PASSAGE words or more whose like stands earlier, or before it in the same text."""
+    seen, out = {}, {}
+    for k, text in rows:
+        lines, gone = text.split("\n"), set()
+        n = [len(x.split()) for x in lines]
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(n[a:b]) >= linededup.PASSAGE:
+                    doc, at = seen.setdefault(tuple(lines[a:b]), (k, a))
+                    if (doc, at) != (k, a) and (doc != k or at + b - a <= a):
+                        gone.update(range(a, b))
+        out[k] = [x for i, x in enumerate(lines) if i not in gone]
+    return out
+
+
+def test_short_passages_against_brute_force(spark):
+    rng = random.Random(16)
+    line = lambda n: " ".join(rng.choice("lorem ipsum dolor sit amet".split()) + str(rng.randrange(9999)) for _ in range(n))
+    rows = []
+    for size in (2, 3, 4, 5):
+        for _ in range(12):
+            passage = [line(52 // size + 1) for _ in range(size)]
+            if size > 2 and rng.random() < 0.5:
+                passage.insert(rng.randrange(1, size), "")
+            passage += [line(1)] * rng.randrange(2)
+            for _ in range(rng.choice([2, 2, 3, 6])):
+                own = [line(rng.randrange(1, 30)) for _ in range(rng.randrange(4, 20))]
+                at = rng.randrange(len(own) + 1)
+                rows.append([*own[:at], *passage, *own[at:]])
+    rows += [[line(20)] * 9, [line(25), line(49)] * 5]
+    rng.shuffle(rows)
+    rows = [(k, "\n".join(x)) for k, x in enumerate(rows)]
+    got = {r["doc_id"]: r["text"] for r in linededup.line_deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_lines(rows)
+    assert sum(len(x) for x in want.values()) < sum(t.count("\n") + 1 for _, t in rows) - 150
+    for k, _ in rows:
+        assert got[k].split("\n") == want[k]
+
+
+def test_cover_keeps_all_lines():
+    rng = random.Random(17)
+    for _ in range(300):
+        spans = [(a, a + rng.randrange(1, 6)) for a in (rng.randrange(30) for _ in range(rng.randrange(12)))]
+        lines = lambda x: {i for a, b in x for i in range(a, b)}
+        got = linededup._cover(spans)
+        assert lines(got) == lines(spans) and sum(b - a for a, b in got) <= 2 * len(lines(spans))
+
+
 def test_lines_odd_rows(odd, none):
     got = linededup.line_deduplicated(odd)
     assert got.columns == [*odd.columns, "_n_lines", "_n_removed"]
