@@ -2,12 +2,16 @@
 
 Equal vectors are one node with a weight. Blocks of random projections give each node its first neighbours; then neighbours
 of neighbours are compared, round after round, and each node keeps the nearest. A list that is full of near
-duplicates is saturated and may grow to twice its length. An audit compares a sample of nodes with all nodes of their label: links between
-groups that descent has kept apart are added, and while it finds too many, another round of projections and descent follows. At
-the end the nodes of each group are compared with one another in blocks, which gives the exact links.
+duplicates is saturated and may grow to twice its length. Every link that any comparison sees is kept as a link, whatever
+the lists hold, and the saturated nodes of different groups of a label are compared with one another, save for blocks
+whose centres and radii rule out a link. An audit compares samples of nodes with all nodes of their label, until it has seen AUDIT nodes
+with links or all nodes: links between groups that descent has kept apart are added, and while it finds too many, another round
+of projections and descent follows, with an audit of twice as many. At the end the nodes of each group are compared with one another in blocks, which
+gives the exact links.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,17 +20,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import in_order, settled, typed
+from .common import discard, in_order, settled, typed
 
 NEAR = 0.93
 #: Neighbours in a list at first, and after it has been enlarged as often as it may.
 LIST, LONGEST = 8, 32
-#: Projections, and nodes of a block in which all meet.
-TABLES, BLOCK = 6, 256
-#: Nodes of an audit, and the share of their links that descent must have found.
-AUDIT, RECALL = 256, 0.999
-ROUNDS, ATTEMPTS = 4, 3
-EDGES = "v bigint, w bigint, sim double"
+#: Least number of projections, nodes of a block in which all meet, and the chance that two nodes at NEAR share a bucket at least once.
+TABLES, BLOCK, SEEDED = 6, 256, 0.95
+#: Nodes with links that an audit must see, nodes that it compares at once at most, and the share of their links that descent must have found.
+AUDIT, AT_ONCE, RECALL = 256, 2048, 0.999
+ROUNDS = 4
+EDGES = "v bigint, w bigint, sim double, link boolean"
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -57,8 +61,34 @@ def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts, np.append(starts[1:], len(new))))
 
 
+def tables(bits: int) -> int:
+    """Projections by which two nodes at NEAR share a bucket of so many signs at least once, with a chance of SEEDED."""
+    one = (1 - math.acos(NEAR) / math.pi) ** bits
+    return TABLES if one == 1 else max(TABLES, math.ceil(math.log(1 - SEEDED) / math.log(1 - one)))
+
+
+def _forest(ids: np.ndarray, sims: np.ndarray):
+    """(v, w, sim) of links that hold together what hangs together in a block: one less than nodes, from the lowest id on."""
+    near = sims >= NEAR
+    out = [np.zeros((2, 0), np.int64)]
+    seen = ~near.any(1)
+    for start in np.argsort(ids):
+        if seen[start]:
+            continue
+        front = np.array([start])
+        seen[start] = True
+        while len(front):
+            reach = near[front] & ~seen
+            new = np.flatnonzero(reach.any(0))
+            out.append(np.stack([front[reach[:, new].argmax(0)], new]))
+            seen[new] = True
+            front = new
+    v, w = np.concatenate(out, axis=1)
+    return ids[v], ids[w], sims[v, w]
+
+
 def _nearest(ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | None = None):
-    """(v, w, sim) of the k nearest others of each row, of those nearer than ``floor``."""
+    """(v, w, sim, link): the k nearest others of each row, of those nearer than ``floor``, and a forest of all links."""
     sims = x @ x.T
     np.fill_diagonal(sims, -2)
     k = min(k, len(ids) - 1)
@@ -69,22 +99,27 @@ def _nearest(ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | None =
     keep = (got > -2) & (ids[rows] != ids[cols])
     if floor is not None:
         keep &= got > floor[rows]
-    return ids[rows[keep]], ids[cols[keep]], got[keep]
+    linked = _forest(ids, sims)
+    both = [np.concatenate(c) for c in zip((ids[rows[keep]], ids[cols[keep]], got[keep]), linked)]
+    return *both, np.arange(len(both[0])) >= keep.sum()
 
 
 def _batch(parts: list) -> pa.RecordBatch:
-    v, w, s = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate((np.int64, np.int64, np.float64)))
-    return pa.RecordBatch.from_arrays([pa.array(v), pa.array(w), pa.array(s)], names=["v", "w", "sim"])
+    kinds = (np.int64, np.int64, np.float64, bool)
+    columns = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["v", "w", "sim", "link"])
 
 
 def _projected(every: DataFrame, seed: int) -> DataFrame:
     """Nearest nodes within blocks of equal signs of random projections; a large bucket is cut into blocks by hash."""
     size = every.groupBy("label", "dims").agg(F.count("*").alias("n"))
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / (BLOCK / 2)))).cast("int")
-    plain = every.join(settled(size.withColumn("bits", F.least(bits, F.lit(48)))), ["label", "dims"])
+    size = size.withColumn("bits", F.least(bits, F.lit(48)))
+    size = size.withColumn("tables", F.element_at(F.array(*[F.lit(tables(k)) for k in range(49)]), F.col("bits") + 1))
+    plain = every.join(settled(size), ["label", "dims"])
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "label", "dims", "x", "bits"]
+        names = ["node", "label", "dims", "x"]
         for batch in batches:
             t = pa.Table.from_batches([batch]).sort_by("dims").combine_chunks()
             if not t.num_rows:
@@ -92,16 +127,16 @@ def _projected(every: DataFrame, seed: int) -> DataFrame:
             dims = t.column("dims").to_numpy()
             for a, b in _runs(dims):
                 own = t.slice(a, b - a)
-                x, bits = _vectors(own.column("x")), own.column("bits").to_numpy()
-                for table in range(TABLES):
+                x, bits, times = _vectors(own.column("x")), own.column("bits").to_numpy(), own.column("tables").to_numpy()
+                for table in range(times.max()):
                     planes = np.random.default_rng((seed, table, int(dims[a]))).standard_normal((x.shape[1], 48))
                     on = (x @ planes > 0) & (np.arange(48)[None] < bits[:, None])
                     key = (on.astype(np.int64) << np.arange(48)[None]).sum(1)
-                    part = pa.table({**{c: own.column(c) for c in names[:4]}, "at": np.full(b - a, table, np.int32), "bucket": key})
-                    yield from part.combine_chunks().to_batches()
+                    part = pa.table({**{c: own.column(c) for c in names}, "at": np.full(b - a, table, np.int32), "bucket": key})
+                    yield from part.filter(pa.array(times > table)).combine_chunks().to_batches()
 
     kinds = dict(every.dtypes)
-    keyed = plain.select("node", "label", "dims", "x", "bits").mapInArrow(
+    keyed = plain.select("node", "label", "dims", "x", "bits", "tables").mapInArrow(
         signs, f"node bigint, label bigint, dims int, x {kinds['x']}, at int, bucket bigint")
     keyed = settled(keyed)
     bucket = ["label", "dims", "at", "bucket"]
@@ -137,8 +172,15 @@ def _lists(edges: DataFrame, lengths: DataFrame | None) -> DataFrame:
     return rows.filter(F.col("rank") <= F.col("long")).select("v", "w", "sim", "long", "rank")
 
 
-def _descend(every: DataFrame, lists: DataFrame) -> tuple[DataFrame, int]:
-    """One round: at each node its neighbours, and those that name it, meet; saturated lists may grow first."""
+def _parted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges for lists, links), computed once. The links are settled, each pair once."""
+    held = settled(edges)
+    links = settled(held.filter("link").select(F.least("v", "w").alias("u"), F.greatest("v", "w").alias("v")).distinct())
+    return held, links
+
+
+def _descend(every: DataFrame, lists: DataFrame) -> tuple[DataFrame, int, DataFrame]:
+    """One round: at each node its neighbours, and those that name it, meet; saturated lists may grow first. With the links seen."""
     state = lists.groupBy("v").agg(F.min("sim").alias("floor"), F.count("*").alias("n"), F.first("long").alias("long"))
     full = (F.col("n") >= F.col("long")) & (F.col("floor") >= NEAR)
     state = state.withColumn("long", F.when(full, F.least(F.col("long") * 2, F.lit(LONGEST))).otherwise(F.col("long")))
@@ -161,40 +203,111 @@ def _descend(every: DataFrame, lists: DataFrame) -> tuple[DataFrame, int]:
             yield _batch(found)
 
     new = meet.select("at", "v", "x", "floor").repartition("at").sortWithinPartitions("at").mapInArrow(local, EDGES)
-    after = settled(_lists(lists.select("v", "w", "sim").union(new), state.select("v", "long")))
+    held, links = _parted(new)
+    after = settled(_lists(lists.select("v", "w", "sim").union(held.filter("not link").drop("link")), state.select("v", "long")))
     changed = after.select("v", "w").join(lists.select("v", "w"), ["v", "w"], "left_anti").count()
-    return after, changed
-
-
-def _audit(every: DataFrame, roots: DataFrame, seed: int) -> DataFrame:
-    """(v, w) of the links of at most AUDIT nodes, by comparison with all nodes, and whether both are in one group."""
-    named = every.join(roots, every["node"] == roots["k"], "left").select("node", "label", "dims", "x", F.coalesce("root", "node").alias("root"))
-    asked = named.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(AUDIT).collect()  # AUDIT vectors
+    discard(held, lists, state)
+    return after, changed, links
+
+
+def _between(every: DataFrame, roots: DataFrame, lists: DataFrame) -> DataFrame:
+    """(u, v): a link between each two blocks of different groups that have one. Only nodes whose lists are full of links count here,
+    as another's list would hold the link; blocks are groups cut by hash."""
+    full = lists.groupBy("v").agg(F.min("sim").alias("floor"), F.count("*").alias("n"), F.first("long").alias("long")).filter(
+        (F.col("n") >= F.col("long")) & (F.col("floor") >= NEAR)).select(F.col("v").alias("k"))
+    own = roots.join(full, "k").withColumnRenamed("k", "node")
+    size = own.groupBy("root").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("cuts"))
+    own = own.join(size, "root").withColumn("block", F.xxhash64("root", F.pmod(F.xxhash64("node", F.lit(3)), F.col("cuts")))).drop("cuts")
+    own = settled(every.select("node", "label", "dims", "x").join(own, "node"))
+
+    def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in in_order(batches, ["block"]):
+            out = []
+            for a, b in _runs(t.column("block").to_numpy()):
+                x = _vectors(t.column("x").slice(a, b - a))
+                mid = x.sum(0) / max(np.linalg.norm(x.sum(0)), 1e-12)
+                angle = float(np.arccos(np.clip((x @ mid).min(), -1, 1)))
+                out.append((*(t.column(c)[a].as_py() for c in ("block", "root", "label", "dims")), mid.tolist(), angle))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.float64()))],
+                names=["block", "root", "label", "dims", "mid", "angle"])
+
+    at = own.select("block", "root", "label", "dims", "x").repartition("block").sortWithinPartitions("block").mapInArrow(
+        centre, "block bigint, root bigint, label bigint, dims int, mid array<double>, angle double")
+    at = settled(at)
+    one, two = at.alias("one"), at.alias("two")
+    dot = F.aggregate(F.zip_with("one.mid", "two.mid", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    reach = F.least(F.lit(math.pi), F.col("one.angle") + F.col("two.angle") + F.lit(math.acos(NEAR) + 1e-6))
+    pairs = one.join(two, (F.col("one.label") == F.col("two.label")) & (F.col("one.dims") == F.col("two.dims")) & (
+        F.col("one.root") < F.col("two.root")) & (dot >= F.cos(reach) - 1e-9))
+    pairs = settled(pairs.select(F.col("one.block").alias("one"), F.col("two.block").alias("two")))
+    rows = pairs.withColumn("block", F.explode(F.array("one", "two"))).join(own.select("block", "node", "x"), "block")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in in_order(batches, ["one", "two"]):
+            first, second, side, ids = (t.column(c).to_numpy() for c in ("one", "two", "block", "node"))
+            found = []
+            for a, b in _runs(first, second):
+                x = _vectors(t.column("x").slice(a, b - a))
+                p, q = np.flatnonzero(side[a:b] == first[a]), np.flatnonzero(side[a:b] == second[a])
+                near = x[p] @ x[q].T
+                i, j = np.unravel_index(near.argmax(), near.shape)
+                if near[i, j] >= NEAR:
+                    found.append((int(ids[a + p[i]]), int(ids[a + q[j]])))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    cells = rows.select("one", "two", "block", "node", "x").repartition("one", "two").sortWithinPartitions("one", "two")
+    return cells.mapInArrow(meet, "u bigint, v bigint")
+
+
+def _compared(named: DataFrame, asked: DataFrame) -> DataFrame:
+    """The nodes of ``asked``, at most some AT_ONCE, against all of their label: (v, null, links, links within v's group) of each with a
+    link, a row a batch, and (v, w) of one link to each group that isn't v's."""
     blocks: dict = {}
-    for r in asked:
+    for r in asked.collect():
         blocks.setdefault((r["label"], r["dims"]), []).append((r["node"], r["root"], np.array(r["x"], np.float64)))
     blocks = {k: (np.array([a for a, _, _ in v]), np.array([b for _, b, _ in v]), np.stack([c / np.linalg.norm(c) for _, _, c in v])) for k, v in blocks.items()}
-    shared = every.sparkSession.sparkContext.broadcast(blocks)
+    shared = named.sparkSession.sparkContext.broadcast(blocks)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], []]
+            out: list[tuple] = []
             label, dims = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for (k, d), (ids, groups, q) in shared.value.items():
                 own = np.flatnonzero((label == k) & (dims == d))
                 if not len(own):
                     continue
                 x = _vectors(batch.column(3).take(pa.array(own)))
-                i, j = np.nonzero(q @ x.T >= NEAR)
-                node, root = batch.column(0).to_numpy()[own][j], batch.column(4).to_numpy()[own][j]
-                keep = ids[i] != node
-                out[0].append(ids[i][keep])
-                out[1].append(node[keep])
-                out[2].append(groups[i][keep] == root[keep])
-            join = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, bool))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in join], names=["v", "w", "found"])
+                node, root = batch.column(0).to_numpy()[own], batch.column(4).to_numpy()[own]
+                near = (q @ x.T >= NEAR) & (ids[:, None] != node)
+                within = near & (groups[:, None] == root)
+                for i in np.flatnonzero(near.any(1)):
+                    out.append((int(ids[i]), None, int(near[i].sum()), int(within[i].sum())))
+                    other = np.flatnonzero(near[i] & ~within[i])
+                    out += [(int(ids[i]), int(node[other[j]]), 0, 0) for j in np.unique(root[other], return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(4)], names=["v", "w", "n", "m"])
+
+    return named.mapInArrow(compare, "v bigint, w bigint, n bigint, m bigint")
 
-    return named.mapInArrow(compare, "v bigint, w bigint, found boolean")
+
+def _audit(every: DataFrame, roots: DataFrame, seed: int, wanted: int) -> tuple[DataFrame, float, bool]:
+    """(links missed, recall, whether all nodes were asked): nodes by hash are compared with all, until ``wanted`` with a link were seen.
+
+    Recall is the share of a node's links that are in its group, on average over the nodes that have any."""
+    named = every.join(roots, every["node"] == roots["k"], "left").select("node", "label", "dims", "x", F.coalesce("root", "node").alias("root"))
+    named = settled(named)
+    rows, turn, end = named.count(), F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 40)), 1 << 40
+    missed, seen, share, lo, step = None, 0, 0.0, 0, AUDIT
+    while lo < end and seen < wanted:
+        hi = min(end, lo + max(1, end * step // max(1, rows)))
+        found = settled(_compared(named, named.filter((turn >= lo) & (turn < hi))))
+        new = found.filter("w is not null").select(F.col("v").alias("u"), F.col("w").alias("v"))
+        missed = new if missed is None else settled(missed.union(new))
+        by_node = found.filter("w is null").groupBy("v").agg((F.sum("m") / F.sum("n")).alias("share"))
+        got = by_node.agg(F.count("*").alias("n"), F.sum("share").alias("share")).first()
+        seen, share = seen + got["n"], share + (got["share"] or 0.0)
+        lo, step = hi, min(2 * step, AT_ONCE)
+    return missed, share / seen if seen else 1.0, lo >= end
 
 
 def _exact(every: DataFrame, roots: DataFrame) -> DataFrame:
@@ -239,28 +352,39 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     """
     rows, made = nodes(vectors)
     rows, every = settled(rows), settled(made)
-    lists, links, recall = None, None, 1.0
-    extra = every.sparkSession.createDataFrame([], "u bigint, v bigint")
-    for attempt in range(ATTEMPTS):
-        first = _projected(every, attempt)
+    lists, attempt = None, 0
+    links = every.sparkSession.createDataFrame([], "u bigint, v bigint")
+
+    def grouped() -> DataFrame:
+        return settled(components(links).select(F.col("node").alias("k"), "root"))
+
+    while True:
+        held, seen = _parted(_projected(every, attempt))
+        links = links.union(seen)
+        first = held.filter("not link").drop("link")
         lengths = None if lists is None else lists.groupBy("v").agg(F.first("long").alias("long"))
         lists = settled(_lists(first if lists is None else first.union(lists.select("v", "w", "sim")), lengths))
+        discard(held)
         total = lists.count()
         for _ in range(ROUNDS):
-            lists, changed = _descend(every, lists)
+            lists, changed, seen = _descend(every, lists)
+            links = links.union(seen)
             if changed <= total // 200:
                 break
-        links = lists.filter(F.col("sim") >= NEAR).select(F.col("v").alias("u"), F.col("w").alias("v"))
-        roots = settled(components(links.union(extra)).select(F.col("node").alias("k"), "root"))
-        found = settled(_audit(every, roots, attempt))
-        asked = found.agg(F.count("*").alias("n"), F.sum(F.col("found").cast("long")).alias("m")).first()
-        recall = (asked["m"] or 0) / asked["n"] if asked["n"] else 1.0
-        missed = found.filter("not found").select(F.col("v").alias("u"), F.col("w").alias("v"))
-        if asked["n"] and asked["m"] < asked["n"]:
-            extra = settled(extra.union(missed))
-            roots = settled(components(links.union(extra)).select(F.col("node").alias("k"), "root"))
-        if recall >= RECALL:
+        links = links.union(lists.filter(F.col("sim") >= NEAR).select(F.col("v").alias("u"), F.col("w").alias("v")))
+        links = settled(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        roots = grouped()
+        more = settled(_between(every, roots, lists))
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = grouped()
+        missed, recall, whole = _audit(every, roots, attempt, AUDIT << attempt)
+        if missed is not None and not missed.isEmpty():
+            links = links.union(missed)
+            roots = grouped()
+        if whole or recall >= RECALL:
             break
+        attempt += 1
     counts = _exact(every, roots)
     groups = every.join(roots.withColumnRenamed("k", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = settled(groups.groupBy("root").agg(F.min("vec_id").alias("component_id")))

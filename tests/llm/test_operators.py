@@ -1,5 +1,6 @@
 """The dealt operators against brute force, and on odd tables: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -88,6 +89,46 @@ def test_vectors_against_brute_force(spark):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(near.get(i, [])), min(reach), i == min(reach))
 
 
+def linked_alone(spark, rows):
+    """By vec_id (links, component) of all pairs compared, and what the operator says."""
+    x = np.array([v for _, v, _ in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    root = np.arange(len(rows))
+    while True:
+        low = np.where(near, root[None], len(rows)).min(1)
+        if (low == root).all():
+            break
+        root = low
+    got = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    return {i: (int(near[i].sum()) - 1, int(root[i])) for i in range(len(rows))}, {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got}, got
+
+
+def test_two_tight_groups_with_looser_links(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "AUDIT", 1)
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v)
+    one, off = unit(rng.standard_normal(64)), rng.standard_normal(64)
+    two = 0.955 * one + math.sqrt(1 - 0.955 ** 2) * unit(off - one * (off @ one))
+    x = [unit((one, two)[k % 2] + 0.008 * rng.standard_normal(64)) for k in range(120)] + list(rng.standard_normal((1000, 64)))
+    want, got, rows = linked_alone(spark, [(k, v.tolist(), 0) for k, v in enumerate(x)])
+    assert want[119][1] == 0 and got == want and rows[0]["audited_recall"] == 1.0
+
+
+def test_audit_goes_on_until_links_are_seen(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "_projected", lambda every, seed: spark.createDataFrame([], neighbours.EDGES))  # descent finds nothing
+    rng = np.random.default_rng(6)
+    x = list(rng.standard_normal((2500, 32)))
+    x += [v + 0.2 * rng.standard_normal(32) for v in x[:12]]
+    want, got, rows = linked_alone(spark, [(k, v.tolist(), 0) for k, v in enumerate(x)])
+    assert sum(n for n, _ in want.values()) > 12 and got == want and rows[0]["audited_recall"] == 0.0
+
+
+def test_chance_of_a_shared_bucket_does_not_fall_with_size():
+    for bits in range(1, 30):
+        assert 1 - (1 - (1 - math.acos(0.93) / math.pi) ** bits) ** neighbours.tables(bits) >= 0.95
+
+
 def test_no_vectors(spark):
     assert neighbours.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
