@@ -115,6 +115,16 @@ def test_two_tight_groups_with_looser_links(spark, monkeypatch):
     assert want[119][1] == 0 and got == want and rows[0]["audited_recall"] == 1.0
 
 
+def test_block_gives_links_beyond_the_nearest():
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    one, off = unit(rng.standard_normal(64)), rng.standard_normal(64)
+    two = 0.955 * one + math.sqrt(1 - 0.955 ** 2) * unit(off - one * (off @ one))
+    x = unit(np.stack([one, two])[np.arange(120) % 2] + 0.008 * rng.standard_normal((120, 64)))
+    v, w = neighbours._nearest(np.arange(120), x, 32)[:2]
+    assert ((v + w) % 2 == 1).any()  # a link between the two halves, which no list of 32 holds
+
+
 def test_audit_goes_on_until_links_are_seen(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "_projected", lambda every, seed: spark.createDataFrame([], neighbours.EDGES))  # descent finds nothing
     rng = np.random.default_rng(6)
