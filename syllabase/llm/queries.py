@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from public_tokenizers import path as tokenizer_path
 
-from . import decontam, langid, linededup, neighbours, packing, resample, secretscan, setjoin, toxicity, warc
+from . import decontam, divergence, langid, linededup, neighbours, packing, resample, secretscan, setjoin, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
@@ -136,3 +141,35 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
   CASE WHEN winner <> page_id THEN winner END AS refers_to
 FROM r
 """
+
+ORACLES["op12_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+')) AS term
+  FROM d),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+uses AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (
+  SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM uses GROUP BY ALL) USING (lang, source)
+    LEFT JOIN v USING (lang)),
+p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n,
+    1 + (CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 5)) // CAST(total + 5 * v AS HUGEINT) AS p
+  FROM groups JOIN kept USING (lang) LEFT JOIN uses USING (lang, source, term)),
+q AS (
+  SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // CAST(total + 5 * v AS HUGEINT) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM uses GROUP BY ALL) JOIN (SELECT lang, sum(total) AS total, max(v) AS v FROM groups GROUP BY lang) USING (lang)),
+dist AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN dist ON dist.lang = a.lang AND dist.source = a.source AND dist.item = b.source),
+both_parts AS (
+  SELECT * FROM pairs UNION ALL
+  SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts)
+WHERE part = 'pair' OR rank <= 50
+"""
