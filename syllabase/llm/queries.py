@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from public_tokenizers import path as tokenizer_path
 
-from . import decontam, divergence, langid, linededup, neighbours, packing, resample, secretscan, setjoin, toxicity, warc
+from . import decontam, divergence, langid, linededup, neighbours, packing, periodic, resample, secretscan, setjoin, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), whole=False)
+
+
 @query
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
@@ -142,6 +147,31 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
 FROM r
 """
 
+ORACLES["op11_periodic_runs"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) AS h
+  FROM documents),
+g AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+t AS (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_concat(w[1:a], list_transform(range(n - a), lambda k: w[a + k % (1 + (n - a) // (3 + g % 8)) + 1])) ELSE w END AS w
+  FROM g),
+x AS (SELECT r, n, i, w[i + 1] AS word FROM t, unnest(range(n)) AS u(i)),
+same AS (SELECT a.r, b.i - a.i AS q, a.i FROM x a JOIN x b ON a.r = b.r AND a.word = b.word AND b.i > a.i AND 3 * (b.i - a.i) <= a.n),
+islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM same),
+stretches AS (SELECT r, q, min(i) AS s, count(*) + q AS n FROM islands GROUP BY r, q, k HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT r, s, n, min(q) AS q FROM stretches GROUP BY ALL),
+best AS (SELECT r, s, n, q FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY n / q DESC, s, q) = 1),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS line FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, i FROM runs, unnest(range(s + q, s + n)) AS u(i)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS line FROM x ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(s AS BIGINT) AS start, CAST(best.n AS BIGINT) AS length, CAST(q AS BIGINT) AS period,
+  CAST(1000 * best.n // q AS BIGINT) AS exponent_milli, sha256(coalesce(listed.line, '')) AS runs_sha256, sha256(coalesce(kept.line, '')) AS collapsed_sha256
+FROM t LEFT JOIN best USING (r) LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)
+"""
+
 ORACLES["op12_source_divergence"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
 words AS (
