@@ -22,14 +22,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _letters() -> np.ndarray:
-    """One value per byte; A-Z count as a-z."""
-    values = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
-    values[65:91] = values[97:123]
-    return values
-
-
-LETTERS = _letters()
+#: One value per byte.
+EXACT = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
+#: The same with A-Z as a-z.
+LETTERS = EXACT.copy()
+LETTERS[65:91] = EXACT[97:123]
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -84,7 +81,7 @@ def slices(data: np.ndarray, off: np.ndarray, size: int = SLICE) -> Iterator[tup
         first = last
 
 
-def tokens(data: np.ndarray, off: np.ndarray, kinds: np.ndarray, hashed: bool = True):
+def tokens(data: np.ndarray, off: np.ndarray, kinds: np.ndarray, hashed: bool = True, letters: np.ndarray = LETTERS):
     """(starts, ends, hashes, bounds): tokens in byte positions; text d has those from bounds[d] to bounds[d + 1]."""
     n = len(data)
     if not n:
@@ -104,7 +101,7 @@ def tokens(data: np.ndarray, off: np.ndarray, kinds: np.ndarray, hashed: bool =
     if hashed:
         up, down = _power(n)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(LETTERS[data] * up, out=total[1:])
+        np.cumsum(letters[data] * up, out=total[1:])
         hashes = mix((total[ends] - total[starts]) * down[starts])
     return starts, ends, hashes, np.searchsorted(starts, off)
 
