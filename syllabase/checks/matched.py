@@ -56,7 +56,7 @@ def _(t):
 SIDE = f"{D.score_name('name')} AS n, {D.score_tokens(D.score_name('name'))} AS t, contains({D.score_name('location')}, 'алматы') AS c1, contains({D.score_name('location')}, 'астана') AS c2"
 
 
-@query("j11_best_match", f"""
+BEST_SQL = f"""
 WITH a AS (SELECT institution_id AS id, {SIDE} FROM {{uni}}), b AS (SELECT incoming_id AS id, {SIDE} FROM {{incoming}}),
  p AS (SELECT a.id AS l, b.id AS r, CASE WHEN a.n = '' OR b.n = '' THEN 0 WHEN a.n = b.n THEN 20
    WHEN list_has_any(a.t, b.t) THEN 4 * len(list_intersect(a.t, b.t)) + CASE WHEN abs(len(a.t) - len(b.t)) <= 1 THEN 3 ELSE 0 END
@@ -64,7 +64,10 @@ WITH a AS (SELECT institution_id AS id, {SIDE} FROM {{uni}}), b AS (SELECT incom
    WHEN len(list_filter(a.t, lambda x: length(x) >= 4 AND contains(b.n, x))) > 0 OR len(list_filter(b.t, lambda x: length(x) >= 4 AND contains(a.n, x))) > 0 THEN 4 ELSE 0 END
    + CASE WHEN a.c1 AND b.c1 THEN 1 ELSE 0 END + CASE WHEN a.c2 AND b.c2 THEN 1 ELSE 0 END AS score FROM a CROSS JOIN b),
  k AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS rk FROM p)
-SELECT l AS left_id, r AS right_id, CAST(score AS INTEGER) AS score FROM k WHERE rk = 1 AND score >= 4""")
+SELECT l AS left_id, r AS right_id, CAST(score AS INTEGER) AS score FROM k WHERE rk = 1 AND score >= 4"""
+
+
+@query("j11_best_match", BEST_SQL)
 def _(t):
     left = t.uni.withColumnRenamed("institution_id", "left_id")
     right = t.incoming.withColumnRenamed("incoming_id", "right_id")

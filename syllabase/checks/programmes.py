@@ -94,11 +94,13 @@ def _(t):
     return P.keep_better(t.program).select("institution_id", "pos", "name", "code", "cost", "duration")
 
 
-@query("p9_gate_official", """
-WITH r AS (SELECT institution_id, pos, trim(name) AS name, code, CASE WHEN cost > 0 THEN cost END AS cost FROM {program}),
- g AS (SELECT * FROM r
-  WHERE length(name) BETWEEN 5 AND 160 AND NOT regexp_matches(lower(name), 'cookie|меню|главная|войти|login|privacy|политика|подробнее|скачать') AND (code IS NOT NULL OR cost IS NOT NULL))
-SELECT institution_id, pos, name, code, cost FROM g""")
+GATED = """
+WITH r AS (SELECT * REPLACE (trim(name) AS name, CASE WHEN cost > 0 THEN cost END AS cost) FROM {program})
+SELECT * FROM r
+WHERE length(name) BETWEEN 5 AND 160 AND NOT regexp_matches(lower(name), 'cookie|меню|главная|войти|login|privacy|политика|подробнее|скачать') AND (code IS NOT NULL OR cost IS NOT NULL)"""
+
+
+@query("p9_gate_official", f"SELECT institution_id, pos, name, code, cost FROM ({GATED})")
 def _(t):
     return P.gate_official(t.program).select("institution_id", "pos", "name", "code", "cost")
 
@@ -124,19 +126,23 @@ EXTRA_SQL = """SELECT institution_id, pos, CASE WHEN pos % 2 = 0 THEN upper(name
  global_specialty, qualification, cost, duration, 'official' AS source FROM {program} WHERE pos % 3 = 0"""
 
 
-@query("j14_merge_programs", f"""
-WITH base AS (SELECT *, {D.score_name('name')} AS n, concat(replace(upper(COALESCE(code, '')), 'B', 'В'), '||', {D.score_name('name')}) AS k FROM ({BASE_SQL})),
- extra AS (SELECT *, {D.score_name('name')} AS n, concat(replace(upper(COALESCE(code, '')), 'B', 'В'), '||', {D.score_name('name')}) AS k FROM ({EXTRA_SQL})),
- known AS (SELECT institution_id, k, n, MIN(pos) AS first_pos, arg_max(name, pos) AS name, last(code ORDER BY pos) AS code, last(cost ORDER BY pos) AS cost, last(duration ORDER BY pos) AS duration FROM base GROUP BY 1, 2, 3),
+def merged_sql(base, extra):
+    return f"""
+WITH base AS (SELECT *, {D.score_name('name')} AS n, concat(replace(upper(COALESCE(code, '')), 'B', 'В'), '||', {D.score_name('name')}) AS k FROM {base}),
+ extra AS (SELECT *, {D.score_name('name')} AS n, concat(replace(upper(COALESCE(code, '')), 'B', 'В'), '||', {D.score_name('name')}) AS k FROM {extra}),
+ known AS (SELECT institution_id, k, n, MIN(pos) AS first_pos, arg_max(name, pos) AS name, last(code ORDER BY pos) AS code, last(cost ORDER BY pos) AS cost, last(duration ORDER BY pos) AS duration, last(global_specialty ORDER BY pos) AS global_specialty, last(qualification ORDER BY pos) AS qualification, last(source ORDER BY pos) AS source FROM base GROUP BY 1, 2, 3),
  byname AS (SELECT institution_id, n, arg_min(k, first_pos) AS name_key FROM known GROUP BY 1, 2),
  own AS (SELECT institution_id, n, arg_min(k, pos) AS own_key FROM extra GROUP BY 1, 2),
- tgt AS (SELECT e.institution_id, COALESCE(x.k, b.name_key, o.own_key) AS k, 1 AS s, e.pos AS p, e.name, e.code, e.cost, e.duration, 'official' AS source
+ tgt AS (SELECT e.institution_id, COALESCE(x.k, b.name_key, o.own_key) AS k, 1 AS s, e.pos AS p, e.name, e.code, e.cost, e.duration, e.global_specialty, e.qualification, e.source
    FROM extra e LEFT JOIN known x ON e.institution_id = x.institution_id AND e.k = x.k LEFT JOIN byname b ON e.institution_id = b.institution_id AND e.n = b.n
    JOIN own o ON e.institution_id = o.institution_id AND e.n = o.n),
- u AS (SELECT institution_id, k, 0 AS s, first_pos AS p, name, code, cost, duration, 'list' AS source FROM known UNION ALL SELECT * FROM tgt)
-SELECT institution_id, first(name ORDER BY s, p) AS name, first(code ORDER BY s, p) FILTER (WHERE code IS NOT NULL) AS code,
+ u AS (SELECT institution_id, k, 0 AS s, first_pos AS p, name, code, cost, duration, global_specialty, qualification, source FROM known UNION ALL SELECT * FROM tgt)
+SELECT institution_id, first(name ORDER BY s, p) AS name, first(global_specialty ORDER BY s, p) AS global_specialty, first(qualification ORDER BY s, p) AS qualification, min(struct_pack(s := s, p := p)) AS pos, first(code ORDER BY s, p) FILTER (WHERE code IS NOT NULL) AS code,
  first(cost ORDER BY s, p) FILTER (WHERE cost IS NOT NULL) AS cost, first(duration ORDER BY s, p) FILTER (WHERE duration IS NOT NULL) AS duration,
- CASE WHEN MIN(s) = 1 THEN 'official' WHEN MAX(s) = 1 THEN 'list,official' ELSE 'list' END AS sources FROM u GROUP BY institution_id, k""")
+ CASE WHEN MIN(s) = 0 AND MAX(s) = 1 THEN concat(first(source ORDER BY s, p), ',official') ELSE first(source ORDER BY s, p) END AS sources FROM u GROUP BY institution_id, k"""
+
+
+@query("j14_merge_programs", "SELECT institution_id, name, code, cost, duration, sources FROM (" + merged_sql(f"({BASE_SQL})", f"({EXTRA_SQL})") + ")")
 def _(t):
     out = P.merge_programs(t.sql(BASE_SQL), t.sql(EXTRA_SQL))
     return out.select("institution_id", "name", "code", "cost", "duration", F.array_join("sources", ",").alias("sources"))
@@ -150,13 +156,16 @@ NAME_RULES = """SELECT s_suppkey AS institution_id, '(?i)finance' AS match, 777.
  UNION ALL SELECT s_suppkey, 'Экономика|and Acc', 888.0e0, CAST(5 AS INT), 2 FROM {supplier} WHERE s_suppkey % 4 = 0"""
 
 
-@query("j15_apply_overrides", f"""
+RULED = f"""
 WITH d AS ({BY_ID}),
  p AS (SELECT *, institution_id % 2 = 0 AND regexp_matches(name, '(?i)finance') AS r1, institution_id % 4 = 0 AND regexp_matches(name, 'Экономика|and Acc') AS r2 FROM {{program}}),
  j AS (SELECT p.*, d.default_cost, d.default_duration, d.fill_null_only, (d.default_cost > 0) AS offered FROM p LEFT JOIN d USING (institution_id))
-SELECT institution_id, pos, CASE WHEN r2 THEN 888.0e0 WHEN r1 THEN 777.0e0 WHEN offered AND fill_null_only AND NOT COALESCE(cost, 0) > 0 THEN default_cost WHEN offered AND NOT fill_null_only THEN default_cost ELSE cost END AS cost,
+SELECT institution_id, pos, name, code, global_specialty, qualification, CASE WHEN r2 THEN 888.0e0 WHEN r1 THEN 777.0e0 WHEN offered AND fill_null_only AND NOT COALESCE(cost, 0) > 0 THEN default_cost WHEN offered AND NOT fill_null_only THEN default_cost ELSE cost END AS cost,
  CASE WHEN r2 THEN 5 WHEN r1 THEN duration ELSE COALESCE(duration, default_duration) END AS duration,
- CASE WHEN r1 OR r2 THEN 'official_name_rule' WHEN offered AND fill_null_only AND NOT COALESCE(cost, 0) > 0 THEN 'official_default_fill' WHEN offered AND NOT fill_null_only THEN 'official_default_force' END AS cost_source FROM j""")
+ CASE WHEN r1 OR r2 THEN 'official_name_rule' WHEN offered AND fill_null_only AND NOT COALESCE(cost, 0) > 0 THEN 'official_default_fill' WHEN offered AND NOT fill_null_only THEN 'official_default_force' END AS cost_source FROM j"""
+
+
+@query("j15_apply_overrides", f"SELECT institution_id, pos, cost, duration, cost_source FROM ({RULED})")
 def _(t):
     return P.apply_overrides(t.program, t.sql(BY_ID), t.sql(NAME_RULES)).select("institution_id", "pos", "cost", "duration", "cost_source")
 

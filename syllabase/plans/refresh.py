@@ -9,16 +9,28 @@ from ..operators import matching
 from ..operators import places
 from ..operators import programs as P
 from ..operators import quality as Q
+from ..operators.ordered import numbered
 from ..session import checkpoint
 from ..sources import catalog as C
 
 
 def keyed_rows(rows: DataFrame) -> DataFrame:
-    """Institution rows of nested files with a repeatable ``incoming_id``."""
-    key = F.xxhash64("source_file", "name", "type", "location", "website")
+    """Institution rows of nested files with ``incoming_id``: file, row and place in the row's list.
+
+    Two rows never share it, whatever they hold, and a second read gives the same. It sorts as the rows stand in the files.
+    """
+    digits = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
+    key = F.concat_ws("#", "source_file", digits("source_row", 15), digits("source_pos", 10))
     return C.unify_programs(rows).withColumn("incoming_id", key)
 
 
+def new_ids(matches: DataFrame, existing: DataFrame) -> DataFrame:
+    """(new_key, new_id): ids of the institutions to be made, counted on from the largest there is, in the order of their keys."""
+    fresh = matches.filter("new_key IS NOT NULL").select("new_key").distinct().withColumn("_all", F.lit(0))
+    last = existing.agg(F.max("institution_id")).first()[0] or 0
+    return numbered(fresh, "_all", ["new_key"], "n").select("new_key", (F.col("n") + last + 1).alias("new_id"))
+
+
 def empty_tree(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
     make = lambda schema: spark.createDataFrame([], schema)
     return (
@@ -32,12 +44,13 @@ def rebuild_catalog(incoming: DataFrame, programs: DataFrame, existing: DataFram
     """Tree and links from nothing; institutions are matched with the existing ones.
 
     incoming: incoming_id, name, type, location, website. programs: incoming_id,
-    pos, name, global_specialty, code, cost, duration. An institution without a
-    match gets the id of its ``new_key``. Returns the tree levels, ``links``,
-    ``matches`` and ``placed``.
+    pos, name, global_specialty, code, cost, duration. Institutions without a
+    match that share a ``new_key`` get one new id. Returns the tree levels,
+    ``links``, ``matches`` (with ``new_id``) and ``placed``.
     """
     matches = checkpoint(matching.match_cascade(incoming, existing, strict))
-    owner = matches.select("incoming_id", F.coalesce("institution_id", "new_key").alias("institution_id"))
+    matches = checkpoint(matches.join(new_ids(matches, existing), "new_key", "left"))
+    owner = matches.select("incoming_id", F.coalesce("institution_id", "new_id").alias("institution_id"))
     rows = programs.withColumn("ord", F.struct("incoming_id", "pos")).join(owner, "incoming_id")
     levels = empty_tree(programs.sparkSession)
     tree = M.upsert_tree(rows.select("ord", "name", "global_specialty", "code"), *levels)

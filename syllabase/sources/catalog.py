@@ -1,7 +1,7 @@
 """Nested catalogue files in, snapshots and exports out."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
@@ -15,17 +15,34 @@ def read_catalog(spark: SparkSession, paths, lines: bool = False) -> DataFrame:
 
     Each file may be an object with an ``institutions`` list or a bare list. A
     whole-document file is read by one task; write large feeds as JSON lines
-    (``lines=True``), which Spark splits.
+    (``lines=True``), which Spark splits. ``source_file``, ``source_row`` and
+    ``source_pos`` (in the list of that row) name a row's place, the same in each
+    read of the same files.
     """
     raw = spark.read.schema(CATALOG_FILE).option("multiLine", not lines).json(paths)
-    raw = raw.withColumn("source_file", F.input_file_name())
+    # Where a row was read: the part of the file, and a number that grows by one from row to row of that part.
+    place = F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")
+    raw = raw.select("*", F.col("_metadata.file_path").alias("source_file"), *place)
     names = INSTITUTION_FILE.fieldNames()
-    wrapped = raw.filter(F.col("institutions").isNotNull()).select("source_file", F.inline("institutions"))
-    bare = raw.filter(F.col("institutions").isNull()).select("source_file", *names)
-    rows = wrapped.select("source_file", *names).unionByName(bare)
+    wrapped = raw.filter(F.col("institutions").isNotNull())
+    wrapped = wrapped.select(*READ[:3], F.posexplode("institutions").alias("source_pos", "i")).select(*READ, "i.*")
+    bare = raw.filter(F.col("institutions").isNull()).withColumn("source_pos", F.lit(0)).select(*READ, *names)
+    rows = _with_rows(raw, wrapped.unionByName(bare))
     return rows.filter(X.is_blank(F.col("error")) & ~X.is_blank(F.trim("name")))
 
 
+READ = ["source_file", "_block", "_at", "source_pos"]
+
+
+def _with_rows(raw: DataFrame, rows: DataFrame) -> DataFrame:
+    """``source_row``, the number of the row in its file, however the file was cut: rows of earlier parts and of its own are counted."""
+    parts = raw.groupBy("source_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    number = F.col("_before") + F.col("_at") - F.col("_first")
+    return rows.join(parts, ["source_file", "_block"]).withColumn("source_row", number).drop("_block", "_at", "_before", "_first")
+
+
 def unify_programs(df: DataFrame) -> DataFrame:
     """One shape for both exports: ``institution_id`` and ``programs``."""
     for want, other in (("programs", "specialties"), ("institution_id", "id")):
