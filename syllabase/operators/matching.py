@@ -199,6 +199,48 @@ def _names(df: DataFrame, key: str, side: str) -> DataFrame:
     return rows.select(*[F.col(c).alias(side + c) for c in ("n", "f", "id", "t")])
 
 
+#: Hot tokens of a name up to which its subsets are listed.
+SUBSETS_OF = 10
+
+
+def _subsets(df: DataFrame, sig: str) -> DataFrame:
+    """``df`` once per non-empty subset of its tokens: ``part`` and its size ``k``."""
+    masks = f"sequence(1, shiftleft(1, size({sig})) - 1)"
+    parts = f"transform({masks}, m -> filter({sig}, (x, i) -> (shiftright(m, i) & 1) = 1))"
+    rows = df.withColumn("_part", F.explode(F.expr(parts)))
+    return rows.select(*df.columns, F.array_join("_part", " ").alias("part"), F.size("_part").alias("k"))
+
+
+def hot_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(sig, ls, lf, rf, row, s): for each left set of hot tokens, right rows among which its best one is; ``s`` is their score.
+
+    left: sig, ls (all tokens of the name), lf (cities). right: rsig, rs, rf, row (lowest id). Right rows are reduced to one per subset
+    of their tokens and cities, and one for each size that counts as like theirs. A left set meets the subsets it shares by equality: at first only to learn how large the largest
+    one is, then those of that size and one less, as one shared token outweighs size and cities but for a tie. So a set meets a
+    bounded number of rows, however many names hold its tokens. Sets of more than SUBSETS_OF tokens meet token by token.
+    """
+    near = F.when(F.abs(F.col("ls") - F.col("rs")) <= 1, 3).otherwise(0) + city_bonus(F.col("lf"), F.col("rf"))
+    few = lambda c: F.size(c) <= SUBSETS_OF
+    l_parts = _subsets(left.filter(few("sig")).select("sig").distinct(), "sig")
+    r_parts = _subsets(right.filter(few("rsig")), "rsig").groupBy("part", "rs", "rf").agg(F.min("row").alias("row"))
+    any_size = r_parts.groupBy("part", "rf").agg(F.min("row").alias("row"))
+    like_size = r_parts.withColumn("ls", F.explode(F.array(F.col("rs") - 1, F.col("rs"), F.col("rs") + 1)))
+    like_size = like_size.groupBy("part", "ls", "rf").agg(F.min("row").alias("row"))
+    shared = l_parts.join(any_size.select("part").distinct(), "part")
+    most = shared.groupBy("sig").agg(F.max("k").alias("most"))
+    asked = shared.join(most, "sig").filter("k >= most - 1").drop("most").join(left, "sig")
+    found = asked.join(any_size, "part").withColumn("size", F.lit(0))
+    found = found.unionByName(asked.join(like_size, ["part", "ls"]).withColumn("size", F.lit(3)))
+    by_part = found.select("sig", "ls", "lf", "rf", "row", (F.col("k") * 4 + F.col("size") + city_bonus(F.col("lf"), F.col("rf"))).alias("s"))
+
+    def by_token(a, b):
+        pairs = a.withColumn("tok", F.explode("sig")).join(b.withColumn("tok", F.explode("rsig")), "tok")
+        return pairs.select("sig", "ls", "lf", "rf", "row", (F.size(F.array_intersect("sig", "rsig")) * 4 + near).alias("s"))
+
+    long = by_token(left.filter(~few("sig")), right).unionByName(by_token(left.filter(few("sig")), right.filter(~few("rsig"))))
+    return by_part.unionByName(long)
+
+
 def best_match(left: DataFrame, right: DataFrame, least: int = 4, hot: int = 1000) -> DataFrame:
     """(left_id, right_id, score) of the best right name; the first row wins ties.
 
@@ -208,7 +250,8 @@ def best_match(left: DataFrame, right: DataFrame, least: int = 4, hot: int = 100
     * equal names;
     * pairs that share a token found in at most ``hot`` right names;
     * for the other tokens, names with the same set of hot tokens, size and
-      cities are alike for the score, so one row stands for each set;
+      cities are alike for the score, so one row stands for each set; sets meet by
+      the subsets they share (``hot_candidates``);
     * a token inside a word of the other name scores 4 whatever the rest of the
       name, so the lowest id per word is enough; words are matched as vocabulary;
     * a whole name inside the other without a shared token, found by substring.
@@ -237,14 +280,7 @@ def best_match(left: DataFrame, right: DataFrame, least: int = 4, hot: int = 100
     rs = signed(rt, ["rn", "rf", "rt", "rid"]).groupBy(F.col("sig").alias("rsig"), F.size("rt").alias("rs"), "rf").agg(
         F.min(right_row).alias("row")
     )
-    lg = ls.select("sig", "ls", "lf").distinct()
-    met = (
-        lg.withColumn("tok", F.explode("sig")).join(rs.withColumn("tok", F.explode("rsig")), "tok")
-        .select("sig", "ls", "lf", "rf", "row",
-                (F.size(F.array_intersect("sig", "rsig")) * 4
-                 + F.when(F.abs(F.col("ls") - F.col("rs")) <= 1, 3).otherwise(0)
-                 + city_bonus(F.col("lf"), F.col("rf"))).alias("s"))
-    )
+    met = hot_candidates(ls.select("sig", "ls", "lf").distinct(), rs)
     top = met.groupBy("sig", "ls", "lf").agg(
         F.max_by(F.struct("rf", "row"), F.struct("s", -F.col("row.rid"))).alias("g")
     ).select("sig", "ls", "lf", "g.rf", "g.row")

@@ -103,3 +103,35 @@ def test_names_to_ids_by_tier(spark):
     ], "result_id long, pos int, name string")
     got = {(r["specialization_id"], r["pos"]) for r in M.names_to_ids(asked, spec).collect()}
     assert got == {(1, 0), (3, 1), (4, 3)}
+
+
+def hot_sets(spark, n, seed, vocabulary=40):
+    rng = random.Random(seed)
+    words = [f"w{i:02}" for i in range(vocabulary)]
+    rows = [(sorted(rng.sample(words, rng.randint(1, 5))), rng.randint(1, 7), rng.randrange(4), i) for i in range(n)]
+    left = spark.createDataFrame(rows, "sig array<string>, ls int, lf int, id long").drop("id").distinct()
+    right = spark.createDataFrame([(a, b, c, (i, "n", a)) for a, b, c, i in rows], "rsig array<string>, rs int, rf int, row struct<rid:long,rn:string,rt:array<string>>")
+    return left, right.groupBy("rsig", "rs", "rf").agg({"row": "min"}).withColumnRenamed("min(row)", "row")
+
+
+def test_hot_sets_find_their_best_partner(spark, monkeypatch):
+    for most in (10, 3):  # 3: some sets meet token by token
+        monkeypatch.setattr(M, "SUBSETS_OF", most)
+        left, right = hot_sets(spark, 120, most, 12)
+        got = {}
+        for r in M.hot_candidates(left, right).collect():
+            key = tuple(r["sig"]), r["ls"], r["lf"]
+            got[key] = max(got.get(key, (0, 0)), (r["s"], -r["row"]["rid"]))
+        rows, want = right.collect(), {}
+        for a in left.collect():
+            for b in rows:
+                k = len(set(a["sig"]) & set(b["rsig"]))
+                s = 4 * k + (3 if abs(a["ls"] - b["rs"]) <= 1 else 0) + bin(a["lf"] & b["rf"]).count("1")
+                key = tuple(a["sig"]), a["ls"], a["lf"]
+                want[key] = max(want.get(key, (0, 0)), (s, -b["row"]["rid"])) if k else want.get(key, (0, 0))
+        assert got == want
+
+
+def test_candidates_grow_with_the_names_and_not_with_their_pairs(spark):
+    n = [M.hot_candidates(*hot_sets(spark, size, 4)).count() for size in (1500, 3000, 6000)]
+    assert n[1] <= 2.3 * n[0] and n[2] <= 2.3 * n[1]
