@@ -216,14 +216,25 @@ STATUS = """SELECT user_id % 400 AS application_id, user_id, event_id % 50 AS ev
  CASE event_type WHEN 'view' THEN 'Pending' WHEN 'click' THEN 'Accepted' WHEN 'purchase' THEN 'Rejected' ELSE 'Accepted' END AS status FROM {events}"""
 
 
-@query("t2_status_notices", f"""
+NOTICES = f"""
 WITH p AS (SELECT *, COALESCE(lag(status) OVER (PARTITION BY application_id ORDER BY n), 'Pending') AS prev FROM ({STATUS}))
 SELECT application_id, n, user_id, event_id, CASE status WHEN 'Accepted' THEN 'Ваша заявка на мероприятие ''' || event_name || ''' принята. Номер билета: ' || ticket_code ELSE 'Ваша заявка на мероприятие ''' || event_name || ''' отклонена.' END AS message
-FROM p WHERE status <> prev AND status <> 'Pending'""")
+FROM p WHERE status <> prev AND status <> 'Pending'"""
+
+
+@query("t2_status_notices", NOTICES)
 def _(t):
     return N.status_notices(t.sql(STATUS), width=1000)
 
 
+@query("t2_status_stream", NOTICES)
+def _(t):
+    """The same rows as a stream over the files of the table."""
+    own = N.state_session(t.spark)
+    changes = own.sql(STATUS.replace("{events}", "{rows}"), rows=N.read_table_stream(own, t.folder, "events"))
+    return N.run_status_stream(changes)
+
+
 MEMBERS = "SELECT DISTINCT o_custkey % 400 AS application_id, o_custkey AS user_id FROM {orders}"
 
 
@@ -244,9 +255,7 @@ def _(t):
     return N.run_available(N.first_application(apps, delay="4000 days").select("event_id", "user_id"))
 
 
-@query("t4_activity_stream", """
-SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS bucket, COUNT(*) AS total FROM events GROUP BY 1
-HAVING CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 1 HOUR""".replace("CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL", "bucket + INTERVAL"))
+@query("t4_activity_stream", "SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS bucket, COUNT(*) AS total FROM events GROUP BY 1")
 def _(t):
     events = N.read_table_stream(t.spark, t.folder, "events").select(F.col("ts").cast("timestamp").alias("ts"))
-    return N.run_available(N.activity_stream(events, "ts")).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    return N.run_upserts(N.activity_counts(events, "ts"), ["bucket"]).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))

@@ -1,10 +1,10 @@
 """Change-driven jobs. Each function takes a batch or a streaming frame unless it says otherwise."""
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import text as X
 from ..operators.ordered import carry_last
@@ -56,27 +56,83 @@ def team_notices(changes: DataFrame, members: DataFrame, width: int = 10_000) ->
 
 
 MOVED = "application_id long, user_id long, event_id long, event_name string, ticket_code string, n long, status string"
+#: Number of a row that closes a feed: it lies behind all others, and as milliseconds it is still a date that Python knows.
+END = 1 << 47
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _keep_moves(key, frames, state):
-    """Rows whose status differs from the one before; the state holds the last status."""
-    rows = pd.concat(list(frames)).sort_values("n")
-    last = state.get[0] if state.exists else "Pending"
-    before = rows["status"].shift(fill_value=last)
-    state.update((rows["status"].iloc[-1],))
-    yield rows[rows["status"] != before]
+class _InOrder(StatefulProcessor):
+    """Changes of one application in the order of ``n``, one by one.
 
+    A change is held until no earlier one can come any more; the state has the held ones by number, and the last status.
+    """
 
-def status_stream(changes: DataFrame) -> DataFrame:
-    """Streaming form of ``status_notices``; a micro-batch bounds the rows of one application."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "status string")
+        self.held = handle.getMapState("held", "n long", "user_id long, event_id long, event_name string, ticket_code string, status string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        latest = None
+        for r in rows:
+            self.held.updateValue((r.n,), (r.user_id, r.event_id, r.event_name, r.ticket_code, r.status))
+            latest = r.n if latest is None else max(latest, r.n)
+        if latest is not None:
+            self.handle.registerTimer(latest + 1)
+        yield from self._settled(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._settled(key, timerValues)
+
+    def _settled(self, key, timerValues):
+        until = timerValues.getCurrentWatermarkInMs()
+        for n in sorted(k[0] for k in self.held.keys() if k[0] + 1 <= until):
+            user, event, name, ticket, status = self.held.getValue((n,))
+            self.held.removeKey((n,))
+            before = self.last.get()[0] if self.last.exists() else "Pending"
+            if status != before:
+                self.last.update((status,))
+                yield Row(application_id=key[0], user_id=user, event_id=event, event_name=name, ticket_code=ticket, n=n, status=status)
+
+    def close(self) -> None:
+        pass
+
+
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep their state in RocksDB, as ``status_stream`` needs; ``spark`` stays as it is."""
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
+
+
+def status_stream(changes: DataFrame, late: int = 10_000) -> DataFrame:
+    """Streaming form of ``status_notices``: each change is judged against the one before it by ``n``, in whatever batch it came.
+
+    ``n`` (0 or more and below END, as in ``status_notices``) is the stream's clock: a change is settled once one has come whose number is
+    ``late`` higher, in any application. One that comes later than that is dropped. The end of a feed is settled by a row with
+    the number END (``run_status_stream``). Needs a session of ``state_session``.
+    """
     cols = [c.split()[0] for c in MOVED.split(", ")]
-    moved = changes.select(*cols).groupBy("application_id").applyInPandasWithState(
-        _keep_moves, MOVED, "status string", "append", GroupStateTimeout.NoTimeout
-    )
+    timed = changes.select(*cols, F.timestamp_millis(F.col("n") + 1).alias("_at")).withWatermark("_at", f"{late} milliseconds")
+    moved = timed.groupBy("application_id").transformWithState(_InOrder(), MOVED, "append", "EventTime")
     text = _status_message(F.col("status"), F.col("event_name"), F.col("ticket_code"))
     return moved.select("application_id", "n", "user_id", "event_id", text.alias("message")).filter("message IS NOT NULL")
 
 
+def run_status_stream(changes: DataFrame, late: int = 10_000) -> DataFrame:
+    """Notices of all changes that are there now: the stream over them, then, from its checkpoint, over the row that closes them."""
+    spark, folder = changes.sparkSession, shared_folder(changes.sparkSession)
+    end = folder + "/end"
+    spark.createDataFrame([], MOVED).write.parquet(end)
+    cols = [c.split()[0] for c in MOVED.split(", ")]
+    whole = changes.select(*cols).unionByName(spark.readStream.schema(MOVED).parquet(end))
+    run_available(status_stream(whole, late), folder)
+    spark.createDataFrame([(None, None, None, None, None, END, None)], MOVED).coalesce(1).write.mode("append").parquet(end)
+    return run_available(status_stream(whole, late), folder)
+
+
 def first_application(stream: DataFrame, ts: str = "created_at", delay: str = "30 days") -> DataFrame:
     """First application per event and user within the watermark (streaming)."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["event_id", "user_id"])
@@ -88,10 +144,20 @@ def activity_stream(stream: DataFrame, ts: str, width: str = "1 day", delay: str
     return counts.select(F.col("w.start").alias("bucket"), "total")
 
 
-def run_available(stream: DataFrame) -> DataFrame:
-    """Drive a stream over all that is there now and read its parquet output."""
+def activity_counts(stream: DataFrame, ts: str, width: str = "1 day", delay: str | None = None) -> DataFrame:
+    """Rows per time window, open windows too, for ``run_upserts`` (streaming).
+
+    Without ``delay`` every row counts, however late it comes, and the state holds a number for each window there is; with it, windows
+    that far behind leave the state, and rows later than that are not counted.
+    """
+    timed = stream.withWatermark(ts, delay) if delay else stream
+    return timed.groupBy(F.window(ts, width).alias("w")).agg(F.count("*").alias("total")).select(F.col("w.start").alias("bucket"), "total")
+
+
+def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Drive a stream over all that is there now and read its parquet output. A second run with the folder goes on where the first ended."""
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    folder = folder or shared_folder(spark)
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", folder + "/state")
         .trigger(availableNow=True).start(folder + "/rows")
@@ -100,6 +166,29 @@ def run_available(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(folder + "/rows")
 
 
+def run_upserts(stream: DataFrame, key: list[str], folder: str | None = None) -> DataFrame:
+    """Drive a stream in update mode over all that is there now; of each key, the row of the latest batch.
+
+    A batch has a folder of its own and replaces it if it runs again, so a restart or a repeated batch changes nothing.
+    """
+    spark = stream.sparkSession
+    folder = folder or shared_folder(spark)
+    rows = folder + "/rows"
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/batch={number}")
+
+    query = (
+        stream.writeStream.foreachBatch(upsert).outputMode("update").option("checkpointLocation", folder + "/state")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    rest = [c for c in stream.columns if c not in key]
+    kept = spark.read.schema(T.StructType(stream.schema.fields + [T.StructField("batch", T.LongType())])).parquet(rows)
+    latest = kept.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return latest.select(*[F.col(c) if c in key else F.col(f"r.{c}") for c in stream.columns])
+
+
 def read_table_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int = 8) -> DataFrame:
     """A parquet table of the data folder as a stream of its files."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
