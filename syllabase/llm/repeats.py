@@ -186,11 +186,12 @@ class PhraseAutomaton:
         data, off = column_bytes(passages["body"])
         starts, ends, self.words, bounds = tokens(data, off, SPACED, letters=EXACT)
         self.vocabulary = np.unique(self.words)
+        self.base = int(np.ceil(np.sqrt(len(self.vocabulary))))
         line = self.letters(self.words)
         made = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             for k in range(a, b - GRAM + 1, CHOICE):
-                made.add_word(line[k:k + GRAM])
+                made.add_word(line[2 * k:2 * (k + GRAM)])
         made.make_automaton()
         self.made = made
         hashes, own = runs(self.words, bounds, WINDOW)
@@ -203,18 +204,23 @@ class PhraseAutomaton:
         self.at = at + inside[order]
 
     def letters(self, words: np.ndarray) -> str:
-        """A character per word, the same for equal words; words that no passage holds have one of their own."""
+        """Two characters per word, the same for equal words; words that no passage holds have two of their own.
+
+        The automaton looks through a node's branches one by one, so a word is told by two choices among few, a first and a second
+        character from alphabets apart, and not by one among all words.
+        """
         near = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-        code = np.where(self.vocabulary[near] == words, near % 1_100_000 + 2, 1).astype(np.uint32)
-        code[code >= 0xD800] += 0x800  # no surrogates
-        return code.tobytes().decode("utf-32-le")
+        known = self.vocabulary[near] == words
+        pair = np.stack([np.where(known, near // self.base + 2, 1), np.where(known, near % self.base + self.base + 2, 1)], 1)
+        pair[pair >= 0xD800] += 0x800  # no surrogates
+        return pair.astype(np.uint32).tobytes().decode("utf-32-le")
 
     def again(self, texts: _Texts, doc: np.ndarray, text_key: np.ndarray) -> np.ndarray:
         """Numbers of the windows of the texts that stand earlier in the corpus."""
         hashes, bounds = texts.windows()
         if not len(hashes):
             return np.zeros(0, np.int64)
-        ends = np.fromiter((end for end, _ in self.made.iter(self.letters(texts.words))), np.int64)
+        ends = np.fromiter((end for end, _ in self.made.iter(self.letters(texts.words))), np.int64) // 2
         if not len(ends):
             return ends
         # the windows around each find, by the number of their first word
