@@ -31,7 +31,7 @@ WINDOW, GRAM = 20, 10
 #: Anchors to choose from in a window; also the space between the phrases of an automaton.
 CHOICE = WINDOW - GRAM + 1
 #: Text whose documents share an automaton.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 LAST = (1 << 63) - 1
 
 
@@ -288,12 +288,12 @@ def repeats_removed(docs: DataFrame, whole: bool = True, shard_bytes: int = SHAR
 
     ``n_words``, ``n_removed`` and ``kept_sha256``; with ``whole`` also ``removed`` (ranges of words) and ``kept``. Earlier is a smaller
     doc_id or an earlier start in the same document; rows without id come last, rows of equal id and text are one document, rows of
-    equal id and other text are ordered by the text's hash. Null and empty texts have no words; so have rows of an empty table no
+    equal id and other text are ordered by 31 bits of the text's hash. Null and empty texts have no words; so have rows of an empty table no
     result. A text must fit into a task and is read whole, as are the texts of ``shard_bytes`` beside it. Other columns are not read.
     Words are told apart by 64-bit hashes of their bytes, windows by those of all their words.
     """
     rows = typed(docs, doc_id="long", text="string").select(
-        "doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("text_key"), "text")
+        "doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.pmod(F.xxhash64("text"), F.lit(1 << 31)).alias("text_key"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = F.lit(1 + size // shard_bytes)
     home = F.pmod(F.xxhash64("doc", "text_key"), shards)
