@@ -14,7 +14,8 @@ ROLES.update({
     "rich_page": f"""
 SELECT page_id, url, replace(html, '</article>', concat('<h2>Программы</h2><ul><li>6B0', CAST(10 + page_id % 80 AS STRING), '01 ', word, ' стоимость ', CAST(300 + page_id % 500 AS STRING), ' 000 тг, ',
   CAST(page_id % 10 AS STRING), ' года</li><li>Образовательная программа: ', word, '</li></ul><table class="x"><tr><th>Код</th><th>Название</th><th>Цена</th></tr><tr><td>6В0', CAST(10 + page_id % 80 AS STRING),
-  '</td><td>', word, '</td><td>', CAST(300 + page_id % 500 AS STRING), ' 000 тг</td><td>4 года</td></tr><tr><td>12</td><td> 34 </td></tr><tr><td>', word, ' заочно</td><td>-</td></tr></table>',
+  '</td><td>', word, '</td><td>', CAST(300 + page_id % 500 AS STRING), ' 000 тг</td><td>4 года</td></tr><tr><td>12</td><td> 34 </td></tr><tr><td>', word, ' заочно</td><td>-</td></tr><tr><td><div class="a">Вложенная <div>таблица ', word, '</div></div><table><tr><th>к</th></tr><tr><td>6B0', CAST(20 + page_id % 70 AS STRING), '02</td><td>Внутри ', word,
+  '<table><tr><td>a</td></tr><tr><td>Глубже ', CAST(page_id AS STRING), '</td></tr></table></td></tr></table></td><td>700 000 тг</td></tr></table>',
   '<a href="/ru/admission/', CAST(page_id AS STRING), '#top">Поступление</a><a class="d" href="docs/price', CAST(page_id % 7 AS STRING), '.pdf?v=1">Стоимость</a><a href="../up/./fee.html">x</a><a href="mailto:info', CAST(page_id AS STRING),
   '@mail.kz?s=1">m</a><a href="https://site', CAST(page_id AS STRING), '.edu.kz/x">s</a><p>г. Алматы, ул. Абая ', CAST(page_id AS STRING), '</p>', CASE WHEN page_id % 2 = 0 THEN '<p>тел. +7 (727) 123-45-67</p>' ELSE '<a href="tel:+77010000000">t</a>' END, '</article>')) AS html
 FROM {{pages}} JOIN {{title_word}} ON page_id % {len(TITLES)} = k""",
@@ -45,6 +46,19 @@ def inner(s, tag):
     return f"regexp_extract_all({s}, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>', 1)"
 
 
+def elements(name, source, keys, col, tag):
+    """Common table expressions that end in ``name``: (keys, n, tg, body) of the elements of a tag, paired by depth."""
+    rx = rf"(?is)</?(?:{tag})(?:\s[^>]*)?/?>"
+    shut, all_ = "starts_with(tg, '</')", f"PARTITION BY {keys} ORDER BY i"
+    return f"""
+ {name}_t AS (SELECT {keys}, {col} AS src0, UNNEST(regexp_extract_all({col}, '{rx}')) AS tg, UNNEST(list_transform(regexp_split_to_array({col}, '{rx}')[:-2], lambda x: length(x))) AS gap, generate_subscripts(regexp_extract_all({col}, '{rx}'), 1) AS i FROM {source}),
+ {name}_p AS (SELECT *, CAST(SUM(gap + length(tg)) OVER ({all_}) AS BIGINT) AS stop, SUM(CASE WHEN {shut} THEN -1 ELSE 1 END) OVER ({all_}) AS s FROM {name}_t),
+ {name}_m AS (SELECT *, stop - length(tg) AS start, least(0, MIN(s) OVER ({all_})) AS lo, least(0, COALESCE(MIN(s) OVER ({all_} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lo0 FROM {name}_p),
+ {name}_d AS (SELECT *, s - lo + CASE WHEN {shut} THEN 1 ELSE 0 END AS depth, lead(start) OVER ({all_}) AS nxt FROM {name}_m),
+ {name}_l AS (SELECT *, lead({shut}) OVER w AS shuts, lead(start) OVER w AS upto FROM {name}_d WHERE NOT ({shut} AND lo < lo0) WINDOW w AS (PARTITION BY {keys}, depth ORDER BY i)),
+ {name} AS (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY i) - 1 AS n, tg, substr(src0, stop + 1, CASE WHEN shuts THEN upto ELSE COALESCE(nxt, length(src0)) END - stop) AS body FROM {name}_l WHERE NOT {shut})"""
+
+
 A_RE = r"(?is)<a\s[^>]*?href\s*=\s*[\"'']([^\"'']*)[\"''][^>]*>(.*?)</a>"
 ANCHORS = f"""
  v AS (SELECT page_id, url, {SEEN} AS src FROM {{rich_page}}),
@@ -81,9 +95,10 @@ CLEANED = lambda s: f"regexp_replace({D.norm(s)}, '^(ОП|образовател
 PCODE = lambda s: f"regexp_replace(NULLIF(regexp_extract({s}, '{P.PAGE_CODE}'), ''), '^6[Bb]', '6В')"
 TABLES = f"""
  v AS (SELECT page_id, {SEEN} AS src FROM {{rich_page}}),
- tb AS (SELECT page_id, UNNEST({inner('src', 'table')}) AS tb, generate_subscripts({inner('src', 'table')}, 1) - 1 AS tab FROM v),
- tr AS (SELECT page_id, tab, UNNEST({inner('tb', 'tr')}) AS tr, generate_subscripts({inner('tb', 'tr')}, 1) - 1 AS row FROM tb),
- ce AS (SELECT page_id, tab, row, list_transform(regexp_extract_all(tr, '(?is)<t[dh](?:\\s[^>]*)?>(.*?)</t[dh]>', 1), lambda c: {plain('c')}) AS cells FROM tr WHERE row > 0),
+{elements('tb', 'v', 'page_id', 'src', 'table')},
+ tb1 AS (SELECT page_id, n AS tab, body FROM tb), {elements('tr', 'tb1', 'page_id, tab', 'body', 'tr')},
+ tr1 AS (SELECT page_id, tab, n AS row, body FROM tr WHERE n > 0), {elements('td', 'tr1', 'page_id, tab, row', 'body', 't[dh]')},
+ ce AS (SELECT page_id, tab, row, list({plain('body')} ORDER BY n) AS cells FROM td GROUP BY 1, 2, 3),
  tx AS (SELECT *, array_to_string(cells, ' | ') AS txt, list_reduce(list_prepend('', list_filter(cells, lambda c: NOT regexp_matches(c, '^{P.PAGE_CODE}$') AND NOT regexp_matches(c, '^[\\d\\s]+$') AND length(c) >= 4)), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS nm FROM ce WHERE len(cells) > 0),
  tn AS (SELECT *, {PCODE('txt')} AS code, COALESCE(NULLIF(nm, ''), 'Программа ' || {PCODE('txt')}) AS name0 FROM tx),
  table_rows AS (SELECT page_id, CAST(tab AS INTEGER) AS tab, CAST(row AS INTEGER) AS row, {CLEANED('name0')} AS name, code, {D.money('txt')} AS cost, {D.years('txt')} AS duration, 'table' AS source_hint FROM tn
@@ -96,15 +111,16 @@ def _(t):
     return P.table_programs(t.rich_page)
 
 
-BLOCKS = ", ".join(inner("src", tag) for tag in P.BLOCK_TAGS)
+BLOCKS = ",".join(elements(f"b_{tag}", "v", "page_id", "src", tag) for tag in P.BLOCK_TAGS)
+BLOCK_ROWS = " UNION ALL ".join(f"SELECT page_id, {plain('body')} AS txt FROM b_{tag}" for tag in P.BLOCK_TAGS)
 MONEY_ANY = rf"([\d\s{D.NB}]{{4,9}}){D.SP}*(?:(?:тг|тенге)($|{D.NW})|₸({D.W}))"
 
 
 @query("h3_text_programs", f"""WITH
  v AS (SELECT page_id, {SEEN} AS src FROM {{rich_page}}),
- b AS (SELECT page_id, src, list_transform(flatten([{BLOCKS}]), lambda c: {plain('c')}) AS bl FROM v),
- c AS (SELECT DISTINCT page_id, txt FROM (SELECT page_id, UNNEST(list_filter(bl, lambda t: length(t) BETWEEN 8 AND 280 AND (regexp_matches(t, '{P.PAGE_CODE}') OR regexp_matches(t, 'бакалавр|образовательн', 'i')))) AS txt FROM b
-   UNION ALL SELECT page_id, UNNEST(list_filter({lines('src')}, lambda t: regexp_matches(t, '{P.PAGE_CODE}') AND length(t) BETWEEN 11 AND 259)) FROM b)),
+{BLOCKS}, bl AS ({BLOCK_ROWS}),
+ c AS (SELECT DISTINCT page_id, txt FROM (SELECT page_id, txt FROM bl WHERE length(txt) BETWEEN 8 AND 280 AND (regexp_matches(txt, '{P.PAGE_CODE}') OR regexp_matches(txt, 'бакалавр|образовательн', 'i'))
+   UNION ALL SELECT page_id, UNNEST(list_filter({lines('src')}, lambda t: regexp_matches(t, '{P.PAGE_CODE}') AND length(t) BETWEEN 11 AND 259)) FROM v)),
  n AS (SELECT page_id, txt, regexp_replace(regexp_replace(regexp_replace(txt, '{P.PAGE_CODE}', '', 'g'), '{MONEY_ANY}', '\\2\\3', 'gi'), 'стоимость.*$', '', 'i') AS n0 FROM c),
  m AS (SELECT page_id, txt, {CLEANED('n0')} AS name FROM n)
 SELECT page_id, txt, name, {PCODE('txt')} AS code, {D.money('txt')} AS cost, {D.years('txt')} AS duration, 'text' AS source_hint FROM m
@@ -144,6 +160,25 @@ def _(t):
     return P.fill_headers(t.card_row, width=500).select("page_id", "pos", "name", "global_specialty", "code")
 
 
+# Pages with a table of groups and programmes; one cell holds a table, whose row with one cell heads what follows.
+ROLES["group_page"] = """
+SELECT page_id, replace(html, '</article>', concat('<table><thead><tr><th>x</th></tr></thead><tbody class="b college-specialty-table-body"><tr><td colspan="4"><a href="/g">Группа ', CAST(page_id % 50 AS STRING), '</a> (6В0', CAST(10 + page_id % 80 AS STRING), ')</td></tr>',
+ '<tr><td><a>Право ', CAST(page_id AS STRING), '</a></td><td>очная</td><td>', CAST(300 + page_id % 500 AS STRING), ' 000 тг</td><td>', CAST(1 + page_id % 5 AS STRING), ' года</td></tr><tr><td>Без цены</td><td>-</td></tr>',
+ CASE WHEN page_id % 3 = 0 THEN '<tr><td>Вместе<table><tbody><tr><td>Внутри</td></tr></tbody></table></td><td>1</td><td>2</td></tr>' ELSE '' END,
+ CASE WHEN page_id % 2 = 0 THEN '<tr><td>Заочно (без кода)</td></tr>' ELSE '' END, '<tr><td>Экономика</td><td></td><td>цена</td><td>3</td></tr></tbody></table></article>')) AS html
+FROM {pages}"""
+
+
+@query("w5_header_tables", """
+WITH g AS (SELECT page_id, concat('Группа ', page_id % 50) AS g, concat('6В0', 10 + page_id % 80) AS c, CASE WHEN page_id % 3 = 0 THEN 2 ELSE 0 END AS k, CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS h FROM pages WHERE contains(html, '</article>'))
+SELECT page_id, 1 AS pos, g AS global_specialty, c AS code, concat('Право ', page_id) AS name, CAST(300 + page_id % 500 AS DOUBLE) * 1000 AS cost, CAST(1 + page_id % 5 AS INTEGER) AS duration FROM g
+UNION ALL SELECT page_id, 2, g, c, 'Без цены', NULL, NULL FROM g
+UNION ALL SELECT page_id, 3, g, c, 'Вместе Внутри', NULL, 2 FROM g WHERE k = 2
+UNION ALL SELECT page_id, 3 + k + h, CASE WHEN h = 1 THEN 'Заочно' WHEN k = 2 THEN 'Внутри' ELSE g END, CASE WHEN h = 0 AND k = 0 THEN c END, 'Экономика', NULL, 3 FROM g""")
+def _(t):
+    return P.header_table_programs(t.group_page)
+
+
 @query("h6_card_programs", """
 SELECT p_partkey AS page_id, 1 AS pos, p_type AS global_specialty, CASE WHEN p_size % 3 <> 0 THEN '6В061' END AS code, p_name AS name,
  CASE WHEN p_size % 2 = 0 THEN CAST((60000 + p_partkey) AS DOUBLE) END AS cost, CASE WHEN p_size % 4 <> 1 THEN CAST(1 + p_size % 5 AS INTEGER) END AS duration FROM part

@@ -77,12 +77,21 @@ def _page_code(col: Column) -> Column:
     return F.when(code != "", F.regexp_replace(code, "^6[Bb]", "6В"))
 
 
+def _elements(df: DataFrame, html: Column, tag: str, keys: list[str], place: str) -> DataFrame:
+    """One row per element of a tag, nested ones too: the keys, its ``place``, ``tag`` and ``body``."""
+    found = H.with_elements(df, html, [tag], "_e").select(*keys, F.posexplode("_e").alias(place, "_x"))
+    return found.select(*keys, place, "_x.tag", "_x.body")
+
+
 def table_programs(pages: DataFrame) -> DataFrame:
-    """Programme rows of tables: the longest cell that is no number or code is the name."""
-    tables = pages.select("page_id", F.posexplode(H.inner(H.visible(F.col("html")), "table")).alias("tab", "table"))
-    rows = tables.select("page_id", "tab", F.posexplode(H.inner(F.col("table"), "tr")).alias("row", "tr"))
-    cell = r"(?is)<t[dh](?:\s[^>]*)?>(.*?)</t[dh]>"
-    rows = rows.withColumn("cells", F.transform(F.regexp_extract_all("tr", F.lit(cell), F.lit(1)), H.plain))
+    """Programme rows of all tables: the longest cell that is no number or code is the name.
+
+    A table inside a table is read by itself, and its rows and cells are also those of the table around it.
+    """
+    tables = _elements(pages, H.visible(F.col("html")), "table", ["page_id"], "tab")
+    rows = _elements(tables, F.col("body"), "tr", ["page_id", "tab"], "row")
+    rows = H.with_elements(rows, F.col("body"), ["t[dh]"], "_c").withColumn("cells", F.transform("_c", lambda c: H.plain(c["body"])))
+    rows = settle(rows.select("page_id", "tab", "row", "cells"))
     # The first row is the header when it has cells.
     rows = rows.filter((F.col("row") > 0) & (F.size("cells") > 0)).withColumn("txt", F.array_join("cells", " | "))
     names = F.filter("cells", lambda c: ~c.rlike(f"^{PAGE_CODE}$") & ~c.rlike(r"^[\d\s]+$") & (F.length(c) >= 4))
@@ -99,11 +108,11 @@ def table_programs(pages: DataFrame) -> DataFrame:
 
 def text_programs(pages: DataFrame) -> DataFrame:
     """Programme rows of list items, paragraphs and text lines, each text once per page."""
-    src = H.visible(F.col("html"))
-    blocks = F.transform(F.flatten(F.array(*[H.inner(src, t) for t in BLOCK_TAGS])), H.plain)
-    said = F.filter(blocks, lambda t: F.length(t).between(8, 280) & (t.rlike(PAGE_CODE) | t.rlike("(?iU)бакалавр|образовательн")))
-    loose = F.filter(H.lines(src), lambda t: t.rlike(PAGE_CODE) & F.length(t).between(11, 259))
-    rows = pages.select("page_id", F.explode(F.array_distinct(F.concat(said, loose))).alias("txt"))
+    seen = settle(pages.select("page_id", H.visible(F.col("html")).alias("_seen")))
+    seen = H.with_elements(seen, F.col("_seen"), list(BLOCK_TAGS), "_e").withColumn("_e", F.transform("_e", lambda e: H.plain(e["body"])))
+    said = F.filter("_e", lambda t: F.length(t).between(8, 280) & (t.rlike(PAGE_CODE) | t.rlike("(?iU)бакалавр|образовательн")))
+    loose = F.filter(H.lines(F.col("_seen")), lambda t: t.rlike(PAGE_CODE) & F.length(t).between(11, 259))
+    rows = settle(seen).select("page_id", F.explode(F.array_distinct(F.concat(said, loose))).alias("txt"))
     name = F.regexp_replace(F.regexp_replace("txt", PAGE_CODE, ""), V.MONEY_ANY, "")
     name = X.clean_program_name(F.regexp_replace(name, "(?iU)стоимость.*$", ""))
     rows = settle(rows.withColumn("name", name)).filter(
@@ -171,24 +180,58 @@ def fill_headers(rows: DataFrame, width: int = 10_000) -> DataFrame:
     )
 
 
-CARD = r'(?is)<div[^>]*class="[^"]*(?:border-b|college-qualification)[^"]*".*?(?=<div[^>]*class="[^"]*(?:border-b|college-qualification)[^"]*"|$)'
+GROUP_ROWS = "college-specialty-table-body"
+
+
+def _has_class(tag: Column, *names: str, part: bool = False) -> Column:
+    """Whether an opening tag has one of the classes, or one that holds the name as a part."""
+    edge = ("[^\"']*", "[^\"']*") if part else (r"(?:[^\"']*\s)?", r"(?:\s[^\"']*)?")
+    return tag.rlike(rf"(?is)\sclass\s*=\s*[\"']{edge[0]}(?:{'|'.join(names)}){edge[1]}[\"']")
+
+
+def _first_link(body: Column) -> Column:
+    return F.nullif(H.plain(F.regexp_extract(body, r"(?is)<a\b[^>]*>(.*?)</a>", 1)), F.lit(""))
+
+
+def header_table_programs(pages: DataFrame, group_rows: str = GROUP_ROWS) -> DataFrame:
+    """Programmes of a table whose group rows head the rows below them.
+
+    A row whose first cell spans columns or stands alone gives group and code in brackets; in any other row the first cell is the
+    name, the third the price and the fourth the term. Rows of tables inside cells are rows as well. The first such table counts.
+    """
+    bodies = H.with_elements(pages, H.visible(F.col("html")), ["tbody"], "_e")
+    first = F.get(F.filter("_e", lambda e: _has_class(e["tag"], group_rows)), 0)
+    bodies = settle(bodies.select("page_id", first["body"].alias("_body"))).filter("_body IS NOT NULL")
+    rows = _elements(bodies, F.col("_body"), "tr", ["page_id"], "pos")
+    rows = settle(H.with_elements(rows.select("page_id", "pos", "body"), F.col("body"), ["td"], "_c").filter(F.size("_c") > 0).drop("body"))
+    cell = lambda i: F.get("_c", i)["body"]
+    text, link = H.plain(cell(0)), _first_link(cell(0))
+    rows = settle(rows.withColumn("_text", text).withColumn("_link", link))
+    heads = (F.size("_c") == 1) | F.get("_c", 0)["tag"].rlike(r"(?is)\scolspan\b")
+    code = F.regexp_extract("_text", r"\((6[BbВв][\dA-Za-zА-Яа-я]+)\)", 1)
+    rows = rows.select(
+        "page_id", "pos", heads.alias("is_header"),
+        F.coalesce("_link", F.regexp_replace("_text", r"\s*\(.*\)\s*$", "")).alias("header_name"), F.nullif(code, F.lit("")).alias("header_code"),
+        F.coalesce("_link", "_text").alias("name"), V.parse_money_cell(H.plain(cell(2))).alias("cost"), V.parse_years_cell(H.plain(cell(3))).alias("duration"),
+    )
+    out = fill_headers(rows).filter("name <> ''")
+    return out.select("page_id", "pos", "global_specialty", "code", "name", "cost", "duration")
 
 
 def card_programs(pages: DataFrame) -> DataFrame:
-    """Programmes of a card listing: group headers and blocks with labelled price and term."""
-    parts = F.regexp_extract_all(F.regexp_replace(F.col("html"), r"[\r\n]+", " "), F.lit(CARD), F.lit(0))
-    rows = pages.select("page_id", F.posexplode(parts).alias("pos", "part"))
-    first_link = H.plain(F.regexp_extract("part", r"(?is)<a\b[^>]*>(.*?)</a>", 1))
-    header = F.col("part").rlike(r'(?i)^<div[^>]*class="[^"]*border-b')
-    code = H.plain(F.regexp_extract("part", r'(?is)class="[^"]*(?:flex-no-shrink|ml-5)[^"]*"[^>]*>(.*?)<', 1))
-    rows = rows.withColumn("is_header", header).withColumn("header_name", F.nullif(first_link, F.lit(""))).withColumn(
-        "header_code", F.nullif(code, F.lit(""))
-    ).withColumn("name", first_link)
-    cols = F.transform(H.inner(F.col("part"), "div"), H.plain)
-    whole = H.plain(F.col("part"))
-    labelled = lambda word, fn: fn(F.try_element_at(F.filter(cols, lambda c: F.contains(F.lower(c), F.lit(word))), F.lit(-1)))
-    rows = rows.withColumn("cost", F.coalesce(labelled("стоимость", V.parse_money_cell), V.parse_money_cell(whole)))
-    rows = rows.withColumn("duration", F.coalesce(labelled("срок", V.parse_years_cell), V.parse_years_cell(whole))).drop("part")
+    """Programmes of a card listing: group headers and blocks with labelled price and term, blocks inside blocks too."""
+    found = H.with_elements(pages, F.regexp_replace("html", r"[\r\n]+", " "), ["div"], "_e")
+    cards = F.filter("_e", lambda e: _has_class(e["tag"], "border-b", "college-qualification", part=True))
+    rows = settle(found.select("page_id", F.posexplode(cards).alias("pos", "_x")).select("page_id", "pos", "_x.tag", "_x.body"))
+    code = H.plain(F.regexp_extract("body", r'(?is)class="[^"]*(?:flex-no-shrink|ml-5)[^"]*"[^>]*>(.*?)<', 1))
+    rows = rows.withColumn("is_header", _has_class(F.col("tag"), "border-b", part=True)).withColumn("name", F.coalesce(_first_link(F.col("body")), F.lit("")))
+    rows = rows.withColumn("header_name", F.nullif("name", F.lit(""))).withColumn("header_code", F.nullif(code, F.lit("")))
+    rows = H.with_elements(rows.drop("tag"), F.col("body"), ["div"], "_d")
+    cols = F.transform(F.filter("_d", lambda d: _has_class(d["tag"], "flex-col")), lambda d: H.plain(d["body"]))
+    rows = settle(rows.withColumn("_cols", cols).withColumn("_whole", H.plain(F.col("body"))).drop("_d", "body"))
+    labelled = lambda word, fn: fn(F.try_element_at(F.filter("_cols", lambda c: F.contains(F.lower(c), F.lit(word))), F.lit(-1)))
+    rows = rows.withColumn("cost", F.coalesce(labelled("стоимость", V.parse_money_cell), V.parse_money_cell(F.col("_whole"))))
+    rows = rows.withColumn("duration", F.coalesce(labelled("срок", V.parse_years_cell), V.parse_years_cell(F.col("_whole")))).drop("_cols", "_whole")
     out = fill_headers(rows).filter("name <> ''")
     return out.select("page_id", "pos", "global_specialty", "code", "name", "cost", "duration")
 
