@@ -1,9 +1,12 @@
 """Filters, joins, counts, pages and activity over the role tables."""
+import datetime
+
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..functions import text as X
 from ..operators import activity as A
+from ..operators import paging
 from ..operators import reads as R
 from .registry import query
 
@@ -310,6 +313,27 @@ def _(t):
     return R.paginate(t.spec.select("specialization_id", "name"), 3, 24, F.col("name"), F.col("specialization_id"))
 
 
+LINES = "SELECT l_orderkey, l_linenumber, l_shipdate, l_extendedprice FROM {lineitem}"
+
+
+@query("o1_seek_page", f"""
+SELECT *, (SELECT COUNT(*) FROM lineitem) AS total, 50 AS per_page, CAST(ceil((SELECT COUNT(*) FROM lineitem) / 50.0) AS BIGINT) AS last_page
+FROM ({LINES}) ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT 50 OFFSET 4950""")
+def _(t):
+    """Page 100 of all lines, from an index of their ranges."""
+    order = [("l_shipdate", False), ("l_orderkey", True), ("l_linenumber", True)]
+    folder = paging.build_index(t.sql(LINES), order, ranges=16)
+    return paging.seek_page(t.spark, folder, 100, 50, order)
+
+
+@query("o1_after_key", f"""
+SELECT * FROM ({LINES}) WHERE l_shipdate < TIMESTAMP '1997-03-05' OR (l_shipdate = TIMESTAMP '1997-03-05' AND (l_orderkey > 300 OR (l_orderkey = 300 AND l_linenumber > 2)))
+ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT 50""")
+def _(t):
+    order = [("l_shipdate", False), ("l_orderkey", True), ("l_linenumber", True)]
+    return paging.page_after(t.sql(LINES), order, [datetime.datetime(1997, 3, 5), 300, 2], 50)
+
+
 @query("o2_sort_by_date", """
 SELECT event_id, event_date, institution_id FROM {calendar_event} ORDER BY event_date DESC, event_id DESC""")
 def _(t):

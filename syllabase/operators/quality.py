@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import titles as T
+from ..session import checkpoint
 
 
 def flagged(programs: DataFrame) -> DataFrame:
@@ -23,44 +24,47 @@ def flagged(programs: DataFrame) -> DataFrame:
     )
 
 
-def _duplicates(rows: DataFrame, key: str, groups: str, surplus: str) -> DataFrame:
-    return (
-        rows.filter(F.coalesce(F.col(key), F.lit("")) != "")
-        .groupBy("institution_id", key).agg(F.count("*").alias("n"))
-        .filter("n > 1")
-        .groupBy("institution_id").agg(F.count("*").alias(groups), F.sum(F.col("n") - 1).alias(surplus))
-    )
+def title_counts(programs: DataFrame) -> DataFrame:
+    """Programmes and priced programmes per institution and title, with the title's flags, code and fingerprint.
+
+    The programmes are read once; their counts are cut off there, and each distinct title is judged once.
+    """
+    keys = ["name", "qualification", "code"]
+    counts = checkpoint(programs.groupBy("institution_id", *keys).agg(
+        F.count("*").alias("n"), F.count_if(~X.is_zero(F.col("cost"))).alias("priced")))
+    return flagged(counts).select("institution_id", "n", "priced", "flags", "fp", "audit_code")
 
 
 def audit(inst: DataFrame, programs: DataFrame) -> DataFrame:
-    """Per institution: rows, priced rows, flagged rows, flag counts, duplicates, severity."""
-    rows = flagged(programs)
-    base = rows.groupBy("institution_id").agg(
-        F.count("*").alias("specs_count"),
-        F.count_if(~X.is_zero(F.col("cost"))).alias("with_cost"),
-        F.count_if(F.size("flags") > 0).alias("issue_rows"),
-        F.sum(F.size("flags")).alias("flag_total"),
-    )
-    counts = (
-        rows.select("institution_id", F.explode("flags").alias("flag"))
-        .groupBy("institution_id", "flag").agg(F.count("*").alias("n"))
-        .groupBy("institution_id")
-        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("flag", "n")))).alias("flag_counts"))
+    """Per institution: rows, priced rows, flagged rows, flag counts, duplicates, severity.
+
+    Each title counts for its institution, for each of its flags, for its code and for its fingerprint; all four are summed by one
+    aggregate, whose few rows per institution the next one folds.
+    """
+    size = F.size("flags").cast("long")
+    entry = lambda kind, key, priced=F.lit(0), issues=F.lit(0), flags=F.lit(0): F.struct(
+        F.lit(kind).alias("kind"), key.alias("key"), priced.cast("long").alias("priced"), issues.cast("long").alias("issues"), flags.cast("long").alias("flags"))
+    entries = F.concat(
+        F.array(entry("row", F.lit(""), F.col("priced"), F.when(size > 0, F.col("n")).otherwise(0), size * F.col("n"))),
+        F.transform("flags", lambda f: entry("flag", f)),
+        F.filter(F.array(entry("code", F.coalesce("audit_code", F.lit(""))), entry("name", F.coalesce("fp", F.lit("")))), lambda e: e["key"] != ""),
     )
-    codes = _duplicates(rows, "audit_code", "code_duplicate_groups", "code_surplus")
-    names = _duplicates(rows, "fp", "name_duplicate_groups", "name_surplus").drop("name_surplus")
-    out = inst
-    for side in (base, counts, codes, names):
-        out = out.join(side, "institution_id", "left")
-    numbers = ["specs_count", "with_cost", "issue_rows", "flag_total", "code_duplicate_groups",
-               "code_surplus", "name_duplicate_groups"]
-    out = out.fillna(0, numbers)
+    rows = title_counts(programs).select("institution_id", "n", F.explode(entries).alias("e"))
+    sums = rows.groupBy("institution_id", "e.kind", "e.key").agg(
+        F.sum("n").alias("n"), *[F.sum(f"e.{c}").alias(c) for c in ("priced", "issues", "flags")])
+    of = lambda kind, col: F.sum(F.when(F.col("kind") == kind, F.col(col)))
+    again = lambda kind: (F.col("kind") == kind) & (F.col("n") > 1)
+    report = sums.groupBy("institution_id").agg(
+        of("row", "n").alias("specs_count"), of("row", "priced").alias("with_cost"), of("row", "issues").alias("issue_rows"),
+        of("row", "flags").alias("flag_total"), F.collect_list(F.when(F.col("kind") == "flag", F.struct("key", "n"))).alias("counts"),
+        F.count_if(again("code")).alias("code_duplicate_groups"), F.sum(F.when(again("code"), F.col("n") - 1)).alias("code_surplus"),
+        F.count_if(again("name")).alias("name_duplicate_groups"),
+    ).withColumn("flag_counts", F.map_from_entries(F.sort_array("counts"))).drop("counts")
+    numbers = ["specs_count", "with_cost", "issue_rows", "flag_total", "code_duplicate_groups", "code_surplus", "name_duplicate_groups"]
+    out = inst.join(report, "institution_id", "left").fillna(0, numbers)
     empty = F.create_map().cast("map<string,bigint>")
-    return (
-        out.withColumn("flag_counts", F.coalesce("flag_counts", empty))
-        .withColumn("severity", F.col("flag_total") + 2 * F.col("code_surplus"))
-        .drop("flag_total", "code_surplus")
-    )
+    out = out.withColumn("flag_counts", F.coalesce("flag_counts", empty)).withColumn("severity", F.col("flag_total") + 2 * F.col("code_surplus"))
+    return out.select(*inst.columns, *numbers[:3], "flag_counts", "code_duplicate_groups", "name_duplicate_groups", "severity")
 
 
 def audit_summary(report: DataFrame) -> DataFrame:
