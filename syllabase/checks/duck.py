@@ -154,9 +154,10 @@ def host(s):
     return f"CASE WHEN {h} NOT IN ('zero.kz', 'facebook.com', 'instagram.com') THEN {h} END"
 
 
-def city(s, third=True):
+def city(s, third=True, latin=False):
     low = f"lower(COALESCE({s}, ''))"
-    return (f"CASE WHEN {hit(low, 'алматы|almaty')} THEN 'almaty' WHEN {hit(low, 'астана|astana|нур-султан')} THEN 'astana' "
+    astana = "астана|astana|нур-султан" + ("|nur-sultan" if latin else "")
+    return (f"CASE WHEN {hit(low, 'алматы|almaty')} THEN 'almaty' WHEN {hit(low, astana)} THEN 'astana' "
             + (f"WHEN {hit(low, 'шымкент|shymkent')} THEN 'shymkent' " if third else "") + "ELSE '' END")
 
 

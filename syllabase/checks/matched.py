@@ -86,7 +86,7 @@ def _(t):
     return t.uni.select("institution_id", L.registry_slug(F.col("name"), own, SLUGS).alias("slug"))
 
 
-CITY_EN = ("CASE WHEN regexp_matches(lower(concat_ws(' ', location, address)), 'алматы|almaty') THEN 'Almaty' WHEN regexp_matches(lower(concat_ws(' ', location, address)), 'астана|astana|нур-султан') THEN 'Astana' "
+CITY_EN = ("CASE WHEN regexp_matches(lower(concat_ws(' ', location, address)), 'алматы|almaty') THEN 'Almaty' WHEN regexp_matches(lower(concat_ws(' ', location, address)), 'астана|astana|нур-султан|nur-sultan') THEN 'Astana' "
            "WHEN regexp_matches(lower(concat_ws(' ', location, address)), 'шымкент|shymkent') THEN 'Shymkent' ELSE COALESCE(NULLIF(trim(split_part(location, ',', 1)), ''), 'Kazakhstan') END")
 LOW = "lower(translate({}, '«»\"', ''))".format(D.norm("name"))
 
@@ -196,6 +196,22 @@ def _(t):
     return t.sql(CANDS).select("event_id", best["score"].alias("score"), best["lat"].alias("lat"), best["lng"].alias("lng"), best["display"].alias("display"))
 
 
+@query("n10_first_typed", """
+WITH c AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 4 = 0 THEN 2 ELSE 0 END AS k, 38.0e0 + event_id % 20 AS lat0, 40.5e0 + event_id % 50 AS lng0 FROM events),
+ b AS (SELECT event_id, CASE k WHEN 0 THEN lat0 WHEN 1 THEN 43.5e0 ELSE 10.0e0 END AS lat, CASE k WHEN 0 THEN lng0 WHEN 1 THEN 76.5e0 ELSE 20.0e0 END AS lng, CASE k WHEN 0 THEN 'first' WHEN 1 THEN 'second' ELSE 'third' END AS display FROM c WHERE event_id % 11 <> 0),
+ g AS (SELECT * FROM b WHERE lat BETWEEN 40 AND 56 AND lng BETWEEN 46 AND 88)
+SELECT c.event_id, lat, lng, display FROM c LEFT JOIN g USING (event_id)""")
+def _(t):
+    i, d = F.col("event_id"), lambda c: c.cast("double")
+    hit = lambda lat, lng, cls, typ, name: F.struct(d(lat).alias("lat"), d(lng).alias("lng"), cls.alias("class"), typ.alias("type"), F.lit(name).alias("display"))
+    cands = F.array(
+        hit(38 + i % 20, F.lit(40.5) + i % 50, F.lit("amenity"), F.lit("cafe"), "first"),
+        hit(F.lit(43.5), F.lit(76.5), F.lit(None).cast("string"), F.when(i % 3 == 0, "main_CAMPUS").otherwise("house"), "second"),
+        hit(F.lit(10), F.lit(20), F.when(i % 4 == 0, "School").otherwise("shop"), F.lit(None).cast("string"), "third"))
+    best = G.pick_first_typed(F.when(i % 11 == 0, F.slice(cands, 1, 0)).otherwise(cands))
+    return t.events.select("event_id", best["lat"].alias("lat"), best["lng"].alias("lng"), best["display"].alias("display"))
+
+
 API = f"(SELECT institution_id, arg_max(lat, seq) AS lat, arg_max(lng, seq) AS lng, 'api' AS source FROM {GOOD} WHERE source = 'google' GROUP BY 1)"
 
 
@@ -240,6 +256,42 @@ def _(t):
     return t.uni.select("institution_id", F.array_join(qs, "|").alias("queries"))
 
 
+def plain_city(names, default, head):
+    """City of the two plain query builders, which don't know the Latin spelling of a former name."""
+    key = D.city("concat_ws(' ', location, address)")
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in zip(("almaty", "astana", "shymkent"), names))
+    return f"CASE {key} {cases} ELSE CASE WHEN COALESCE(location, '') <> '' THEN {head} ELSE '{default}' END END"
+
+
+# Addresses of all lengths.
+ADDRESSED = """(SELECT * REPLACE (CASE WHEN institution_id % 5 = 0 THEN repeat(concat('ул. ', COALESCE(address, 'x'), ' '), CAST(institution_id % 40 AS INTEGER)) ELSE address END AS address,
+ CASE WHEN institution_id % 17 = 0 THEN ' ' ELSE name END AS name) FROM {uni})"""
+
+
+@query("x15_queries_ru", f"""
+WITH u AS (SELECT institution_id, trim(COALESCE(name, '')) AS n, trim(COALESCE(address, '')) AS a, {plain_city(('Алматы', 'Астана', 'Шымкент'), 'Казахстан', "trim(split_part(location, ',', 1))")} AS c FROM {ADDRESSED}),
+ q AS (SELECT institution_id, UNNEST([CASE WHEN n <> '' THEN n || ', ' || c || ', Казахстан' END, CASE WHEN n <> '' THEN n || ' ' || c END,
+   CASE WHEN a <> '' AND n <> '' AND length(a) < 120 THEN n || ', ' || a || ', Казахстан' END, CASE WHEN a <> '' AND length(a) < 80 THEN a || ', ' || c || ', Казахстан' END]) AS q, UNNEST([1, 2, 3, 4]) AS i FROM u),
+ f AS (SELECT institution_id, q, MIN(i) AS i FROM q WHERE q IS NOT NULL GROUP BY 1, 2)
+SELECT institution_id, COALESCE(queries, '') AS queries FROM u LEFT JOIN (SELECT institution_id, string_agg(q, '|' ORDER BY i) AS queries FROM f GROUP BY 1) USING (institution_id)""")
+def _(t):
+    return addressed(t).select("institution_id", F.array_join(G.geocode_queries_ru(F.col("name"), F.col("location"), F.col("address")), "|").alias("queries"))
+
+
+@query("x15_query_line", f"""
+WITH u AS (SELECT institution_id, name AS n, address AS a, {plain_city(('Almaty', 'Astana', 'Shymkent'), 'Kazakhstan', "split_part(location, ',', 1)")} AS c FROM {ADDRESSED})
+SELECT institution_id, CASE WHEN length(a) > 120 THEN concat_ws(', ', CASE WHEN n NOT IN ('', '0') THEN n END, CASE WHEN c NOT IN ('', '0') THEN c END, 'Kazakhstan')
+ ELSE concat_ws(', ', CASE WHEN length(trim(n)) > 1 THEN n END, CASE WHEN length(trim(a)) > 1 THEN a END, CASE WHEN length(trim(c)) > 1 THEN c END, 'Kazakhstan') END AS line FROM u""")
+def _(t):
+    return addressed(t).select("institution_id", G.geocode_query(F.col("name"), F.col("location"), F.col("address")).alias("line"))
+
+
+def addressed(t):
+    i, address = F.col("institution_id"), F.col("address")
+    long = F.expr("repeat(concat('ул. ', COALESCE(address, 'x'), ' '), CAST(institution_id % 40 AS INT))")
+    return t.uni.withColumn("address", F.when(i % 5 == 0, long).otherwise(address)).withColumn("name", F.when(i % 17 == 0, " ").otherwise(F.col("name")))
+
+
 # ---- J17, J18
 
 SUGGEST = """SELECT result_id, 0 AS pos, w.word AS name FROM {test_result} JOIN {title_word} AS w ON result_id % 35 = w.k

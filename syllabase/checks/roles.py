@@ -36,7 +36,7 @@ INSTITUTIONS = [
     "Международный университет бизнеса", "Колледж экономики и финансов", "Q University", "Alma Management",
     "Университет Сатпаева технический", "Медицинский университет Караганды",
 ]
-PLACES = ["Алматы, Казахстан", "г. Астана, ул. Кенесары 1", "Шымкент", "Караганда, Казахстан", "Нур-Султан", "Almaty city"]
+PLACES = ["Алматы, Казахстан", "г. Астана, ул. Кенесары 1", "Шымкент", "Караганда, Казахстан", "Нур-Султан", "Almaty city", "Nur-Sultan, Kazakhstan"]
 
 
 def _values(words: list[str]) -> str:

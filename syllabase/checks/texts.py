@@ -42,7 +42,7 @@ column("x11_normalize_code", "{title}", sid, lambda: X.normalize_code(F.col("cod
        r"NULLIF(regexp_replace(regexp_replace(trim(code), '^6[Bb]', '6В'), '\s+', '', 'g'), '')")
 column("x12_website_host", "{uni}", iid, lambda: X.website_host(F.col("website")), D.host("website"))
 column("x12_page_host", "pages", "page_id", lambda: X.website_host(F.col("url")), D.host("url"))
-column("x13_city_key", "{uni}", iid, lambda: X.city_key(F.col("location"), F.col("address")), D.city("concat_ws(' ', location, address)"))
+column("x13_city_key", "{uni}", iid, lambda: X.city_key(F.col("location"), F.col("address")), D.city("concat_ws(' ', location, address)", latin=True))
 column("x14_name_tokens", "{uni}", iid, lambda: F.array_join(F.array_sort(X.related_tokens(F.col("name"))), " "), f"array_to_string(list_sort({D.tokens5('name')}), ' ')")
 column("x14_score_tokens", "{uni}", iid, lambda: F.array_join(F.array_sort(X.score_tokens(X.score_name(F.col("name")))), " "),
        f"array_to_string(list_sort({D.score_tokens(D.score_name('name'))}), ' ')")

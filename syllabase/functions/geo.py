@@ -164,6 +164,57 @@ def pick_candidate(candidates: Column, city: Column) -> Column:
     return F.array_max(scored)
 
 
+# The wider box (lat_min, lat_max, lng_min, lng_max), and the words that mark a hit by its type.
+WIDE_BOX = (40.0, 56.0, 46.0, 88.0)
+HIT_TYPES = "(?i)university|college|school|campus"
+
+
+def pick_first_typed(candidates: Column) -> Column:
+    """First geocoder hit of (lat, lng, class, type, display) whose type or class is one of education, else the first hit.
+
+    The choice is made before its point is checked: one without coordinates or outside the wide box gives null.
+    """
+    typed = F.filter(candidates, lambda c: F.concat_ws(" ", F.coalesce(c["type"], F.lit("")), F.coalesce(c["class"], F.lit(""))).rlike(HIT_TYPES))
+    best = F.coalesce(F.get(typed, 0), F.get(candidates, 0))
+    south, north, west, east = WIDE_BOX
+    inside = best["lat"].between(south, north) & best["lng"].between(west, east)
+    return F.when(inside, F.struct(best["lat"].alias("lat"), best["lng"].alias("lng"), best["display"].alias("display")))
+
+
+def _city_name(location: Column, address: Column, names: dict[str, str], default: str, part: Column) -> Column:
+    key = X.city_key(location, address, latin=False)
+    out = F.when(X.text(location) != "", part).otherwise(F.lit(default))
+    for k, v in names.items():
+        out = F.when(key == k, v).otherwise(out)
+    return out
+
+
+def geocode_queries_ru(name: Column, location: Column, address: Column) -> Column:
+    """Ordered distinct query strings in Russian: name and city, name and address, address and city."""
+    head = F.trim(F.split_part(X.text(location), F.lit(","), F.lit(1)))
+    city = _city_name(location, address, {"almaty": "Алматы", "astana": "Астана", "shymkent": "Шымкент"}, "Казахстан", head)
+    named, addr = F.trim(X.text(name)), F.trim(X.text(address))
+    has_name, has_addr = named != "", addr != ""
+    end, comma = F.lit(", Казахстан"), F.lit(", ")
+    return F.array_distinct(F.array_compact(F.array(
+        F.when(has_name, F.concat(named, comma, city, end)),
+        F.when(has_name, F.concat(named, F.lit(" "), city)),
+        F.when(has_addr & has_name & (F.length(addr) < 120), F.concat(named, comma, addr, end)),
+        F.when(has_addr & (F.length(addr) < 80), F.concat(addr, comma, city, end)),
+    )))
+
+
+def geocode_query(name: Column, location: Column, address: Column) -> Column:
+    """One query string: name, address, city and country; a long address is left out."""
+    head = F.split_part(X.text(location), F.lit(","), F.lit(1))
+    city = _city_name(location, address, {"almaty": "Almaty", "astana": "Astana", "shymkent": "Shymkent"}, "Kazakhstan", head)
+    country = F.lit("Kazakhstan")
+    told = lambda c: F.when(F.length(F.trim(c)) > 1, c)
+    given = lambda c: F.when(~c.isin("", "0"), c)
+    return F.when(F.length(address) > 120, F.concat_ws(", ", given(name), given(city), country)).otherwise(
+        F.concat_ws(", ", told(name), told(address), told(city), country))
+
+
 def geocode_queries(name: Column, location: Column, address: Column) -> Column:
     """Ordered distinct query strings; of several aliases the last one goes first."""
     clean = F.translate(X.norm(name), "«»\"", "")

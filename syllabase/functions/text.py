@@ -33,9 +33,10 @@ SCORE_STOP = (
     "казахский", "казахская", "казахстанский", "национальный", "республики",
     "казахстан", "г", "в", "и", "of", "the", "at",
 )
+LATIN_NAME = "nur-sultan"
 CITY_WORDS = (
     ("almaty", ("алматы", "almaty")),
-    ("astana", ("астана", "astana", "нур-султан")),
+    ("astana", ("астана", "astana", "нур-султан", LATIN_NAME)),
     ("shymkent", ("шымкент", "shymkent")),
 )
 
@@ -128,11 +129,13 @@ def website_host(col: Column) -> Column:
     return F.when((host != "") & ~host.isin(*JUNK_HOSTS), host)
 
 
-def city_key(*cols: Column, cities: int = 3) -> Column:
+def city_key(*cols: Column, cities: int = 3, latin: bool = True) -> Column:
+    """Key of the first city named; without ``latin`` the Latin spelling of a former name is unknown."""
     low = F.lower(F.concat_ws(" ", *cols))
     out = F.lit("")
     for key, words in reversed(CITY_WORDS[:cities]):
-        out = F.when(has(low, *words), key).otherwise(out)
+        known = words if latin else [w for w in words if w != LATIN_NAME]
+        out = F.when(has(low, *known), key).otherwise(out)
     return out
 
 

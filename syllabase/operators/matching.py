@@ -72,7 +72,7 @@ def _keys(df: DataFrame, key: str, strict: bool) -> DataFrame:
     return df.select(
         F.col(key).alias("id"), F.trim("name").alias("name"),
         F.when(F.col("type") == "college", "college").otherwise("university").alias("type"),
-        X.city_key(place, cities=3 if strict else 2).alias("city"), X.plain_host(F.col("website")).alias("host"),
+        X.city_key(place, cities=3 if strict else 2, latin=False).alias("city"), X.plain_host(F.col("website")).alias("host"),
         X.norm_name(F.col("name")).alias("norm"), X.soft_name(F.col("name")).alias("soft"),
         F.lower(F.trim("name")).alias("low"),
     )
