@@ -153,14 +153,14 @@ def _(t):
 
 
 @query("j8_prune_tree", """
-WITH keep AS (SELECT * FROM {link} WHERE cost > 104500),
+WITH keep AS (SELECT * FROM {link}),
  s AS (SELECT * FROM {spec} WHERE specialization_id IN (SELECT specialization_id FROM keep)),
  q AS (SELECT * FROM {qual} WHERE qualification_id IN (SELECT qualification_id FROM s))
 SELECT 'spec' AS level, CAST(specialization_id AS STRING) AS id FROM s UNION ALL SELECT 'qual', qualification_id FROM q
 UNION ALL SELECT 'glob', global_id FROM {level1} WHERE global_id IN (SELECT global_id FROM q)
 UNION ALL SELECT 'orphan', CAST(specialization_id AS STRING) FROM {spec} WHERE specialization_id NOT IN (SELECT specialization_id FROM keep)""")
 def _(t):
-    keep = t.link.filter("cost > 104500")
+    keep = t.link
     glob, qual, spec = R.prune_tree(t.level1, t.qual, t.spec, keep)
     tag = lambda d, level, key: d.select(F.lit(level).alias("level"), F.col(key).cast("string").alias("id"))
     return R.union_all(

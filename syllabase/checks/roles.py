@@ -70,19 +70,19 @@ SELECT c_custkey AS user_id, c_name AS username, c_mktsegment AS segment, 'secre
        CASE WHEN c_custkey % 8 = 0 THEN CAST('2001-01-01' AS DATE) - CAST(c_custkey % 300 AS INT) END AS deleted_at
 FROM {customer}""",
     "review": """
-SELECT o_orderkey AS review_id, o_custkey AS user_id, o_orderkey % 97 AS institution_id,
+SELECT o_orderkey AS review_id, o_custkey AS user_id, o_orderkey % (SELECT COUNT(*) FROM {supplier}) AS institution_id,
        CAST(1 + o_orderkey % 5 AS INT) AS rating, o_orderdate AS created_at FROM {orders}""",
     "fav": """
 SELECT DISTINCT o_custkey AS user_id, l_suppkey AS institution_id FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     "calendar_event": """
-SELECT event_id, event_id % 97 AS institution_id, ts AS event_date, concat('Event ', CAST(event_id AS STRING)) AS event_name,
+SELECT event_id, event_id % (SELECT COUNT(*) FROM {supplier}) AS institution_id, ts AS event_date, concat('Event ', CAST(event_id AS STRING)) AS event_name,
        CASE event_type WHEN 'view' THEN 'open' WHEN 'click' THEN 'closed' WHEN 'purchase' THEN 'group' ELSE 'open' END AS event_type
 FROM {events}""",
     "application": """
-SELECT o_orderkey AS application_id, o_custkey AS user_id, o_orderkey % 1000 AS event_id,
+SELECT o_orderkey AS application_id, o_custkey AS user_id, o_orderkey % (SELECT COUNT(*) FROM {events}) AS event_id,
        CASE o_orderstatus WHEN 'P' THEN 'Pending' WHEN 'F' THEN 'Accepted' ELSE 'Rejected' END AS status,
        o_orderdate AS created_at FROM {orders}""",
-    "test_result": "SELECT event_id AS result_id, user_id, ts AS created_at FROM {events} WHERE event_type = 'signup'",
+    "test_result": "SELECT event_id AS result_id, user_id, ts AS created_at FROM {events}",
     "answer": "SELECT conv_id AS result_id, turn AS pos, role, text AS answer FROM {conversations}",
     "title_word": _values(TITLES),
     "name_word": _values(INSTITUTIONS),

@@ -68,7 +68,8 @@ def _(t):
 NEW_LINKS = """SELECT l_orderkey * 10 + l_linenumber AS ord, l_suppkey AS institution_id, l_partkey AS specialization_id,
  CASE WHEN CAST(l_quantity AS INT) % 3 = 0 THEN NULL WHEN CAST(l_quantity AS INT) % 3 = 1 THEN concat(CAST(l_orderkey AS STRING), ' 000 тг') ELSE 'нет' END AS cost,
  CASE WHEN CAST(l_quantity AS INT) % 2 = 0 THEN concat(CAST(CAST(l_quantity AS INT) AS STRING), ' лет') END AS duration FROM {lineitem}"""
-OLD_LINKS = "SELECT institution_id, specialization_id, cost, duration, created_at FROM {link} WHERE created_at < TIMESTAMP '1999-06-01'"
+# All links; the later ones under programmes that no new line names, so some are kept, some updated and some created.
+OLD_LINKS = "SELECT institution_id, specialization_id + CASE WHEN created_at < TIMESTAMP '1997-06-01' THEN 0 ELSE 1000000000 END AS specialization_id, cost, duration, created_at FROM {link}"
 
 
 def upsert_sql(old, new, extra=""):

@@ -237,14 +237,16 @@ def _(t):
 
 # ---- notifications: streams over the table files, and the batch form of T2
 
-NEW_EVENTS = "SELECT event_id, event_id % 97 AS institution_id, concat('Event ', CAST(event_id AS STRING)) AS event_name FROM {events} WHERE event_type = 'purchase'"
+# As many institutions as parts, and a follower for each order.
+NEW_EVENTS = "SELECT event_id, event_id % (SELECT COUNT(*) FROM {part}) AS institution_id, concat('Event ', CAST(event_id AS STRING)) AS event_name FROM {events}"
+FOLLOWERS = "SELECT o_custkey AS user_id, o_orderkey % (SELECT COUNT(*) FROM {part}) AS institution_id FROM {orders}"
 
 
-@query("t1_fan_out", f"SELECT e.event_id, f.user_id, 'Новое мероприятие ''' || e.event_name || '''' AS message FROM ({NEW_EVENTS}) e JOIN {{fav}} f USING (institution_id)")
+@query("t1_fan_out", f"SELECT e.event_id, f.user_id, 'Новое мероприятие ''' || e.event_name || '''' AS message FROM ({NEW_EVENTS}) e JOIN (SELECT DISTINCT * FROM ({FOLLOWERS})) f USING (institution_id)")
 def _(t):
-    events = N.read_table_stream(t.spark, t.folder, "events").filter("event_type = 'purchase'").selectExpr(
-        "event_id", "event_id % 97 AS institution_id", "concat('Event ', CAST(event_id AS STRING)) AS event_name")
-    return N.run_available(N.fan_out(events, t.fav))
+    events = N.read_table_stream(t.spark, t.folder, "events").selectExpr(
+        "event_id", f"event_id % {t.part.count()} AS institution_id", "concat('Event ', CAST(event_id AS STRING)) AS event_name")
+    return N.run_available(N.fan_out(events, t.sql(FOLLOWERS)))
 
 
 STATUS = """SELECT user_id % 400 AS application_id, user_id, event_id % 50 AS event_id, 'День открытых дверей' AS event_name, concat('T', CAST(user_id % 400 AS STRING)) AS ticket_code, event_id AS n,

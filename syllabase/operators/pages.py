@@ -66,7 +66,7 @@ def page_links(pages: DataFrame, hints: str = LINK_HINTS, seeds: dict = HOST_SEE
     return links.unionByName(seeded)
 
 
-def top_links(links: DataFrame, k: int = 12) -> DataFrame:
+def top_links(links: DataFrame, k: int) -> DataFrame:
     """Best k links of a page, each once with its best score; earlier links win ties."""
     best = links.groupBy("page_id", "link").agg(F.max("score").alias("score"), F.min("place").alias("place"))
     return first_per_group(best, ["page_id"], [F.col("score").desc(), F.col("place")], k)
