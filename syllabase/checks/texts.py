@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import titles as T
 from ..functions import values as V
+from ..operators import answers as W
 from . import duck as D
 from .registry import query
 
@@ -175,7 +176,8 @@ def _(t):
     payload = F.to_json(F.struct(F.expr(KEY).alias("k"), F.expr(MAIL).alias("mail"), F.expr(PHONE).alias("phone")))
     form = F.lit(SCHEMA_JSON)
     stored = F.when(F.col("event_id") % 2 == 0, form).otherwise(F.concat(F.lit('"'), F.replace(form, F.lit('"'), F.lit('\\"')), F.lit('"')))
-    return t.events.select("event_id", F.array_join(V.validate_payload(stored, payload), ",").alias("errors"))
+    sent = t.events.select("event_id", stored.alias("form"), payload.alias("payload"))
+    return W.validate_payloads(sent, "form", "payload", "broken").select("event_id", F.array_join("broken", ",").alias("errors"))
 
 
 @query("n8_parse_model_output", """

@@ -93,16 +93,17 @@ def stable_ticket(*keys: Column) -> Column:
 FORM_SCHEMA = "array<struct<name:string,label:string,type:string,required:boolean>>"
 
 
-def validate_payload(schema_json: Column, payload_json: Column) -> Column:
-    """Array of ``field:rule`` for every rule a submitted form breaks, by form order.
-
-    The form definition may itself be stored as JSON text.
-    """
+def parse_form(schema_json: Column) -> Column:
+    """Fields of a form definition, which may itself be stored as JSON text."""
     unwrapped = F.when(
         F.trim(schema_json).startswith('"'),
         F.from_json(F.concat(F.lit('{"v":'), schema_json, F.lit("}")), "struct<v:string>")["v"],
     ).otherwise(schema_json)
-    form = F.filter(F.coalesce(F.from_json(unwrapped, FORM_SCHEMA), F.array()), lambda f: f["name"].isNotNull())
+    return F.filter(F.coalesce(F.from_json(unwrapped, FORM_SCHEMA), F.array()), lambda f: f["name"].isNotNull())
+
+
+def broken_fields(form: Column, payload_json: Column) -> Column:
+    """Array of ``field:rule`` for every rule of a parsed form that a submission breaks, by form order."""
     payload = F.from_json(payload_json, "map<string,string>")
 
     def broken(f):
@@ -119,6 +120,11 @@ def validate_payload(schema_json: Column, payload_json: Column) -> Column:
     return F.filter(F.transform(form, broken), lambda e: e.isNotNull())
 
 
+def validate_payload(schema_json: Column, payload_json: Column) -> Column:
+    """``broken_fields`` with the form read in each row; ``operators.answers.validate_payloads`` reads each form once."""
+    return broken_fields(parse_form(schema_json), payload_json)
+
+
 # Up to the first quote with an even number of backslashes before it. No group repeats: such a loop would recurse.
 JSON_STRING = r'"(?>((?s:.*?)(?<!\\)(?:\\\\)*+)")'
 

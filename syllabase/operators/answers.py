@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import values as V
 
 # Names of the test stages and their length.
 STAGES = ("Личностные качества", "Предпочтения в работе", "Интересы", "Профильные предпочтения")
@@ -37,3 +38,11 @@ def assemble_chunks(chunks: DataFrame, width: int = 1000) -> DataFrame:
     return chunks.groupBy("id", part).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "txt"))), lambda s: s["txt"]), "").alias("text")
     )
+
+
+def validate_payloads(df: DataFrame, schema: str, payload: str, into: str) -> DataFrame:
+    """``df`` with the rules that each submission breaks; each distinct form definition is parsed once and joined by its text."""
+    forms = df.select(F.col(schema).alias("_form")).distinct()
+    forms = forms.select("_form", V.parse_form(F.col("_form")).alias("_fields"))
+    rows = df.join(forms, F.col(schema).eqNullSafe(F.col("_form")), "left")
+    return rows.withColumn(into, V.broken_fields(F.col("_fields"), F.col(payload))).drop("_form", "_fields")

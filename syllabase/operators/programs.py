@@ -247,14 +247,16 @@ def apply_overrides(programs: DataFrame, by_id: DataFrame, name_rules: DataFrame
     ``by_id``: institution_id, fill_null_only, default_cost, default_duration.
     ``name_rules``: institution_id, match (regular expression), cost, duration, ord.
     """
-    rules = name_rules.groupBy("institution_id").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "match", "cost", "duration"))).alias("_rules")
-    )
-    rows = programs.join(rules, "institution_id", "left").join(by_id, "institution_id", "left")
-    fits = F.filter("_rules", lambda r: F.rlike(X.text(F.col("name")), r["match"]))
-    rows = rows.withColumn("_fits", F.coalesce(fits, F.slice("_rules", 1, 0)))
-    rows = rows.withColumn("_rule", F.try_element_at("_fits", F.lit(-1)))
-    rule_years = F.try_element_at(F.filter("_fits", lambda r: r["duration"] > 0), F.lit(-1))["duration"]
+    title = X.text(F.col("name")).alias("_title")
+    asked = programs.select("institution_id", title).distinct().join(
+        name_rules.select("institution_id", "match", "ord", F.col("cost").alias("_c"), F.col("duration").alias("_d")), "institution_id")
+    # A pattern meets each title once, however many institutions and rows have both.
+    fits = asked.select("match", "_title").distinct().filter(F.rlike("_title", F.col("match")))
+    won = asked.join(fits, ["match", "_title"]).groupBy("institution_id", "_title").agg(
+        F.max(F.struct("ord", "match", "_c")).alias("_rule"), F.max(F.when(F.col("_d") > 0, F.struct("ord", "match", "_d"))).alias("_timed"))
+    rows = programs.withColumn("_title", title).join(won, ["institution_id", "_title"], "left").drop("_title")
+    rows = rows.join(by_id, "institution_id", "left")
+    rule_years = F.col("_timed._d")
     ruled = F.col("_rule").isNotNull()
     fill = F.coalesce("fill_null_only", F.lit(True))
     offer = F.when(F.col("default_cost") > 0, F.col("default_cost"))
@@ -263,7 +265,7 @@ def apply_overrides(programs: DataFrame, by_id: DataFrame, name_rules: DataFrame
     source = (
         F.when(ruled, "official_name_rule").when(filled, "official_default_fill").when(forced, "official_default_force")
     )
-    cost = F.when(ruled, F.col("_rule.cost")).when(filled | forced, offer).otherwise(F.col("cost"))
+    cost = F.when(ruled, F.col("_rule._c")).when(filled | forced, offer).otherwise(F.col("cost"))
     no_years = X.is_zero(F.col("duration")) & (F.col("default_duration") > 0)
     years = F.when(ruled, F.coalesce(rule_years, F.col("duration"))).when(no_years, F.col("default_duration")).otherwise(F.col("duration"))
     rows = rows.withColumn("cost_source", source).withColumn("_cost", cost).withColumn("_years", years)

@@ -61,7 +61,7 @@ def rebuild_catalog(incoming: DataFrame, programs: DataFrame, existing: DataFram
     return {**tree, "links": M.upsert_links(none, offers), "matches": matches}
 
 
-def rebuild_from_files(spark, paths, existing: DataFrame, lines: bool = False) -> dict[str, DataFrame]:
+def rebuild_from_files(spark, paths, existing: DataFrame, lines: bool = True) -> dict[str, DataFrame]:
     rows = keyed_rows(C.read_catalog(spark, paths, lines))
     programs = C.unnest_programs(rows, keep=("incoming_id",)).filter("name IS NOT NULL")
     return rebuild_catalog(rows, programs, existing)

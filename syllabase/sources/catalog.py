@@ -10,12 +10,12 @@ from ..operators import reads as R
 from ..schemas import CATALOG_FILE, INSTITUTION_FILE
 
 
-def read_catalog(spark: SparkSession, paths, lines: bool = False) -> DataFrame:
+def read_catalog(spark: SparkSession, paths, lines: bool = True) -> DataFrame:
     """Institutions of several nested files; rows with an error or without a name are dropped.
 
-    Each file may be an object with an ``institutions`` list or a bare list. A
-    whole-document file is read by one task; write large feeds as JSON lines
-    (``lines=True``), which Spark splits. ``source_file``, ``source_row`` and
+    Each file may be an object with an ``institutions`` list or a bare list, one
+    document a line, which Spark splits. A file that is one document over several
+    lines (``lines=False``) is read by one task: only for small files. ``source_file``, ``source_row`` and
     ``source_pos`` (in the list of that row) name a row's place, the same in each
     read of the same files.
     """

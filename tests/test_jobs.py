@@ -233,12 +233,12 @@ def test_catalog_files_of_both_shapes(spark, tmp_path):
     rows = [{"name": "A", "website": "https://a.kz", "specialties": [{"name": "Право", "cost": 5, "code": "6B1"}]}, {"name": "B", "error": "timeout"}, {"name": " "}]
     (tmp_path / "one.json").write_text(json.dumps({"city": "x", "institutions": rows}, ensure_ascii=False))
     (tmp_path / "two.json").write_text(json.dumps([{"id": 7, "name": "C", "programs": []}, {"name": "A", "specialties": None}]))
-    df = C.unify_programs(C.read_catalog(spark, [str(tmp_path / "one.json"), str(tmp_path / "two.json")]))
+    df = C.unify_programs(C.read_catalog(spark, [str(tmp_path / "one.json"), str(tmp_path / "two.json")], lines=False))
     assert sorted((r["name"], r["institution_id"]) for r in df.collect()) == [("A", None), ("A", None), ("C", 7)]
     flat = C.unnest_programs(df.select(F.col("name").alias("owner"), "programs"), keep=("owner",))
     assert sorted((r["owner"], r["pos"], r["name"], r["cost"]) for r in flat.filter("name IS NOT NULL").collect()) == [("A", 0, "Право", "5")]
     existing = spark.createDataFrame([(1, "A", "university", None, None, None)], "institution_id long, name string, type string, location string, address string, website string")
-    out = refresh.rebuild_from_files(spark, [str(tmp_path / "one.json"), str(tmp_path / "two.json")], existing)
+    out = refresh.rebuild_from_files(spark, [str(tmp_path / "one.json"), str(tmp_path / "two.json")], existing, lines=False)
     assert [(r["institution_id"], r["cost"], r["action"]) for r in out["links"].collect()] == [(1, 5.0, "created")]
 
 

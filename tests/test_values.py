@@ -91,3 +91,12 @@ def test_anchor_text_is_decoded(spark):
 def test_ticket_is_stable_and_looks_like_a_uuid(spark):
     got = spark.range(2).select(V.stable_ticket(F.col("id"), F.lit(5))).collect()
     assert len({r[0] for r in got}) == 2 and all(len(r[0]) == 36 and r[0].count("-") == 4 for r in got)
+
+
+def test_each_form_is_read_once_and_joined(spark):
+    from syllabase.operators import answers as W
+
+    form = '[{"name": "k", "type": "number", "required": true}]'
+    rows = [(1, form, '{"k": "x"}'), (2, form, '{"k": "5"}'), (3, None, '{"k": "x"}'), (4, "no json", None), (5, form, None), (6, '"' + form.replace('"', '\\"') + '"', "{}")]
+    df = W.validate_payloads(spark.createDataFrame(rows, "id long, form string, payload string"), "form", "payload", "bad")
+    assert {r["id"]: r["bad"] for r in df.collect()} == {1: ["k:number"], 2: [], 3: [], 4: [], 5: ["k:required"], 6: ["k:required"]}
