@@ -6,13 +6,14 @@ rows does not end in one task.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import titles as T
 from ..functions import values as V
 from ..functions.plan import settle
+from ..session import checkpoint
 from .quality import first_per_group
 
 # Words that mark menu entries and error pages among programme names.
@@ -193,51 +194,57 @@ def list_sizes(programs: DataFrame) -> DataFrame:
     return rows.join(sizes, "institution_id")
 
 
+#: Added to the positions of the second source: it comes after the first.
+SECOND = 1 << 61
+
+
 def merge_programs(base: DataFrame, extra: DataFrame) -> DataFrame:
     """Programmes of two sources as one list per institution.
 
     A second-source row joins the row with the same code and name, else the first
     row with the same name, else the first second-source row with that name. It
     fills empty price, term and code. Of equal base rows the last one counts.
+    ``pos`` is a whole number from 0 up to SECOND, unique per institution and
+    source; in the result those of the second source lie SECOND higher.
     """
     fields = ["name", "code", "global_specialty", "qualification", "cost", "duration", "source"]
 
-    def keyed(df):
+    def keyed(df, side):
         code = F.regexp_replace(F.upper(X.text(F.col("code"))), "B", "В")
-        return df.withColumn("n", X.score_name(F.col("name"))).withColumn("k", F.concat(code, F.lit("||"), "n"))
-
-    known = keyed(base).groupBy("institution_id", "k", "n").agg(
-        F.min("pos").alias("first_pos"), F.max_by(F.struct(*fields), "pos").alias("row")
-    )
-    by_name = known.groupBy("institution_id", "n").agg(F.min_by("k", "first_pos").alias("name_key"))
-    more = keyed(extra)
-    own = more.groupBy("institution_id", "n").agg(F.min_by("k", "pos").alias("own_key"))
-    more = (
-        more.join(known.select("institution_id", "k", F.col("k").alias("exact_key")), ["institution_id", "k"], "left")
-        .join(by_name, ["institution_id", "n"], "left")
-        .join(own, ["institution_id", "n"])
-        .select("institution_id", F.coalesce("exact_key", "name_key", "own_key").alias("k"),
-                F.struct(F.lit(1).alias("s"), F.col("pos").alias("p")).alias("ord"), F.struct(*fields).alias("row"))
-    )
-    rows = known.select(
-        "institution_id", "k", F.struct(F.lit(0).alias("s"), F.col("first_pos").alias("p")).alias("ord"), "row"
-    ).unionByName(more)
+        rows = df.withColumn("n", X.score_name(F.col("name")))
+        at = F.col("pos").cast("long") + side * SECOND
+        return rows.select("institution_id", F.concat(code, F.lit("||"), "n").alias("k"), "n", at.alias("at"), *fields)
+
+    rows = checkpoint(keyed(base, 0).unionByName(keyed(extra, 1)))
+    first, second = F.when(F.col("at") < SECOND, F.col("at")), F.when(F.col("at") >= SECOND, F.col("at"))
+    # Only places are compared: all sums below are of fixed width, and a row's texts are fetched once its place has won.
+    keys = rows.groupBy("institution_id", "n", "k").agg(
+        F.min(first).alias("begin"), F.max(first).alias("last"), F.min(second).alias("own"))
+    named = Window.partitionBy("institution_id", "n")
+    keys = keys.select("institution_id", "k", "begin", "last", F.coalesce(
+        "begin", F.min("begin").over(named), F.min("own").over(named)).alias("target"))
+    placed = rows.select("institution_id", "k", "at", "cost", "duration", (~X.is_blank(F.col("code"))).alias("coded"),
+                         (F.col("source") == "official").alias("official")).join(keys, ["institution_id", "k"])
+    placed = placed.filter((F.col("at") >= SECOND) | (F.col("at") == F.col("last")))
+    base_row = F.col("at") < SECOND
+    placed = placed.withColumn("ord", F.when(base_row, F.col("begin")).otherwise(F.col("at")))
 
     def first_of(col, given):
         return F.min_by(col, F.when(given, F.col("ord")))
 
-    merged = rows.groupBy("institution_id", "k").agg(
-        F.min_by("row", "ord").alias("head"), F.min("ord").alias("ord"), F.count("*").alias("n"),
-        first_of("row.cost", F.col("row.cost").isNotNull()).alias("cost"),
-        first_of("row.duration", F.col("row.duration").isNotNull()).alias("duration"),
-        first_of("row.code", ~X.is_blank(F.col("row.code"))).alias("code"),
-        F.max(F.when(F.col("ord.s") == 1, F.col("row.source") == "official")).alias("official"),
+    merged = placed.groupBy("institution_id", "target").agg(
+        F.min("ord").alias("ord"), F.min_by("at", "ord").alias("head"), F.count("*").alias("rows"),
+        first_of("cost", F.col("cost").isNotNull()).alias("cost"), first_of("duration", F.col("duration").isNotNull()).alias("duration"),
+        first_of("at", F.col("coded")).alias("code_at"), F.max(F.when(~base_row, F.col("official"))).alias("official"),
     )
-    joined = F.array_distinct(F.array("head.source", F.lit("official")))
-    several = F.col("official") & (F.col("n") > 1)
+    heads = rows.select("institution_id", F.col("at").alias("head"), "name", "global_specialty", "qualification", "source")
+    codes = rows.select("institution_id", F.col("at").alias("code_at"), "code")
+    merged = merged.join(heads, ["institution_id", "head"]).join(codes, ["institution_id", "code_at"], "left")
+    joined = F.array_distinct(F.array("source", F.lit("official")))
+    several = F.col("official") & (F.col("rows") > 1)
     return merged.select(
-        "institution_id", "head.name", "code", "head.global_specialty", "head.qualification", "cost", "duration",
-        F.when(several, joined).otherwise(F.array("head.source")).alias("sources"), F.col("ord").alias("pos"),
+        "institution_id", "name", "code", "global_specialty", "qualification", "cost", "duration",
+        F.when(several, joined).otherwise(F.array("source")).alias("sources"), F.col("ord").alias("pos"),
     )
 
 

@@ -26,7 +26,7 @@ def by_stack(html, tags):
     return out
 
 
-def test_elements_equal_a_stack(spark, monkeypatch):
+def test_elements_equal_a_stack(spark):
     rng = random.Random(1)
     parts = ["<div>", "</div>", "<div class='é'>", "<td>", "</td>", "<TD x>", "<th>", "</th>", "x", "é ", "<divx>", "<p>", "</p>\n"]
     rows = [(i, "".join(rng.choice(parts) for _ in range(rng.choice([0, 3, 20, 60, 300])))) for i in range(60)]
@@ -36,12 +36,14 @@ def test_elements_equal_a_stack(spark, monkeypatch):
     assert {r["id"]: [tuple(e) for e in r["e"]] for r in got} == {i: by_stack(h, tags) for i, h in rows}
 
 
-def test_running_over_long_arrays(spark):
-    rng = random.Random(2)
-    rows = [(n, [rng.randrange(-5, 6) for _ in range(n)]) for n in (0, 1, 127, 128, 129, 700)]
-    got = H.with_running(spark.createDataFrame(rows, "n int, v array<bigint>"), s=("v", lambda a, b: a + b), m=("v", F.least)).collect()
-    for r in got:
-        assert r["s"] == [sum(r["v"][:k + 1]) for k in range(r["n"])] and r["m"] == [min(r["v"][:k + 1]) for k in range(r["n"])]
+def test_elements_of_a_small_page(spark):
+    html = "<div a>x<DIV>y</div><div>z</div>w</div></div><div>open<p>1<p>2</p>"
+    df = spark.createDataFrame([(1, html), (2, None)], "id int, html string")
+    got = {r["id"]: r["e"] for r in H.with_elements(df, F.col("html"), ["div", "p"], "e").collect()}
+    assert [tuple(e) for e in got[1]] == [
+        (0, "<div a>", "x<DIV>y</div><div>z</div>w"), (0, "<DIV>", "y"), (0, "<div>", "z"), (0, "<div>", "open<p>1<p>2</p>"),
+        (1, "<p>", "1"), (1, "<p>", "2")]
+    assert got[2] is None
 
 
 def page(spark, html):
