@@ -13,6 +13,7 @@ from syllabase.checks import QUERIES
 from syllabase.session import local_session
 
 HEADLINE = (
+    "m7_rebuild_catalog m7_refresh_audit "
     "a1_rating_summary a1_top_rated a3_dashboard a5_multi_child a9_activity_months a10_audit a11_audit_summary a17_event_board "
     "j1_link_join j2_catalog_tree j3_institution_index j5_institutions_for j8_prune_tree j10_match_cascade j11_best_match "
     "j14_merge_programs j15_apply_overrides j17_names_to_ids w1_clean_links w2_dedupe_programs w3_keep_better w4_top_links "
