@@ -8,18 +8,21 @@ from ..functions import geo as G
 from ..functions import text as X
 from ..operators import reads as R
 from ..schemas import CATALOG_FILE, INSTITUTION_FILE
+from .documents import read_documents
 
 
 def read_catalog(spark: SparkSession, paths, lines: bool = True) -> DataFrame:
     """Institutions of several nested files; rows with an error or without a name are dropped.
 
     Each file may be an object with an ``institutions`` list or a bare list, one
-    document a line, which Spark splits. A file that is one document over several
-    lines (``lines=False``) is read by one task: only for small files. ``source_file``, ``source_row`` and
-    ``source_pos`` (in the list of that row) name a row's place, the same in each
-    read of the same files.
+    document a line, which Spark splits. Files that are one document over several
+    lines (``lines=False``) are cut at closing braces and put together by element
+    (``read_documents``). ``source_file``, ``source_row`` and ``source_pos`` (in the
+    list of that row) name a row's place, the same in each read of the same files.
     """
-    raw = spark.read.schema(CATALOG_FILE).option("multiLine", not lines).json(paths)
+    if not lines:
+        return _usable(_from_documents(spark, paths))
+    raw = spark.read.schema(CATALOG_FILE).json(paths)
     # Where a row was read: the part of the file, and a number that grows by one from row to row of that part.
     place = F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")
     raw = raw.select("*", F.col("_metadata.file_path").alias("source_file"), *place)
@@ -27,10 +30,24 @@ def read_catalog(spark: SparkSession, paths, lines: bool = True) -> DataFrame:
     wrapped = raw.filter(F.col("institutions").isNotNull())
     wrapped = wrapped.select(*READ[:3], F.posexplode("institutions").alias("source_pos", "i")).select(*READ, "i.*")
     bare = raw.filter(F.col("institutions").isNull()).withColumn("source_pos", F.lit(0)).select(*READ, *names)
-    rows = _with_rows(raw, wrapped.unionByName(bare))
+    return _usable(_with_rows(raw, wrapped.unionByName(bare)))
+
+
+def _usable(rows: DataFrame) -> DataFrame:
     return rows.filter(X.is_blank(F.col("error")) & ~X.is_blank(F.trim("name")))
 
 
+def _from_documents(spark: SparkSession, paths) -> DataFrame:
+    rows = read_documents(spark, paths, CATALOG_FILE, "institutions")
+    names = INSTITUTION_FILE.fieldNames()
+    listed, number = F.col("in_list"), F.col("source_number")
+    place = [F.when(listed, number).otherwise(0).cast("int").alias("source_pos"), F.when(listed, 0).otherwise(number).alias("source_row")]
+    single = rows.filter(listed | F.col("institutions").isNull()).select("source_file", *place, *names)
+    inner = rows.filter(~listed & F.col("institutions").isNotNull())
+    inner = inner.select("source_file", number.alias("source_row"), F.posexplode("institutions").alias("source_pos", "i"))
+    return single.unionByName(inner.select("source_file", "source_row", "source_pos", "i.*"))
+
+
 READ = ["source_file", "_block", "_at", "source_pos"]
 
 
