@@ -37,13 +37,11 @@ def _first(order, *fields, when=None):
 
 # ---- links of the catalogue ----------------------------------------------
 
-def analyzed_links(link: DataFrame, titles: DataFrame) -> DataFrame:
-    """Links joined with the analysis of their programme title (one per programme)."""
-    analysis = T.analyze_titles(titles, T.LINK_RULES)
+def analysis(titles: DataFrame) -> DataFrame:
+    """Group key, clean title, language, score and term of each programme title (one per programme)."""
+    found = T.analyze_titles(titles, T.LINK_RULES)
     key = T.link_group_key(F.col("title_code"), F.col("clean")).alias("group_key")
-    return link.join(
-        settle(analysis.select("specialization_id", key, "raw", "clean", "lang", "score", "drop", "hint")), "specialization_id"
-    )
+    return settle(found.select("specialization_id", key, "raw", "clean", "lang", "score", "drop", "hint"))
 
 
 def clean_links(link: DataFrame, titles: DataFrame) -> DataFrame:
@@ -54,7 +52,11 @@ def clean_links(link: DataFrame, titles: DataFrame) -> DataFrame:
     programme id. A Russian title always scores at least 40, so the first Russian
     row gives both the name and the link.
     """
-    rows = analyzed_links(link, titles).filter(~F.col("drop"))
+    return _kept(link, analysis(titles))
+
+
+def _kept(link: DataFrame, found: DataFrame) -> DataFrame:
+    rows = link.join(found, "specialization_id").filter(~F.col("drop"))
     order = [(-F.col("score")).alias("o"), F.col("specialization_id").alias("id")]
     fields = ["clean", "raw", "hint"]
     years = F.col("duration").try_cast("int")
@@ -75,12 +77,13 @@ def clean_links(link: DataFrame, titles: DataFrame) -> DataFrame:
 
 def clean_stats(link: DataFrame, titles: DataFrame) -> DataFrame:
     """Kept, removed and renamed links per institution."""
-    dropped = analyzed_links(link, titles).filter("drop").groupBy("institution_id").agg(F.count("*").alias("dropped"))
-    kept = clean_links(link, titles).groupBy("institution_id").agg(
+    found = checkpoint(analysis(titles))  # used twice
+    gone = link.join(found.select("specialization_id", "drop"), "specialization_id", "left")
+    totals = gone.groupBy("institution_id").agg(F.count_if("drop").alias("dropped"))
+    kept = _kept(link, found).groupBy("institution_id").agg(
         F.count("*").alias("kept"), F.sum("removed").alias("merged"), F.count_if("renamed").alias("renamed")
     )
-    out = link.select("institution_id").distinct().join(kept, "institution_id", "left").join(dropped, "institution_id", "left")
-    out = out.fillna(0, ["kept", "merged", "renamed", "dropped"])
+    out = totals.join(kept, "institution_id", "left").fillna(0, ["kept", "merged", "renamed"])
     return out.select("institution_id", "kept", (F.col("merged") + F.col("dropped")).alias("removed"), "renamed")
 
 
