@@ -5,11 +5,15 @@ run is the frame before it is written.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
+from ..functions.plan import spread
+from ..session import checkpoint
 from . import reads as R
 from .graph import components, star_edges
 
@@ -48,9 +52,10 @@ def upsert_tree(programs: DataFrame, level1: DataFrame, level2: DataFrame, level
     global_id, qualification_name, description; level3: specialization_id,
     qualification_id, name. New ids are hashes of the natural key, so a rerun
     gives the same ids and no global numbering is needed. Returns the levels with
-    ``action`` (kept, updated, created) and ``placed``: ord -> specialization_id.
+    ``action`` (kept, updated, created) and ``placed``: ord -> specialization_id, with the other columns of ``programs``.
     """
     rows = placed_programs(programs)
+    others = [c for c in programs.columns if c not in ("ord", "name", "global_specialty", "code")]
 
     # Level 1: the description names the code of the last row seen.
     wanted1 = rows.groupBy("global_name").agg(F.max_by("code", F.when(F.col("code").isNotNull(), F.col("ord"))).alias("code"))
@@ -107,10 +112,24 @@ def upsert_tree(programs: DataFrame, level1: DataFrame, level2: DataFrame, level
     old3 = level3.select("specialization_id", "qualification_id", "name").withColumn("action", F.lit("kept"))
     return {
         "level1": out1, "level2": old2.unionByName(new2), "level3": old3.unionByName(new3),
-        "placed": rows.select("ord", "specialization_id"),
+        "placed": rows.select("ord", "specialization_id", *others),
     }
 
 
+def place_programs(rows: DataFrame, *levels: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tree, rows with specialization_id) of many rows: ``upsert_tree`` over the distinct texts, each with the last ``ord`` it has.
+
+    Levels depend on nothing else, so each text is cleaned once; the rows are read twice, to find their texts and to meet the tree.
+    """
+    texts = ["name", "global_specialty", "code"]
+    kinds = rows.groupBy(*texts).agg(F.max("ord").alias("ord"))
+    kinds = checkpoint(kinds.select("*", *[F.col(c).alias("_" + c) for c in texts]))
+    tree = upsert_tree(spread(kinds), *levels)
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col("_" + c)) for c in texts])
+    placed = rows.join(tree["placed"].drop("ord"), same).drop(*["_" + c for c in texts])
+    return {**tree, "placed": placed.select("ord", "specialization_id")}, placed
+
+
 # ---- M2: links ------------------------------------------------------------------
 
 def upsert_links(links: DataFrame, new: DataFrame) -> DataFrame:

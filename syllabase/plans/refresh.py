@@ -53,8 +53,7 @@ def rebuild_catalog(incoming: DataFrame, programs: DataFrame, existing: DataFram
     owner = matches.select("incoming_id", F.coalesce("institution_id", "new_id").alias("institution_id"))
     rows = programs.withColumn("ord", F.struct("incoming_id", "pos")).join(owner, "incoming_id")
     levels = empty_tree(programs.sparkSession)
-    tree = M.upsert_tree(rows.select("ord", "name", "global_specialty", "code"), *levels)
-    offers = rows.select("ord", "institution_id", "cost", "duration").join(tree["placed"], "ord")
+    tree, offers = M.place_programs(rows.select("ord", "institution_id", "cost", "duration", "name", "global_specialty", "code"), *levels)
     none = programs.sparkSession.createDataFrame(
         [], "institution_id bigint, specialization_id bigint, cost double, duration int"
     )

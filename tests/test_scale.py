@@ -36,6 +36,20 @@ def rows_of(spark, n=300):
              rng.choice(["6B04101 x", None]), rng.choice([0.0, 5.0, None]), rng.choice([3, None])) for i in range(n)]
 
 
+def test_rebuild_meets_the_tree_by_texts_and_keeps_equal_places(spark):
+    rows = [((i // 4, i % 2), i % 3, TITLES[i % 7], "IT" if i % 2 else None, "6B06101" if i % 5 else None, 1.0 + i, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "ord struct<a:long,b:long>, institution_id long, name string, global_specialty string, code string, cost double, duration int")
+    tree, offers = M.place_programs(df, *refresh.empty_tree(spark))
+    named = offers.join(tree["level3"].select("specialization_id", F.col("name").alias("found")), "specialization_id")
+    usable = [r for r in rows if r[2] and len(r[2]) >= 2]
+    assert sorted((r["cost"], r["found"]) for r in named.collect()) == sorted((r[5], r[2]) for r in usable)
+    old = M.upsert_tree(df.select("ord", "name", "global_specialty", "code"), *refresh.empty_tree(spark))
+    for level, cols in (("level2", ["qualification_id", "qualification_name", "description"]), ("level3", ["specialization_id", "name"])):
+        assert {tuple(r) for r in tree[level].select(*cols).collect()} == {tuple(r) for r in old[level].select(*cols).collect()}
+    # rows meet the tree by their texts, not by a join of all rows with all rows
+    assert "place_programs" in inspect.getsource(refresh.rebuild_catalog)
+
+
 @pytest.mark.parametrize("held", [7, 50_000])
 def test_held_changes_are_few_entries_of_the_state(spark, tmp_path, monkeypatch, held):
     assert N.BLOCK > 1 and N.HELD >= 1
