@@ -50,6 +50,27 @@ def test_rebuild_meets_the_tree_by_texts_and_keeps_equal_places(spark):
     assert "place_programs" in inspect.getsource(refresh.rebuild_catalog)
 
 
+def test_lists_of_one_part_are_not_numbered(spark, monkeypatch):
+    parents = spark.createDataFrame([(i,) for i in range(4)], "k long")
+    rows = spark.createDataFrame([(i % 3, i, f"v{i}") for i in range(30)] + [(None, 1, "x")], "k long, o long, v string")
+    want = {(k, p): v for k, p, v in [(r["k"], r["part"], [x["v"] for x in r["l"]]) for r in R.nest(parents, rows, "k", ["o"], ["v"], "l", 4).collect()]}
+    assert want[0, 0] == ["v0", "v3", "v6", "v9"] and want[0, 2] == ["v24", "v27"] and want[3, 0] == []
+
+    def numbered(*_):
+        raise AssertionError("numbered")
+
+    monkeypatch.setattr(R, "numbered", numbered)
+    got = {(r["k"], r["part"]): [x["v"] for x in r["l"]] for r in R.nest(parents, rows, "k", ["o"], ["v"], "l", 10).collect()}
+    assert got == {(k, 0): [f"v{i}" for i in range(k, 30, 3)] if k < 3 else [] for k in range(4)}
+
+
+def test_rows_of_files_get_their_places_without_moving(spark, tmp_path):
+    (tmp_path / "a.json").write_text("\n".join(json.dumps({"name": f"N{i}"}) for i in range(20)))
+    rows = C.read_catalog(spark, str(tmp_path))
+    assert {(r["name"], r["source_row"]) for r in rows.collect()} == {(f"N{i}", i) for i in range(20)}
+    assert "SortMergeJoin" not in plan(rows)
+
+
 @pytest.mark.parametrize("held", [7, 50_000])
 def test_held_changes_are_few_entries_of_the_state(spark, tmp_path, monkeypatch, held):
     assert N.BLOCK > 1 and N.HELD >= 1
