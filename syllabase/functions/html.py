@@ -69,12 +69,25 @@ def paired(html: str, pattern: re.Pattern, kinds: int) -> list[dict]:
             for k, own in enumerate(found) for tag, at, next_, shut in own]
 
 
+#: Bytes of a batch whose elements are made at a time.
+PIECE = 4 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch], size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``size`` bytes, one row at least, without a copy."""
+    for batch in batches:
+        step = max(1, batch.num_rows * size // max(1, batch.nbytes))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def with_elements(df: DataFrame, html: Column, tags: list[str], into: str) -> DataFrame:
     """``df`` with the elements of ``html``: an array of (kind, tag, body) by kind as listed, then in page order, nested ones too.
 
     ``kind`` is the number of the element's pattern in ``tags``, ``tag`` its opening tag, ``body`` the source up to the closing tag of
     the same depth, or, if it has none, up to the next tag of its kind. A closing tag without an opening one counts for nothing. One
     pass over each page with a stack per kind, in batches; sums and sorts of tag places by array functions took ten times as long.
+    The elements of a batch, nested ones many times, are made and handed on in pieces, so Python's memory does not grow with the batch.
     """
     rows = df.withColumn(into, html)
     rx = r"<(/?)(?:" + "|".join(f"({t})" for t in tags) + r")(?:\s[^>]*)?/?>"
@@ -82,7 +95,7 @@ def with_elements(df: DataFrame, html: Column, tags: list[str], into: str) -> Da
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = re.compile(rx, re.I | re.S | re.A)
-        for batch in batches:
+        for batch in pieces(batches):
             at = batch.schema.get_field_index(into)
             made = pa.array([None if t is None else paired(t, pattern, len(tags)) for t in batch.column(at).to_pylist()], kind)
             columns = [made if i == at else c for i, c in enumerate(batch.columns)]

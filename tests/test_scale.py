@@ -71,6 +71,14 @@ def test_rows_of_files_get_their_places_without_moving(spark, tmp_path):
     assert "SortMergeJoin" not in plan(rows)
 
 
+def test_elements_are_made_in_pieces_of_a_batch():
+    texts = ["x" * 1000] * 50 + ["y" * 100_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(51)), pa.array(texts)], names=["id", "t"])
+    parts = list(H.pieces(iter([batch, batch.slice(0, 0)]), 10_000))
+    assert len(parts) > 10 and all(p.num_rows for p in parts)
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(51))
+
+
 @pytest.mark.parametrize("held", [7, 50_000])
 def test_held_changes_are_few_entries_of_the_state(spark, tmp_path, monkeypatch, held):
     assert N.BLOCK > 1 and N.HELD >= 1
