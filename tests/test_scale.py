@@ -137,3 +137,12 @@ def test_held_changes_are_few_entries_of_the_state(spark, tmp_path, monkeypatch,
         before = status[n]
     early = [(r.n, r.status, r.rest) for r in out]
     assert sorted(early) == early == want and not p.held
+
+
+def test_few_bytes_of_much_work_are_dealt_to_all_tasks(spark):
+    one = spark.createDataFrame([(i, TITLES[i % 7], None) for i in range(200)], "id long, name string, qualification string").coalesce(1)
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks(one) == 1 and tasks(spread(one)) == wide
+    out = T.analyze_titles(one, T.LINK_RULES)
+    assert tasks(out) == wide and out.count() == 200
+    assert "RoundRobinPartitioning" in plan(Q.flagged(spark.createDataFrame(rows_of(spark), PROGRAM)))
