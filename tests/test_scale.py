@@ -146,3 +146,26 @@ def test_few_bytes_of_much_work_are_dealt_to_all_tasks(spark):
     out = T.analyze_titles(one, T.LINK_RULES)
     assert tasks(out) == wide and out.count() == 200
     assert "RoundRobinPartitioning" in plan(Q.flagged(spark.createDataFrame(rows_of(spark), PROGRAM)))
+
+
+def test_audit_sums_numbers_and_judges_each_text_once(spark, monkeypatch):
+    rows = rows_of(spark)
+    seen = []
+    whole = Q.flagged
+    monkeypatch.setattr(Q, "flagged", lambda df: seen.append(df.count()) or whole(df))
+    inst = spark.createDataFrame([(i, f"U{i}") for i in range(7)], "institution_id long, name string")
+    df = spark.createDataFrame(rows, PROGRAM)
+    got = {r["institution_id"]: r for r in Q.audit(inst, df).collect()}
+    assert seen == [len({(r[2], r[5], r[3]) for r in rows})]
+    flagged = whole(df).collect()
+    for i in range(7):
+        own = [r for r in flagged if r["institution_id"] == i]
+        times = lambda keys: {k: keys.count(k) for k in keys if k}
+        codes, names = times([r["audit_code"] for r in own]), times([r["fp"] for r in own])
+        r = got[i]
+        assert (r["specs_count"], r["with_cost"], r["issue_rows"]) == (
+            len(own), sum(bool(x["cost"]) for x in own), sum(bool(x["flags"]) for x in own))
+        assert r["flag_counts"] == times([f for x in own for f in x["flags"]])
+        assert r["code_duplicate_groups"] == sum(n > 1 for n in codes.values())
+        assert r["name_duplicate_groups"] == sum(n > 1 for n in names.values())
+        assert r["severity"] == sum(len(x["flags"]) for x in own) + 2 * sum(n - 1 for n in codes.values())
