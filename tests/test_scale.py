@@ -169,3 +169,15 @@ def test_audit_sums_numbers_and_judges_each_text_once(spark, monkeypatch):
         assert r["code_duplicate_groups"] == sum(n > 1 for n in codes.values())
         assert r["name_duplicate_groups"] == sum(n > 1 for n in names.values())
         assert r["severity"] == sum(len(x["flags"]) for x in own) + 2 * sum(n - 1 for n in codes.values())
+
+
+def test_links_are_kept_by_rank_without_a_sort_of_texts(spark):
+    titles = spark.createDataFrame([(1, "6В06101 Информационные системы", None), (1, "6В06101 Архитектура систем", None), (2, "6B06101 Ақпараттық жүйелер", None),
+                                    (None, "6В06101 Право и закон", None)], "specialization_id long, name string, qualification string")
+    link = spark.createDataFrame([(9, 1, 5.0, "3"), (9, 2, 7.0, None), (None, 2, 1.0, "2"), (9, None, 9.0, "9")],
+                                 "institution_id long, specialization_id long, cost double, duration string")
+    out = G.clean_links(link, titles)
+    assert "SortAggregate" not in plan(out)
+    # of two titles with one id, the first by its text; both count for the group
+    assert {tuple(r) for r in out.collect()} == {
+        (9, "6В06101", 1, "Архитектура систем", 7.0, 3, 2, True), (None, "6В06101", 2, "Ақпараттық жүйелер", 1.0, 2, 0, True)}
