@@ -181,3 +181,15 @@ def test_links_are_kept_by_rank_without_a_sort_of_texts(spark):
     # of two titles with one id, the first by its text; both count for the group
     assert {tuple(r) for r in out.collect()} == {
         (9, "6В06101", 1, "Архитектура систем", 7.0, 3, 2, True), (None, "6В06101", 2, "Ақпараттық жүйелер", 1.0, 2, 0, True)}
+
+
+def test_merged_programs_read_each_title_once(spark, monkeypatch):
+    rows = rows_of(spark)
+    base = spark.createDataFrame([r + ("list",) for r in rows if r[1] % 3], PROGRAM + ", source string")
+    extra = spark.createDataFrame([r + ("official",) for r in rows if r[1] % 3 == 0], PROGRAM + ", source string")
+    dealt = []
+    monkeypatch.setattr(G, "spread", lambda df: dealt.append(df.count()) or spread(df), raising=False)
+    out = G.merge_programs(base, extra)
+    assert dealt == [len({(r[2], r[3]) for r in rows})]
+    key = lambda r: (r[0], (r[3] or "") + "|" + (r[2] or ""))
+    assert out.count() <= len({key(r) for r in rows}) and out.select("institution_id", "pos").distinct().count() == out.count()
