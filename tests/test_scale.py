@@ -193,3 +193,16 @@ def test_merged_programs_read_each_title_once(spark, monkeypatch):
     assert dealt == [len({(r[2], r[3]) for r in rows})]
     key = lambda r: (r[0], (r[3] or "") + "|" + (r[2] or ""))
     assert out.count() <= len({key(r) for r in rows}) and out.select("institution_id", "pos").distinct().count() == out.count()
+
+
+def test_offers_of_one_place_keep_their_own_price(spark):
+    """Places may be null or repeat: a price stays with the texts of its own row."""
+    incoming = spark.createDataFrame([(1, "Новый", "university", None, None, None)],
+                                     "incoming_id long, name string, type string, location string, address string, website string")
+    programs = spark.createDataFrame([(1, None, n, None, None, c, None) for n, c in (("Право", 1.0), ("Экономика", 2.0), ("Дизайн", 3.0))],
+                                     "incoming_id long, pos long, name string, global_specialty string, code string, cost double, duration int")
+    existing = incoming.limit(0).withColumnRenamed("incoming_id", "institution_id")
+    out = refresh.rebuild_catalog(incoming, programs, existing)
+    got = out["links"].join(out["level3"], "specialization_id")
+    assert {(r["name"], r["cost"]) for r in got.collect()} == {("Право", 1.0), ("Экономика", 2.0), ("Дизайн", 3.0)}
+    assert out["placed"].count() == 3
