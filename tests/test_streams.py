@@ -1,5 +1,6 @@
 """Streams against their batch forms, with late rows and repeats across batches."""
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -89,6 +90,27 @@ def test_team_notice_reaches_each_member_once(spark):
     assert sorted(r["user_id"] for r in got) == [7, 8] and "одобрена" in got[0]["message"]
 
 
+def test_team_notices_of_one_large_application_are_made_by_all_tasks(spark):
+    rows = [(1, 3, f"Олимпиада {n % 3}", n, "approved" if n % 2 else "rejected") for n in range(300)] + [(2, None, "А", 5, "approved"), (3, 1, "А", 5, "approved"), (None, 1, "А", 6, "approved")]
+    people = [(1, u) for u in range(200)] * 2 + [(2, None), (2, 7), (2, None), (4, 1), (None, 1)]
+    changes = spark.createDataFrame(rows, "application_id long, event_id long, event_name string, n long, status string")
+    members = spark.createDataFrame(people, "application_id long, user_id long")
+    limit, cell = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), getattr(N, "CELL", None)
+    try:
+        # as for members too many to be sent to every task, with cells as much smaller
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        N.CELL = 20
+        got = N.team_notices(changes, members).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        N.CELL = cell
+    text = {"approved": N.TEAM_ACCEPTED, "rejected": N.TEAM_REJECTED}
+    want = Counter((a, n, e, text[s] % name, u) for a, e, name, n, s in rows for b, u in set(people) if a is not None and a == b)
+    assert Counter(tuple(r)[:5] for r in got) == want
+    shares = Counter(r["part"] for r in got if r["application_id"] == 1)
+    assert len(shares) == 4 and max(shares.values()) < len(got) / 2
+
+
 def test_fan_out_is_one_notice_per_follower(spark):
     events = spark.createDataFrame([(1, 5, "A"), (2, 6, "B")], "event_id long, institution_id long, event_name string")
     likes = spark.createDataFrame([(5, 1), (5, 1), (5, 2)], "institution_id long, user_id long")
