@@ -10,7 +10,7 @@ from ..operators import places
 from ..operators import programs as P
 from ..operators import quality as Q
 from ..operators.ordered import numbered
-from ..session import checkpoint
+from ..session import checkpoint, discard
 from ..sources import catalog as C
 
 
@@ -79,15 +79,20 @@ def card_programs(institutions: DataFrame, listing: DataFrame, listing_programs:
     base = listing_programs.filter(F.length(F.trim("name")) >= 3).join(owned, "right_id").drop("right_id")
     base = base.withColumn("source", F.lit("listing"))
     extra = P.gate_official(official).withColumn("source", F.lit("official"))
-    merged = P.apply_overrides(P.merge_programs(base, extra), by_id, name_rules)
-    return P.dedupe_programs(checkpoint(merged))
+    merged = checkpoint(P.merge_programs(base, extra))
+    used = ["institution_id", "pos", "name", "code", "global_specialty", "qualification", "cost", "duration"]
+    priced = checkpoint(P.apply_overrides(merged, by_id, name_rules).select(*used))
+    discard(merged)
+    out = checkpoint(P.dedupe_programs(priced))
+    discard(best, priced)
+    return out
 
 
 def refresh(institutions: DataFrame, registry: DataFrame, **sources) -> dict[str, DataFrame]:
     """Enriched institutions, final programmes, their tree and links, and the audit."""
     named = institutions.withColumn("registry_slug", places.registry_slug(F.col("name")))
     enriched = places.enrich_registry(named, registry)
-    programs = checkpoint(card_programs(enriched, **sources))
+    programs = card_programs(enriched, **sources)
     rows = programs.withColumn("ord", F.struct("institution_id", "pos"))
     tree = M.upsert_tree(rows.select("ord", "name", "global_specialty", "code"), *empty_tree(programs.sparkSession))
     roots = M.duplicate_roots(enriched)

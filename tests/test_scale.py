@@ -2,6 +2,8 @@
 import inspect
 import json
 import random
+import time
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -15,6 +17,7 @@ from syllabase.operators import programs as G
 from syllabase.operators import quality as Q
 from syllabase.operators import reads as R
 from syllabase.plans import refresh
+from syllabase.session import checkpoint
 from syllabase.sources import catalog as C
 from syllabase.streaming import notices as N
 
@@ -206,3 +209,46 @@ def test_offers_of_one_place_keep_their_own_price(spark):
     got = out["links"].join(out["level3"], "specialization_id")
     assert {(r["name"], r["cost"]) for r in got.collect()} == {("Право", 1.0), ("Экономика", 2.0), ("Дизайн", 3.0)}
     assert out["placed"].count() == 3
+
+
+def test_merged_programs_of_repeated_places_have_the_texts_of_each_row(spark):
+    schema = PROGRAM + ", source string"
+    base = spark.createDataFrame([(1, 1, "Право", "6В1", "g", "q", 1.0, None, "list")] * 2 + [(1, 2, "Дизайн", None, "g", "q", 2.0, 3, "list"), (1, 2, "Экономика", "6В2", "h", "q", 4.0, 5, "list")], schema)
+    extra = spark.createDataFrame([(1, 1, "ПРАВО", None, "x", "x", 9.0, 4, "official"), (None, 1, "Право", None, "x", "x", 9.0, 4, "official"),
+                                   (1, None, "Право", None, "x", "x", 9.0, 4, "official"), (2, 7, "Право", None, None, None, 9.0, 4, "official")], schema)
+    got = G.merge_programs(base, extra).select("institution_id", "pos", "name", "code", "global_specialty", F.array_join("sources", ",").alias("s"))
+    # a row for each row at the place that won and each at the place of the code
+    want = [(1, 1, "Право", "6В1", "g", "list,official")] * 4 + [(2, G.SECOND + 7, "Право", None, None, "official")]
+    want += [(1, 2, n, c, g, "list") for n, g in (("Дизайн", "g"), ("Экономика", "h")) for c in (None, "6В2")]
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want)
+
+
+def test_a_checkpoint_leaves_no_shuffle_files(spark):
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "shuffle_" in f}
+
+    before, setting = shuffles(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    asked = spark.conf.get(setting, None)
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    out = checkpoint(rows)
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert out.count() == rows.count() == 7 and spark.conf.get(setting, "false") == (asked or "false")
+
+
+def test_merged_programs_leave_no_checkpoint_of_rows(spark, monkeypatch):
+    """What the rows were is deleted once numbers stand for their texts."""
+    made = []
+    monkeypatch.setattr(G, "checkpoint", lambda df: made.append(checkpoint(df)) or made[-1])
+    rows = rows_of(spark)
+    base = spark.createDataFrame([r + ("list",) for r in rows if r[1] % 3], PROGRAM + ", source string")
+    extra = spark.createDataFrame([r + ("official",) for r in rows if r[1] % 3 == 0], PROGRAM + ", source string")
+    out = G.merge_programs(base, extra)
+    context = spark.sparkContext
+    path = lambda df: context._jvm.org.apache.hadoop.fs.Path(df._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+    there = [path(df).getFileSystem(context._jsc.hadoopConfiguration()).exists(path(df)) for df in made]
+    wide = ["name" in df.columns and "at" in df.columns for df in made]
+    assert out.count() and any(wide) and not any(t for t, w in zip(there, wide) if w)
